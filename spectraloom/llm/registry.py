@@ -1,6 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from spectraloom.llm import license_scan
+from spectraloom.llm import license_scan, media_columns, quality_rules, sharding, token_counts
 
-QUERIES = {"op1_license_scan": license_scan.op1_license_scan}
-ORACLE_SQL = {"op1_license_scan": license_scan.ORACLE_SQL}
+QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
+    "op2_media_columns": media_columns.op2_media_columns,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_sharding": sharding.op4_sharding,
+    "op7_token_counts": token_counts.op7_token_counts,
+}
+ORACLE_SQL = {
+    "op1_license_scan": license_scan.ORACLE_SQL,
+    "op3_quality_rules": quality_rules.ORACLE_SQL,
+}
