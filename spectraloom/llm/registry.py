@@ -1,15 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from spectraloom.llm import license_scan, media_columns, quality_rules, sharding, token_counts
+from spectraloom.llm import jaccard_join, license_scan, media_columns, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_media_columns": media_columns.op2_media_columns,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_sharding": sharding.op4_sharding,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_token_counts": token_counts.op7_token_counts,
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op5_jaccard_join": jaccard_join.ORACLE_SQL,
 }
