@@ -393,6 +393,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return linked.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents with, of every component, only the one with the least doc_id; all their columns stay.
+
+    Documents without a set, or without a doc_id, stay. Rows that share a doc_id stay or go together.
+    """
+    found = jaccard_components(docs)
+    away = found.where("component_id < doc_id").select(F.col("doc_id").alias("__away")).distinct()
+    return docs.join(away, F.col("doc_id") == F.col("__away"), "left_anti")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
