@@ -1 +1,4 @@
-"""Part of spectraloom, a Spark-native signals analytics library."""
+"""Named queries over the driver's tables, each with the same in SQL where SQL can express it."""
+
+from spectraloom.plans import observation  # noqa: F401
+from spectraloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
