@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectraloom.functions.scalar import clip
+from spectraloom.sources.shared import checkpointed
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, t: str, value: str, tie: str) -> DataFrame:
@@ -40,7 +41,8 @@ def follow_merges(links: DataFrame, child: str, parent: str, longest: int = 1024
     reach = 1
     while reach < longest:
         hop = at.select(F.col("c").alias("p"), F.col("p").alias("q"))
-        further = at.join(hop, "p", "left").select("c", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")).checkpoint()
+        further = at.join(hop, "p", "left").select("c", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
+        further = checkpointed(further)
         at = further.select("c", "p")
         if further.where("moved").isEmpty():
             break
@@ -74,11 +76,11 @@ def greedy_one_to_one(pairs: DataFrame, a: str, b: str, cost: str, most: int = 3
     order = [F.col(cost), F.col(a), F.col(b)]
     for _ in range(most):
         best = left.withColumns({"__x": F.row_number().over(Window.partitionBy(a).orderBy(*order)), "__y": F.row_number().over(Window.partitionBy(b).orderBy(*order))})
-        won = best.where("__x = 1 and __y = 1").select(a, b, cost).checkpoint()
+        won = checkpointed(best.where("__x = 1 and __y = 1").select(a, b, cost))
         if won.isEmpty():
             break
         taken = won if taken is None else taken.unionByName(won)
-        left = left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti").checkpoint()
+        left = checkpointed(left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti"))
     return pairs.select(a, b, cost).where("false") if taken is None else taken
 
 
