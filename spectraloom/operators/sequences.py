@@ -38,14 +38,19 @@ def sessions(df: DataFrame, keys: list[str], t: str, idle: int) -> DataFrame:
     return marked.groupBy(*keys, "__s").agg(F.min(t).alias("first"), F.max(t).alias("last"), F.count("*").alias("n")).drop("__s")
 
 
-def hysteresis_steps(scores: list[float], on: float, off: float, raise_after: int, clear_after: int, times: list[int], reopen: int) -> list[str]:
-    """What each score does: raise, reopen, hold, clear or quiet."""
-    is_open, above, below, cleared, out = False, 0, 0, None, []
+#: open, scores above, scores below, time of the last clearing (-1: none).
+AlarmState = tuple[bool, int, int, int]
+
+
+def hysteresis_steps(scores: list[float], times: list[int], state: AlarmState = (False, 0, 0, -1), on: float = 0.7, off: float = 0.4, raise_after: int = 2, clear_after: int = 3, reopen: int = 3_600_000_000) -> tuple[list[str], AlarmState]:
+    """What each score does (raise, reopen, hold, clear or quiet), and the state it all ends in."""
+    is_open, above, below, cleared = state
+    out = []
     for x, t in zip(scores, times):
         if is_open:
             below = below + 1 if x < off else 0
             if below >= clear_after:
-                is_open, below, above, cleared = False, 0, 0, t
+                is_open, above, below, cleared = False, 0, 0, t
                 out.append("clear")
             else:
                 out.append("hold")
@@ -53,10 +58,10 @@ def hysteresis_steps(scores: list[float], on: float, off: float, raise_after: in
             above = above + 1 if x >= on else 0
             if above >= raise_after:
                 is_open, above, below = True, 0, 0
-                out.append("reopen" if cleared is not None and t - cleared <= reopen else "raise")
+                out.append("reopen" if cleared >= 0 and t - cleared <= reopen else "raise")
             else:
                 out.append("quiet")
-    return out
+    return out, (is_open, above, below, cleared)
 
 
 def hysteresis(df: DataFrame, key: str, t: str, tie: str, score: str, on: float = 0.7, off: float = 0.4, raise_after: int = 2, clear_after: int = 3, reopen: int = 3_600_000_000) -> DataFrame:
@@ -67,7 +72,8 @@ def hysteresis(df: DataFrame, key: str, t: str, tie: str, score: str, on: float
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([t, tie])
-        return frame.assign(step=hysteresis_steps(frame[score].tolist(), on, off, raise_after, clear_after, frame[t].tolist(), reopen))
+        steps, _ = hysteresis_steps(frame[score].tolist(), frame[t].tolist(), (False, 0, 0, -1), on, off, raise_after, clear_after, reopen)
+        return frame.assign(step=steps)
 
     narrow = df.select(key, t, tie, score)
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema)
