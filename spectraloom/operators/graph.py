@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each round is two grouped minima joined back to the edges, so nothing but counters reaches the driver, and a node with very
-many edges is met by partial aggregation. Every round is checkpointed in the shared folder, which cuts the lineage. The
+many edges is met by partial aggregation. Every round is written to the shared folder, which cuts the lineage. The
 rounds end when one changes no edge; their number grows with the logarithm of the longest path.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.sources.shared import checkpointed
+from spectraloom.sources.shared import drop_path, scratch
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -32,15 +32,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     ``edges`` holds longs; order, repeats and loops don't matter, rows with nulls are left out.
     """
+    spark = edges.sparkSession
 
-    def state_of(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def store(e: DataFrame) -> tuple[str, DataFrame, tuple]:
+        path = scratch(spark, "edges")
+        e.distinct().write.parquet(path)
+        kept = spark.read.schema("a long, b long").parquet(path)
+        state = kept.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        return path, kept, tuple(state)
 
-    e = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    state = state_of(e)
+    tidy = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    path, e, state = store(tidy)
     while state[0]:
-        e = checkpointed(_small_star(_large_star(e)).distinct())
-        new_state = state_of(e)
+        new_path, new, new_state = store(_small_star(_large_star(e)))
+        drop_path(spark, path)
+        path, e = new_path, new
         if new_state == state:
             break
         state = new_state

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectraloom.functions.scalar import clip
-from spectraloom.sources.shared import checkpointed
+from spectraloom.sources.shared import written
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, t: str, value: str, tie: str) -> DataFrame:
@@ -42,7 +42,7 @@ def follow_merges(links: DataFrame, child: str, parent: str, longest: int = 1024
     while reach < longest:
         hop = at.select(F.col("c").alias("p"), F.col("p").alias("q"))
         further = at.join(hop, "p", "left").select("c", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
-        further = checkpointed(further)
+        further = written(further, "chains")
         at = further.select("c", "p")
         if further.where("moved").isEmpty():
             break
@@ -66,21 +66,22 @@ def time_bucket_pairs(left: DataFrame, right: DataFrame, on: list[tuple[str, str
     return left.join(b, same & (F.abs(F.col(t_left) - F.col(t_right)) <= window)).drop("__b")
 
 
-def greedy_one_to_one(pairs: DataFrame, a: str, b: str, cost: str, most: int = 30) -> DataFrame:
+def greedy_one_to_one(pairs: DataFrame, a: str, b: str, cost: str) -> DataFrame:
     """Of candidate pairs those that a pass by rising cost would take, each side once.
 
-    A pair that is the cheapest for both its sides is taken in any such pass, so rounds take all of those at once.
+    A pair that is the cheapest for both its sides is taken in any such pass, so rounds take all of those at once, until
+    no pair is left.
     """
     taken = None
     left = pairs.select(a, b, cost)
     order = [F.col(cost), F.col(a), F.col(b)]
-    for _ in range(most):
+    while True:
         best = left.withColumns({"__x": F.row_number().over(Window.partitionBy(a).orderBy(*order)), "__y": F.row_number().over(Window.partitionBy(b).orderBy(*order))})
-        won = checkpointed(best.where("__x = 1 and __y = 1").select(a, b, cost))
+        won = written(best.where("__x = 1 and __y = 1").select(a, b, cost), "won")
         if won.isEmpty():
             break
         taken = won if taken is None else taken.unionByName(won)
-        left = checkpointed(left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti"))
+        left = written(left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti"), "left")
     return pairs.select(a, b, cost).where("false") if taken is None else taken
 
 

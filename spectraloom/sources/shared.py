@@ -1,8 +1,9 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and tables written there to cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,14 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where the session names none, as in tests, a folder of our own."""
     context = spark.sparkContext._jsc.sc()
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir().isDefined():
-        return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir().get()
-    found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spectraloom-")
+        return named or context.getCheckpointDir().get()
+    found = named or tempfile.mkdtemp(prefix="spectraloom-")
     spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path for one written table in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/spectraloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage of ``df``: write it as Parquet in the shared folder and read it back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table through Spark's file system layer."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

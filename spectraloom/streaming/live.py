@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 from typing import Any
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from spectraloom.operators.sequences import hysteresis_steps
-from spectraloom.sources.shared import shared_dir
+from spectraloom.sources.shared import scratch
 from spectraloom.sources.tables import table
 
 
@@ -66,7 +65,7 @@ def alarms(events: DataFrame, on: float = 0.7, off: float = 0.4, raise_after: in
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a finite stream gives: run until its input is used up, written to the shared folder and read back."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/spectraloom/stream-{name}-{uuid.uuid4().hex}"
+    at = scratch(spark, f"stream-{name}")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{at}/out")
