@@ -94,7 +94,7 @@ RULES: list[Rule] = [
     ("repeated_windows", lambda t: 100 * t.n_repeat_words > 50 * t.n_words),
     ("symbols", lambda t: 10 * t.n_symbols > 2 * t.n_words),
     ("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words),
-    ("repeated_lines", lambda t: 10 * t.n_dup_lines > 3 * len(t.lines)),
+    ("repeated_lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
     ("shouting", lambda t: 2 * t.n_upper > t.n_letters),
     ("few_letters", lambda t: 10 * t.n_letters < 6 * t.word_chars),
 ]
@@ -177,6 +177,6 @@ c AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(x, '[\x2
       FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > 2 * n_words OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT (base_failed OR 10 * n_symbols > 2 * n_words OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words OR 2 * n_dup_lines > n_lines
             OR 2 * n_upper > n_letters OR 10 * n_letters < 6 * word_chars) AS kept
 FROM b"""
