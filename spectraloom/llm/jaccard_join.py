@@ -36,9 +36,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import small_batches, table, written
-from spectraloom.llm.components import connected_components
+from spectraloom.llm.common import small_batches, table
 from spectraloom.llm.textwords import SPACED, U, mix, windows, word_hashes
+from spectraloom.operators.graph import connected_components
+from spectraloom.sources.shared import written
 
 K = 5
 SIMILARITY = 80  # of 100

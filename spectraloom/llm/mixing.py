@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectraloom.llm.common import salted_hash, table, written
+from spectraloom.llm.common import salted_hash, table
+from spectraloom.sources.shared import written
 
 DIMENSIONS = ("source", "lang", "topic")
 ALPHA = 0.9

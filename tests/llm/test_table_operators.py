@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraloom.llm import compression_classifier, jaccard_join, mixing, packing, registry, sharding, url_filters
-from spectraloom.llm.components import connected_components
 from spectraloom.llm.tokens import vocabulary_path
+from spectraloom.operators.graph import connected_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
