@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -160,3 +160,53 @@ def line_checksum(line: Column) -> Column:
 def canonical_hash(pairs: Column) -> Column:
     """SHA-256 of a map as JSON with sorted keys."""
     return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs)))), 256)
+
+
+def word_hunt(frames: DataFrame, row: str, raw: str, n_bytes: int) -> DataFrame:
+    """word, frames, places: byte strings by how many frames hold them; each frame is counted once a word."""
+    last = F.octet_length(raw) - n_bytes
+    at = F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))
+    words = frames.select(row, raw, at.alias("i")).select(row, F.hex(F.substring(F.col(raw), F.col("i") + 1, F.lit(n_bytes))).alias("word"))
+    each = words.groupBy(row, "word").agg(F.count("*").alias("n"))
+    return each.groupBy("word").agg(F.count("*").alias("frames"), F.sum("n").alias("places"))
+
+
+def place_entropy(frames: DataFrame, raw: str, places: int) -> DataFrame:
+    """at, n, entropy in bits of the byte at each of the first places: steady fields stand out from changing ones."""
+    at = F.explode(F.sequence(F.lit(0), F.least(F.octet_length(raw), F.lit(places)) - 1))
+    bytes_ = frames.where(F.octet_length(raw) > 0).select(F.col(raw), at.alias("at")).select("at", F.hex(F.substring(F.col(raw), F.col("at") + 1, F.lit(1))).alias("byte"))
+    counted = bytes_.groupBy("at", "byte").agg(F.count("*").alias("n"))
+    n = F.sum("n")
+    # -sum(n/N log2(n/N)) = log2 N - sum(n log2 n) / N, which needs no second pass over the counts
+    return counted.groupBy("at").agg(n.alias("n"), (F.log2(n) - F.sum(F.col("n") * F.log2("n")) / n).alias("entropy"))
+
+
+def crc_search(frames: DataFrame, raw: str, models: list[str] | None = None) -> DataFrame:
+    """model, frames, valid: how many frames end in a right check by each model (its bytes big-endian)."""
+    out = None
+    for model in models or sorted(CRC_MODELS):
+        n = CRC_MODELS[model][0] // 8
+        body = F.substring(F.col(raw), F.lit(1), F.octet_length(raw) - n)
+        tail = F.substring(F.col(raw), F.octet_length(raw) - n + 1, F.lit(n))
+        ok = crc(model)(body) == F.conv(F.hex(tail), 16, 10).cast("long")
+        one = frames.where(F.octet_length(raw) > n).select(ok.alias("ok")).agg(F.lit(model).alias("model"), F.count("*").alias("frames"), F.count_if("ok").alias("valid"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def deinterleave(x: Column, rows: int, columns: int) -> Column:
+    """Elements written by rows and read by columns, put back."""
+    return F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), lambda i: F.get(x, (i % columns) * rows + F.floor(i / columns).cast("int")))
+
+
+def descramble(x: Column, taps: list[int]) -> Column:
+    """Self-synchronising descrambler: each bit against the received bits ``taps`` places before."""
+    back = lambda i, t: F.when(i >= t, F.get(x, i - t)).otherwise(0)
+
+    def one(i):
+        out = F.get(x, i)
+        for t in taps:
+            out = out.bitwiseXOR(back(i, F.lit(t)))
+        return out
+
+    return F.transform(F.sequence(F.lit(0), F.size(x) - 1), one)

@@ -254,3 +254,41 @@ def test_cluster_distance(spark):
     assert value(spark, J.cluster_distance(z(1.0, 1.0, 4.0))) == float("inf")
     assert value(spark, J.cluster_distance(z(1.0, 1.0, 1.0, None))) == 1
 
+
+
+def test_density_clusters_equal_brute_force(spark):
+    from spectraloom.operators import clusters as C
+
+    rng = random.Random(4)
+    points = [(i, rng.gauss(c * 10, 1.2), rng.gauss(c * 5, 1.2)) for i, c in enumerate([0] * 30 + [1] * 30 + [2] * 8)] + [(100, 200.0, 200.0)]
+    got = {r.i: r.cluster for r in C.density_clusters(spark.createDataFrame(points, "i long, x double, y double"), "i", "x", "y", 1.0, 4).collect()}
+    near = {a: [b for b, u, v in points if (x - u) ** 2 + (y - v) ** 2 <= 1] for a, x, y in points}
+    cores = {a for a in near if len(near[a]) >= 4}
+    want, seen = {}, {}
+    for a in sorted(cores):
+        if a not in seen:
+            todo = [a]
+            while todo:
+                b = todo.pop()
+                if b not in seen:
+                    seen[b] = a
+                    todo += [c for c in near[b] if c in cores]
+    for a in near:
+        want[a] = seen[a] if a in cores else min((seen[b] for b in near[a] if b in cores), default=None)
+    assert got == want
+
+
+def test_frame_inference(spark):
+    frames = spark.createDataFrame([(1, bytearray(b"abcXab")), (2, bytearray(b"abcYcd")), (3, bytearray(b"a"))], "i int, raw binary")
+    words = {bytes.fromhex(r.word): (r.frames, r.places) for r in B.word_hunt(frames, "i", "raw", 2).collect()}
+    assert words[b"ab"] == (2, 3) and words[b"bc"] == (2, 2) and words[b"cd"] == (1, 1) and len(words) == 7
+    entropy = {r.at: r.entropy for r in B.place_entropy(frames, "raw", 6).collect()}
+    assert entropy[0] == 0 and entropy[3] == 1
+    x = spark.createDataFrame([(list(range(6)), [1, 0, 1, 1, 0, 0, 1])], "a array<int>, b array<int>")
+    written = [[0, 1, 2], [3, 4, 5]]
+    read = [written[r][c] for c in range(3) for r in range(2)]
+    row = spark.createDataFrame([(read,)], "a array<int>").select(B.deinterleave(F.col("a"), 2, 3).alias("x")).first()
+    assert row.x == list(range(6))
+    bits = [1, 0, 1, 1, 0, 0, 1]
+    want = [bits[i] ^ (bits[i - 2] if i >= 2 else 0) for i in range(7)]
+    assert x.select(B.descramble(F.col("b"), [2]).alias("x")).first().x == want
