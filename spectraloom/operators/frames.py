@@ -166,7 +166,7 @@ def word_hunt(frames: DataFrame, row: str, raw: str, n_bytes: int) -> DataFrame:
     """word, frames, places: byte strings by how many frames hold them; each frame is counted once a word."""
     last = F.octet_length(raw) - n_bytes
     at = F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))
-    words = frames.select(row, raw, at.alias("i")).select(row, F.hex(F.substring(F.col(raw), F.col("i") + 1, F.lit(n_bytes))).alias("word"))
+    words = frames.select(row, raw, at.alias("__at")).select(row, F.hex(F.substring(F.col(raw), F.col("__at") + 1, F.lit(n_bytes))).alias("word"))
     each = words.groupBy(row, "word").agg(F.count("*").alias("n"))
     return each.groupBy("word").agg(F.count("*").alias("frames"), F.sum("n").alias("places"))
 
