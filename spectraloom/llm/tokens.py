@@ -4,18 +4,27 @@ The vocabulary ``word_bpe_49k.json`` drops white space and never makes a token a
 its chunks between spaces and line breaks, one after the other. Each worker keeps the ids of chunks it has met and hands
 the library only new ones, in batches. The memo is emptied when it reaches ``MEMO_CHUNKS`` chunks, which bounds a
 worker's memory and changes no result.
+
+Where it changes no id, a text is put in small letters first and its commas and full stops are set off, so that fewer
+chunks are new: in texts of Latin-1 letters without ``<|``, which might become a special token.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
+from unicodedata import normalize
 
 import numpy as np
 
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 500_000
 LONGEST_KEPT = 64
 VOCABULARY = "word_bpe_49k.json"
+#: Marks that are neither letters nor digits. Fixed values.
+SIGNS = ".,;:!?*%#$&()-"
+#: A sign that follows anything but a letter or digit may be one token with it.
+JOINED_SIGN = re.compile(r"(?<![a-z0-9à-öø-ÿ])[.,] ")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -42,19 +51,40 @@ def _ends_word(path: str) -> np.ndarray:
     return out
 
 
+def _chunks(text: str | None) -> list[str]:
+    text = (text or "").replace("\n", " ")
+    if "<|" not in text and _latin(text):
+        text = text.lower()
+        if not JOINED_SIGN.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ")
+    return text.split(" ")
+
+
+def _stays_letters(word: str) -> bool:
+    """Whether normalising and small letters leave nothing but letters, with which no sign can join."""
+    return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids of texts, as bytes of little-endian unsigned 32-bit numbers, or their counts.
 
-    A chunk of letters alone, or of letters with one comma or full stop after them, is the ids of its letters, whatever
-    the case of A-Z, and those of the sign. New letter words are encoded many at a time in one text; where the number of
-    word ends isn't the number of words (a letter whose small form is no letter), one by one.
+    New chunks of letters alone are encoded many at a time in one text, and cut where a token ends a word; where there are
+    more word ends than words (a letter whose small form is no letter), one by one. Letters with signs after them are
+    the ids of the letters and then those of the signs, which never join. Other chunks are encoded one by one.
     """
 
     def __init__(self, path: str, counts: bool = False):
         self.library, self.ends, self.counts = _tokenizer(path), _ends_word(path), counts
         self.memo: dict = {}
-        self.words: dict = {}
-        self.signs = dict(zip(("", ",", "."), (0 if counts else b"", *self._each([",", "."]))))
+        self.signs: dict = {}
 
     def _each(self, chunks: list[str]) -> list:
         found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
@@ -70,37 +100,37 @@ class Encoder:
         held, ends = ids.tobytes(), (4 * ends).tolist()
         return [held[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, new: set[str]) -> dict:
-        """Entries of chunks that aren't in the memo."""
-        plain, other = [], []
-        for c in new:
-            sign = c[-1:] if c[-1:] in (",", ".") else ""
-            word = c[: len(c) - len(sign)]
-            if word.isalpha() and len(c) <= LONGEST_KEPT:
-                plain.append((c, word.lower() if word.isascii() else word, sign))
-            else:
-                other.append(c)
-        words = self.words
-        fresh = list({w for _, w, _ in plain}.difference(words))
-        for i in range(0, len(fresh), 4096):
-            words.update(zip(fresh[i : i + 4096], self._letters(fresh[i : i + 4096])))
-        found = {c: words[w] + self.signs[s] for c, w, s in plain}
-        found.update(zip(other, self._each(other)))
-        return found
+    def _learn(self, new: set[str]) -> None:
+        """Put chunks into the memo that aren't in it."""
+        memo, plain = self.memo, list(filter(str.isalpha, new))
+        rest = new.difference(plain)
+        cut = [(c, c.rstrip(SIGNS)) for c in rest]
+        signed = [(c, word) for c, word in cut if _stays_letters(word)]
+        plain += {word for _, word in signed}.difference(memo, plain)
+        for i in range(0, len(plain), 4096):
+            memo.update(zip(plain[i : i + 4096], self._letters(plain[i : i + 4096])))
+        for c, word in signed:
+            sign = c[len(word) :]
+            if sign not in self.signs:
+                if len(self.signs) > MEMO_CHUNKS:
+                    self.signs.clear()
+                self.signs[sign] = self._each([sign])[0]
+            memo[c] = memo[word] + self.signs[sign]
+        other = list(rest.difference(c for c, _ in signed))
+        memo.update(zip(other, self._each(other)))
 
     def _parts(self, texts: list[str | None]) -> list[list]:
         """For each text the entries of its chunks."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        for held in (self.memo, self.words):
-            if len(held) > MEMO_CHUNKS:
-                held.clear()
+        cut = [_chunks(t) for t in texts]
+        if len(self.memo) > MEMO_CHUNKS:
+            self.memo.clear()
         memo = self.memo
-        found = self._learn(set().union(*cut).difference(memo))
-        long = {c: v for c, v in found.items() if len(c) > LONGEST_KEPT}
-        memo.update(found)
+        new = set().union(*cut).difference(memo)
+        self._learn(new)
         out = [[memo[c] for c in chunks] for chunks in cut]
-        for c in long:
-            del memo[c]
+        for c in new:
+            if len(c) > LONGEST_KEPT:
+                del memo[c]
         return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
