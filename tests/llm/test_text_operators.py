@@ -174,3 +174,17 @@ def test_token_counts_and_cache(spark, documents, odd_texts, tmp_path, monkeypat
     assert token_counts.misses(documents(rows), token_counts.read_cache(spark, cache, version)).count() == 0
     assert token_counts.misses(documents(rows + [(99, "new text")]), token_counts.read_cache(spark, cache, version)).count() == 1
     assert token_counts.misses(documents([(1, "x")]), token_counts.read_cache(spark, cache, "other")).count() == 1
+
+
+def test_encoder_on_random_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path())
+    rng = random.Random(11)
+    marks = [*"aAbB'sdtreé ÀßÿŸ.,,  *%()-_12½²\n\t\x0b\x1c\xa0\x85Σσς İıſḰ<|>日中́ﬀǅΆक़", "<|endoftext|>", "'ll", "'re", " , ", ". ", "word", "Word, "]
+    encoder = Encoder(vocabulary_path())
+    for _ in range(10):
+        texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(60))) for _ in range(200)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.ids(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
