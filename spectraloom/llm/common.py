@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+BATCH_BYTES = 16 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Keep Arrow batches of whole texts small, so that a run of very long texts fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Exact Jaccard join of documents' word 5-grams with token-combination prefixes, and its connected components.
 
 1. Every text becomes a set of 64-bit shingle hashes. Documents with equal sets form a class; classes take part once.
-2. A sketch of fixed size counts the classes that hold a shingle. A shingle whose cell holds more than a threshold is
-   *frequent*, any other *rare*. The sketch never counts too little, so a rare shingle is in fewer classes than the
-   threshold; counting too much only makes a rare one frequent, which costs time and loses nothing.
+2. A sketch of 2**20 to 2**25 cells, by the number of documents, counts the classes that hold a shingle. A shingle whose
+   cell holds more than a threshold is *frequent*, any other *rare*. The sketch never counts too little, so a rare
+   shingle is in fewer classes than the threshold; counting too much only makes a rare one frequent, which costs time
+   and loses nothing.
 3. In every set rare shingles come first, each class by hash. Two sets with similarity t share k of their first
    ``n - ceil(t n) + k`` shingles (the extended prefix; k grows with the smaller set). A set whose extended prefix
    is all rare indexes those single shingles. Pairs meet in short runs of the sorted index, and only a pair that meets
@@ -15,7 +16,7 @@
    in blocks of bounded size by matrix products of their incidence, so no pair is written out.
 5. Candidates are verified on whole sets in integers, and links become components.
 
-What reaches the driver has a fixed size: the bits of the sketch and of one membership filter. No key collects a group in a
+What reaches the driver is bounded: the bits of the sketch (4 MB at most) and of one membership filter (512 KB). No key collects a group in a
 task: index runs are read from sorted partitions, families are cut into blocks, classes are grouped by partial counts.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component; a text of one to four
@@ -43,14 +44,27 @@ from spectraloom.sources.shared import written
 
 K = 5
 SIMILARITY = 80  # of 100
-CELL_BITS = 24
+CELL_BITS = (20, 25)
+CELLS_PER_DOCUMENT = 64
 PART_BITS = 16
 FILTER_BITS = 22
 LEAST_FREQUENT = 48
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 21  # 16 MB of hashes
 SEEN_CLASSES = 200_000
 
 
+def cell_bits_for(documents: int) -> int:
+    least, most = CELL_BITS
+    return min(most, max(least, (CELLS_PER_DOCUMENT * documents).bit_length()))
+
+
+def frequent_from(shingles: int, cell_bits: int) -> int:
+    """The count from which a cell is frequent: a floor, the usual load of a cell, and eight times its usual spread."""
+    load = shingles / (1 << cell_bits)
+    return int(LEAST_FREQUENT + load + 8 * load**0.5)
+
+
 def extra(n):
     """k: how many shingles of their extended prefixes similar sets share."""
     return 1 + n // 32
@@ -99,22 +113,24 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, Sets(h, row, first, last)
 
 
-def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _classes(cell_bits: int):
     """Each document's set size and class; at the end the task's sketch, in parts."""
-    cells, seen = np.zeros(1 << CELL_BITS, np.uint32), set()
     names = ["doc_id", "n_shingles", "class_id", "part", "cells"]
-    kind = None
-    for batch, s in _slices(batches):
-        fresh = s.fresh(seen)
-        np.add.at(cells, (s.shingle[fresh[s.of]] & U((1 << CELL_BITS) - 1)).astype(np.int64), np.uint32(1))
-        kind = batch.column("doc_id").type
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.first, s.rows), pa.array(s.n, pa.int64()), pa.array(s.id), pa.nulls(s.rows, pa.int32()), pa.nulls(s.rows, pa.binary())], names)
-    if kind is not None:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        step = 1 << PART_BITS
-        parts = [(i, cells[i * step : (i + 1) * step]) for i in range(1 << (CELL_BITS - PART_BITS))]
-        parts = [(i, pack(c.tobytes())) for i, c in parts if c.any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), kind), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, seen, kind = np.zeros(1 << cell_bits, np.uint32), set(), None
+        for batch, s in _slices(batches):
+            fresh = s.fresh(seen)
+            np.add.at(cells, (s.shingle[fresh[s.of]] & U((1 << cell_bits) - 1)).astype(np.int64), np.uint32(1))
+            kind = batch.column("doc_id").type
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.first, s.rows), pa.array(s.n, pa.int64()), pa.array(s.id), pa.nulls(s.rows, pa.int32()), pa.nulls(s.rows, pa.binary())], names)
+        if kind is not None:
+            pack, step = zstandard.ZstdCompressor(level=1).compress, 1 << PART_BITS
+            parts = [(i, cells[i * step : (i + 1) * step]) for i in range(1 << (cell_bits - PART_BITS))]
+            parts = [(i, pack(c.tobytes())) for i, c in parts if c.any()]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), kind), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names)
+
+    return run
 
 
 def _frequent_parts(threshold: int):
@@ -143,7 +159,7 @@ class Order:
     """Rare shingles first: the split of each set by the sketch's bits."""
 
     def __init__(self, s: Sets, bits: np.ndarray):
-        cell = (s.shingle & U((1 << CELL_BITS) - 1)).astype(np.int64)
+        cell = (s.shingle & U(8 * len(bits) - 1)).astype(np.int64)
         self.frequent = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
         self.n_rare = np.bincount(s.of[~self.frequent], minlength=s.rows)
         self.pool = (self.n_rare < prefix(s.n)) & (s.n > 0)
@@ -338,14 +354,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     small_batches(spark)
-    first = written(texts.mapInArrow(_classes, f"doc_id {kind}, n_shingles long, class_id long, part int, cells binary"), "classes")
+    cell_bits = cell_bits_for(docs.count())
+    first = written(texts.mapInArrow(_classes(cell_bits), f"doc_id {kind}, n_shingles long, class_id long, part int, cells binary"), "classes")
     each = first.where("part is null").select("doc_id", "n_shingles", "class_id")
     classes = written(each.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "class-rows")
     shingles = classes.agg(F.sum("n")).first()[0] or 0
-    threshold = LEAST_FREQUENT + 4 * (shingles >> CELL_BITS)
+    threshold = frequent_from(shingles, cell_bits)
     parts = first.where("part is not null").select("part", "cells").repartition("part").sortWithinPartitions("part")
-    bits = bytearray(1 << (CELL_BITS - 3))
-    for r in parts.mapInArrow(_frequent_parts(threshold), "part int, bits binary").collect():  # at most 2**CELL_BITS bits
+    bits = bytearray(1 << (cell_bits - 3))
+    for r in parts.mapInArrow(_frequent_parts(threshold), "part int, bits binary").collect():  # 2**cell_bits bits
         bits[r["part"] << (PART_BITS - 3) : (r["part"] + 1) << (PART_BITS - 3)] = r["bits"]
     bits_of = spark.sparkContext.broadcast(bytes(bits))
 
@@ -363,12 +380,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     y = sets.select(F.col("class_id").alias("b"), F.col("items").alias("y"))
     links = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "links")
 
-    family = connected_components(met.where("combo"))
-    sized = family.join(family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "root")
+    family = connected_components(met.where("combo")).join(classes.select(F.col("class_id").alias("node"), "copies", "n"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sized = family.join(family.groupBy("root").agg(blocks.alias("blocks")), "root").select("root", "node", "copies", "blocks")
     members = (
         sets.where("pool")
         .join(sized, F.col("class_id") == F.col("node"))
-        .join(classes.select("class_id", "copies"), "class_id")
         .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "copies", "items")

@@ -6,7 +6,8 @@ rejects it. What several rules need (words, lines, counts) is worked out once a
 an early cheap rule rejects never pays for the dear ones. The order changes only the time: a text is kept when no rule
 rejects it.
 
-The sample is only used for the order: ``SAMPLE_ROWS`` rows at most, spread over the corpus by a hash of doc_id.
+The sample is only used for the order: ``SAMPLE_ROWS`` rows at most, one of every ``SPREAD`` by a hash of doc_id, with texts
+of at most ``SAMPLE_BYTES`` bytes, as they come to the driver.
 
 Defined results: a null or empty text has no words and is rejected by the word-count rule; equal rows get equal results; a
 null doc_id stays; extra columns stay where a filter returns documents; an empty table gives an empty result, in the
@@ -30,6 +31,7 @@ GAPS = {0x20: None, 9: None, 10: None, 11: None, 12: None, 13: None}
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 SAMPLE_ROWS = 1000
+SAMPLE_BYTES = 50_000
 SPREAD = 16  # the sample takes one document of so many, from as few partitions as hold enough
 
 
@@ -114,7 +116,8 @@ def cascade_order(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
     """Rule names by rejections per second on the sample, most first."""
     rules = RULES if rules is None else rules
     spread = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SPREAD)) == 0
-    profile = rule_profile([r["text"] for r in docs.where(spread).select("text").take(sample_rows)], rules)
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES
+    profile = rule_profile([r["text"] for r in docs.where(spread & short).select("text").take(sample_rows)], rules)
     return sorted((n for n, _ in rules), key=lambda n: -profile[n][0] / max(profile[n][1], 1e-9))
 
 

@@ -55,11 +55,12 @@ def family(rng, size, copies, edits):
     return out
 
 
-@pytest.mark.parametrize("frequent", [1, 4, 48])
-def test_jaccard_equals_brute_force(spark, documents, odd_texts, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, shingles", [(1, 1 << 21), (4, 200), (48, 1 << 21)])
+def test_jaccard_equals_brute_force(spark, documents, odd_texts, monkeypatch, frequent, shingles):
     """With 1 and 4 most sets are in the pool and families are cut into several blocks."""
     monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", frequent)
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", shingles)
     rng = random.Random(frequent)
     passage = " ".join(f"p{i}" for i in range(60))
     texts = list(odd_texts)
