@@ -147,3 +147,25 @@ def eccentric_anomaly(mean: Column, e: Column, steps: int = 12) -> Column:
 def canonical_number(x: Column) -> Column:
     """-0.0 as 0.0."""
     return x + F.lit(0.0)
+
+
+#: Boltzmann's constant times 290 K, as dBm in one hertz. Fixed value.
+KT0_DBM_HZ = -173.975
+
+
+def above_kt0(dbm: Column, bandwidth_hz: Column) -> Column:
+    """Noise power over the thermal floor at 290 K, in dB."""
+    return dbm - 10 * F.log10(bandwidth_hz) - KT0_DBM_HZ
+
+
+def noise_temperature(figure_db: Column) -> Column:
+    return 290.0 * (from_db(figure_db) - 1)
+
+
+def median_external_noise(c: float, d: float, mhz: Column) -> Column:
+    """Median external noise figure of an environment's two constants, in dB."""
+    return c - d * F.log10(mhz)
+
+
+def root_sum_square(*parts: Column) -> Column:
+    return F.sqrt(sum((p * p for p in parts), F.lit(0.0)))

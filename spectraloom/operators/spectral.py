@@ -174,3 +174,48 @@ def decode_samples(kind: str):
         return raw.map(lambda b: (np.frombuffer(b, dtype).astype(float) - zero) / scale, na_action="ignore")
 
     return decode
+
+
+def channelise(channels: int, taps_per_channel: int = 8):
+    """A pandas UDF: interleaved I/Q arrays to the power in each of the channels of a polyphase filter bank, lowest first."""
+    taps = kaiser_lowpass(channels * taps_per_channel, 0.5 / channels, 60.0) * channels
+    branches = taps.reshape(taps_per_channel, channels)
+
+    @F.pandas_udf("array<double>")
+    def powers(blocks: pd.Series) -> pd.Series:
+        def one(x):
+            x = np.asarray(x, float)
+            z = x[0::2] + 1j * x[1::2]
+            frames = len(z) // channels - taps_per_channel + 1
+            if frames < 1:
+                return None
+            rows = z[: (frames + taps_per_channel - 1) * channels].reshape(-1, channels)
+            held = np.lib.stride_tricks.sliding_window_view(rows, taps_per_channel, axis=0)
+            bank = np.fft.fftshift(np.fft.fft((held * branches[::-1].T).sum(2), axis=1), axes=1)
+            return (np.abs(bank) ** 2).mean(0) / channels**2
+
+        return blocks.map(one, na_action="ignore")
+
+    return powers
+
+
+def holds(df: DataFrame, keys: list[str], block: str) -> DataFrame:
+    """keys, bin, max_hold, min_hold, mean: holds of blocks of equal length, by bin."""
+    return df.select(*keys, F.posexplode(block).alias("bin", "x")).groupBy(*keys, "bin").agg(F.max("x").alias("max_hold"), F.min("x").alias("min_hold"), F.avg(F.col("x").cast("double")).alias("mean"))
+
+
+def clipped(x: Column, rail: float) -> Column:
+    """How many samples of an array are at or beyond the rails."""
+    return F.size(F.filter(x, lambda v: F.abs(v) >= rail))
+
+
+def overloaded(df: DataFrame, keys: list[str], at: str, count: str, least: int, of: int, need: int) -> DataFrame:
+    """Frames with ``least`` clipped samples that ``need`` of the last ``of`` frames have too."""
+    high = (F.col(count) >= least).cast("int")
+    by = Window.partitionBy(*keys).orderBy(at).rowsBetween(1 - of, 0)
+    return df.withColumn("overload", (high == 1) & (F.sum(high).over(by) >= need))
+
+
+def chirp_rate(df: DataFrame, keys: list[str], t: str, f: str) -> DataFrame:
+    """Slope of the peak frequency over time, its fit and the number of points."""
+    return df.groupBy(*keys).agg(F.regr_slope(f, t).alias("rate"), F.regr_r2(f, t).alias("r2"), F.count("*").alias("n"))

@@ -156,3 +156,29 @@ def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     pairs = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("custkey"), F.col("o_custkey").cast("string"), F.lit("priority"), F.col("o_orderpriority"))
     return o.select("o_orderkey", B.canonical_hash(pairs).alias("hash"))
+
+
+@query("""WITH l AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT label, i::INT AS bin, round(max(x)::DOUBLE, 6) AS max_hold, round(min(x)::DOUBLE, 6) AS min_hold, round(avg(x::DOUBLE), 6) AS mean FROM l GROUP BY label, i""")
+def vec_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximum, minimum and mean of each bin over the blocks of a label."""
+    h = X.holds(table(spark, sf_dir, "embeddings").select("label", "embedding"), ["label"], "embedding")
+    return h.select("label", "bin", F.round(F.col("max_hold").cast("double"), 6).alias("max_hold"), F.round(F.col("min_hold").cast("double"), 6).alias("min_hold"), F.round("mean", 6).alias("mean"))
+
+
+@query("""WITH c AS (SELECT vec_id, label, len(list_filter(embedding, lambda x: abs(x) >= 0.25)) AS n FROM embeddings), w AS (SELECT *, sum((n >= 2)::INT) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS h FROM c)
+SELECT vec_id, n::INT AS clipped, n >= 2 AND h >= 2 AS overload FROM w""")
+def overload_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clipped samples of each block and whether its label's front end is overloaded."""
+    c = table(spark, sf_dir, "embeddings").select("vec_id", "label", X.clipped(F.col("embedding"), 0.25).alias("clipped"))
+    return X.overloaded(c, ["label"], "vec_id", "clipped", 2, 3, 2).select("vec_id", "clipped", "overload")
+
+
+@query(f"""WITH {VISITS_SQL}, x AS (SELECT channel, (start_us - 1704067200000000) / 3.6e9 AS t, level AS f FROM v WHERE cell % 4 = 0)
+SELECT channel, round(regr_slope(f, t), 6) AS rate, round(regr_r2(f, t), 6) AS r2, count(*)::BIGINT AS n FROM x GROUP BY channel HAVING count(DISTINCT t) > 1 AND count(DISTINCT f) > 1""")
+def drift_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of each channel's level over time, as of a chirp."""
+    x = visits(spark, sf_dir).where("cell % 4 = 0").select("channel", ((F.col("start_us") - 1704067200000000) / 3.6e9).alias("t"), F.col("level").alias("f"))
+    enough = x.groupBy("channel").agg(F.countDistinct("t").alias("k"), F.countDistinct("f").alias("m")).where("k > 1 and m > 1").select("channel")
+    r = X.chirp_rate(x.join(enough, "channel", "left_semi"), ["channel"], "t", "f")
+    return r.select("channel", F.round("rate", 6).alias("rate"), F.round("r2", 6).alias("r2"), "n")

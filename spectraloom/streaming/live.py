@@ -62,6 +62,24 @@ def alarms(events: DataFrame, on: float = 0.7, off: float = 0.4, raise_after: in
     return rows.groupBy("channel").applyInPandasWithState(fold, "event_id long, channel long, step string", "is_open boolean, above int, below int, cleared long", "append", "NoTimeout")
 
 
+def sealed_tiles(events: DataFrame, hours: int = 1, late: str = "2 hours") -> DataFrame:
+    """Tiles of tier by hours that are given once, when the watermark has passed their end; later rows are dropped by Spark."""
+    w = events.withWatermark("ts", late).groupBy("tier", F.window("ts", f"{hours} hours").alias("w"))
+    tile = w.agg(F.count("*").alias("n"), F.max("level").alias("max_db"), F.sum(F.pow(F.lit(10.0), F.col("level") / 100)).alias("power"))
+    return tile.select("tier", F.unix_micros("w.start").alias("t_us"), "n", "max_db", "power")
+
+
+def around_triggers(samples: DataFrame, triggers: DataFrame, before: str, after: str, late: str = "1 hour") -> DataFrame:
+    """Samples of a trigger's channel from ``before`` its time to ``after`` it, the end left out: a join of two streams.
+
+    ``samples``: channel, ts, level; ``triggers``: trigger_id, channel, ts. State is held as long as the times allow a match.
+    """
+    s = samples.select("channel", "ts", "level").withWatermark("ts", late)
+    t = triggers.select("trigger_id", F.col("channel").alias("t_channel"), F.col("ts").alias("t_ts")).withWatermark("t_ts", late)
+    inside = F.expr(f"channel = t_channel AND ts >= t_ts - INTERVAL {before} AND ts < t_ts + INTERVAL {after}")
+    return s.join(t, inside).select("trigger_id", "channel", F.unix_micros("ts").alias("t_us"), "level")
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a finite stream gives: run until its input is used up, written to the shared folder and read back."""
     spark = stream.sparkSession

@@ -292,3 +292,41 @@ def test_frame_inference(spark):
     bits = [1, 0, 1, 1, 0, 0, 1]
     want = [bits[i] ^ (bits[i - 2] if i >= 2 else 0) for i in range(7)]
     assert x.select(B.descramble(F.col("b"), [2]).alias("x")).first().x == want
+
+
+def test_codes(spark):
+    from spectraloom.operators import codes
+
+    rng = random.Random(6)
+    sent, got = [], []
+    for errors in [0, 1, 2] * 8:
+        data = rng.getrandbits(21) << 10
+        word = data | codes.remainder(data)
+        assert codes.remainder(word) == 0
+        sent.append((word, errors))
+        got.append((word ^ sum(1 << p for p in rng.sample(range(31), errors)),))
+    out = spark.createDataFrame(got, "w long").coalesce(1).select(codes.correct_blocks()("w").alias("r")).collect()
+    assert [(r.r.word, r.r.errors) for r in out] == sent
+    messages = [[rng.randrange(2) for _ in range(40)] for _ in range(6)]
+    coded = [codes.convolve_bits(m) for m in messages]
+    for c in coded:
+        for at in range(5, len(c), 23):
+            c[at] ^= 1
+    out = spark.createDataFrame([(c,) for c in coded], "c array<int>").coalesce(1).select(codes.decode_convolution()("c").alias("m")).collect()
+    assert [r.m for r in out] == messages
+
+
+def test_channeliser_and_clipping(spark):
+    n, channels = 2048, 8
+    z = np.exp(2j * np.pi * (2 / channels) * np.arange(n))
+    block = np.stack([z.real, z.imag], 1).ravel().tolist()
+    p = spark.createDataFrame([(block,)], "x array<double>").select(X.channelise(channels)("x").alias("p")).first().p
+    assert int(np.argmax(p)) == channels // 2 + 2 and p[channels // 2 + 2] > 1e4 * np.delete(p, channels // 2 + 2).max()
+    df = spark.createDataFrame([(1, i, c) for i, c in enumerate([0, 5, 5, 0, 5, 0, 0, 5])], "k int, t int, c int")
+    assert [r.overload for r in X.overloaded(df, ["k"], "t", "c", 3, 3, 2).orderBy("t").collect()] == [False, False, True, False, True, False, False, False]
+
+
+def test_radiometry(spark):
+    v = lambda c: value(spark, c)
+    assert math.isclose(v(S.above_kt0(F.lit(-113.975), F.lit(1e6))), 0, abs_tol=1e-9) and math.isclose(v(S.noise_temperature(F.lit(10 * math.log10(2)))), 290)
+    assert v(S.root_sum_square(F.lit(3.0), F.lit(4.0))) == 5 and math.isclose(v(S.median_external_noise(76.8, 27.7, F.lit(10.0))), 49.1)

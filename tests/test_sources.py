@@ -82,3 +82,20 @@ def test_stream_of_several_files(spark, tmp_path):
     got = {r.event_id: r.step for r in live.drained(live.alarms(stream), "t").collect()}
     assert len(got) == n
     assert live.drained(live.presence(live.event_stream(spark, str(tmp_path), 1)), "p", "complete").count() > 0
+
+
+def test_tiles_seal_and_triggers_reach_back(spark, tmp_path):
+    from spectraloom.streaming import live
+
+    rows = [(i, f"2024-01-0{1 + i // 24} {i % 24:02d}:30:00", i % 2, "view", float(i), "{}") for i in range(72)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for part in (df.where("event_id < 36"), df.where("event_id >= 36")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    tiles = live.drained(live.sealed_tiles(live.event_stream(spark, str(tmp_path), 1), 6, "1 hour"), "tiles")
+    sealed = {r.t_us: r.n for r in tiles.collect()}
+    assert set(sealed.values()) == {6} and 10 <= len(sealed) <= 12
+    samples, triggers = live.event_stream(spark, str(tmp_path), 1), live.event_stream(spark, str(tmp_path), 1)
+    triggers = triggers.where("event_id % 10 = 0").select(F.col("event_id").alias("trigger_id"), "channel", "ts")
+    cut = live.drained(live.around_triggers(samples, triggers, "4 hours", "2 hours", "100 hours"), "cut")
+    got = sorted((r.trigger_id, int(r.level)) for r in cut.collect())
+    assert got == sorted((t, s) for t in range(0, 72, 10) for s in range(72) if s % 2 == t % 2 and t - 4 <= s < t + 2)
