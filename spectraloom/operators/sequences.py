@@ -162,7 +162,3 @@ def periods(df: DataFrame, key: str, t: str) -> DataFrame:
         return pd.DataFrame([(k[0], *fold_period(frame[t].to_numpy()))], columns=[key, "period", "jitter", "confidence"])
 
     return df.select(key, t).groupBy(key).applyInPandas(fold, f"{key} {kind}, period double, jitter double, confidence double")
-
-
-def rank_candidates(df: DataFrame, score: str, lo: str, hi: str) -> Column:
-    return F.row_number().over(Window.orderBy(F.desc(score), lo, hi))

@@ -42,10 +42,12 @@ _CENT = "l AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(rang
 @query(f"""WITH {_CENT}, d AS (SELECT vec_id, k, sqrt(sum((x - m) * (x - m))) AS d FROM l JOIN c USING (i) GROUP BY ALL), b AS (SELECT vec_id, min(d) AS d FROM d GROUP BY 1)
 SELECT vec_id, round(d, 5) AS distance FROM b""")
 def nearest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of each vector to the nearest class mean; class means are a row for each label, joined by broadcast when small."""
+    """Distance of each vector to the nearest class mean; the means, one a label, travel as one broadcast row, and no pair is emitted."""
     e, c = _centroids(spark, sf_dir)
-    d = F.sqrt(F.aggregate(F.zip_with("embedding", "c", lambda x, s: F.pow(x.cast("double") - s["m"], 2)), F.lit(0.0), lambda a, x: a + x))
-    return e.crossJoin(c.select(F.col("label").alias("k"), "c")).groupBy("vec_id").agg(F.round(F.min(d), 5).alias("distance"))
+    means = c.agg(F.collect_list(F.transform("c", lambda s: s["m"])).alias("means"))
+    square = lambda m: F.aggregate(F.zip_with("embedding", m, lambda x, y: F.pow(x.cast("double") - y, 2)), F.lit(0.0), lambda a, x: a + x)
+    nearest = F.array_min(F.transform("means", lambda m: F.sqrt(square(m))))
+    return e.join(F.broadcast(means), F.lit(True)).select("vec_id", F.round(nearest, 5).alias("distance"))
 
 
 @query(f"""WITH {_CENT} SELECT vec_id, round(sqrt(sum((x - m) * (x - m) / greatest(v, 1e-9)) / count(*)), 5) AS score, sqrt(sum((x - m) * (x - m) / greatest(v, 1e-9)) / count(*)) > 1.2 AS unknown FROM l JOIN c ON l.label = c.k AND l.i = c.i GROUP BY vec_id""")
