@@ -28,3 +28,21 @@ def test_run_equals_its_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), "stage")
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_empty_tables(spark, tmp_path):
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, documents, odd_texts):
+    prose = " ".join(f"word{i}" + "abcdefgh"[i % 8] for i in range(80))
+    rows = list(enumerate(odd_texts)) + [(None, prose), (70, prose), (71, prose + " end"), (71, prose + " end"), (72, prose.upper())]
+    docs = documents(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, SF), "stage")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        docs = out
+    assert {r.doc_id for r in docs.collect()} <= {None, 70, 71}
