@@ -1,4 +1,4 @@
 """Named queries over the driver's tables, each with the same in SQL where SQL can express it."""
 
-from spectraloom.plans import inference, live, observation, reports, service, signals  # noqa: F401
+from spectraloom.plans import evidence, inference, live, observation, reports, service, signals  # noqa: F401
 from spectraloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
