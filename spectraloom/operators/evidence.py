@@ -104,24 +104,31 @@ def rank_recipes(measured: DataFrame, recipes: list[tuple], row: str) -> DataFra
     earns nothing and rules nothing out; a family that the recipe doesn't decode rules it out, but not one whose finer
     families (``family/…``) it decodes. ``recipes`` is a catalogue in the order of ``RECIPE``; it travels as a literal.
     """
-    m = measured.withColumn("recipe", F.explode(catalogue(recipes)))
+    family = F.col("family")
+    unknown = family.isNull() | (family == "unknown")
+    none = F.lit(None).cast("double")
+    lower = F.transform(F.coalesce("features", F.array()), lambda f: F.lower(f))
+
+    def compared(recipe: Column) -> Column:
+        """The recipe's declared fields, each a weight and a distance that is null where it was not measured."""
+        away = lambda x, name: F.when(F.col(x).isNotNull() & ~F.isnan(x), outside(F.col(x), recipe[name]["lo"], recipe[name]["hi"]))
+        field = lambda there, weight, z: F.when(there, F.struct(F.lit(RECIPE_WEIGHTS[weight]).alias("w"), z.alias("z")))
+        fields = F.array(
+            field(F.size(F.coalesce(recipe["families"], F.array())) > 0, "family", F.when(~unknown & F.array_contains(recipe["families"], family), 0.0).otherwise(none)),
+            field(recipe["bandwidth"].isNotNull(), "bandwidth", away("bandwidth", "bandwidth")),
+            field(recipe["rate"].isNotNull(), "rate", away("rate", "rate")),
+            field(recipe["bursty"].isNotNull(), "bursty", F.when(F.col("bursty") == recipe["bursty"], 0.0).when(F.col("bursty") != recipe["bursty"], 4.0)),
+        )
+        marks = F.transform(F.coalesce(recipe["features"], F.array()), lambda f: F.struct(F.lit(RECIPE_WEIGHTS["feature"]).alias("w"), F.when(F.array_contains(lower, F.lower(f)), 0.0).alias("z")))
+        return F.concat(F.filter(fields, lambda s: s.isNotNull()), marks)
+
+    # Exploded with their fields, which are so built once for each pair and not again in every measure below.
+    m = measured.withColumn("__p", F.explode(F.transform(catalogue(recipes), lambda r: F.struct(r.alias("recipe"), compared(r).alias("f"))))).select(row, "family", "centre", "__p.recipe", F.col("__p.f").alias("__f"))
     h = lambda name: F.col("recipe")[name]
-    family, families, none = F.col("family"), F.coalesce(h("families"), F.array()), F.lit(None).cast("double")
+    families = F.coalesce(h("families"), F.array())
     said = F.size(families) > 0
     agrees = F.array_contains(families, family)
     coarse = F.exists(families, lambda f: f.startswith(F.concat(family, F.lit("/"))))
-    unknown = family.isNull() | (family == "unknown")
-    away = lambda x, name: F.when(F.col(x).isNull() | F.isnan(x), none).otherwise(outside(F.col(x), h(name)["lo"], h(name)["hi"]))
-    field = lambda there, weight, z: F.when(there, F.struct(F.lit(RECIPE_WEIGHTS[weight]).alias("w"), z.alias("z")))
-    fields = F.array(
-        field(said, "family", F.when(unknown | ~agrees, none).otherwise(F.lit(0.0))),
-        field(h("bandwidth").isNotNull(), "bandwidth", away("bandwidth", "bandwidth")),
-        field(h("rate").isNotNull(), "rate", away("rate", "rate")),
-        field(h("bursty").isNotNull(), "bursty", F.when(F.col("bursty").isNull(), none).when(F.col("bursty") == h("bursty"), 0.0).otherwise(4.0)),
-    )
-    lower = F.transform(F.coalesce("features", F.array()), lambda f: F.lower(f))
-    marks = F.transform(F.coalesce(h("features"), F.array()), lambda f: F.struct(F.lit(RECIPE_WEIGHTS["feature"]).alias("w"), F.when(F.array_contains(lower, F.lower(f)), 0.0).alias("z")))
-    m = m.withColumn("__f", F.concat(F.filter(fields, lambda s: s.isNotNull()), marks))
     total = lambda f: F.aggregate("__f", F.lit(0.0), f)
     earned = total(lambda a, s: a + s["w"] * F.coalesce(F.exp(-0.5 * s["z"] * s["z"]), F.lit(0.0)))
     count = lambda f: F.size(F.filter("__f", f)).cast("long")
