@@ -31,37 +31,62 @@ def ranging_code(satellite: int) -> np.ndarray:
     return register(FEEDBACK[0], (10,)) ^ register(FEEDBACK[1], CODE_TAPS[satellite - 1])
 
 
-def _search(rate: int, shifts: list[float]):
-    n = rate // 1000
+def noise_bar(cells: int, blocks: int, false_alarm: float) -> float:
+    """The ratio of peak to mean that noise passes in one of ``cells`` with the given probability.
+
+    A cell of noise, summed over ``blocks``, passes x as often as a Poisson count of mean ``blocks * x`` stays under ``blocks``.
+    """
+    j = np.arange(blocks)
+    factorials = np.cumsum(np.log(np.maximum(j, 1)))
+
+    def passed(x: float) -> float:
+        return float(np.logaddexp.reduce(j * np.log(blocks * x) - factorials)) - blocks * x
+
+    lo, hi = 1.0, 2.0
+    wanted = np.log(false_alarm / cells)
+    while passed(hi) > wanted:
+        lo, hi = hi, 2 * hi
+    while hi - lo > 1e-9 * hi:
+        lo, hi = ((lo + hi) / 2, hi) if passed((lo + hi) / 2) > wanted else (lo, (lo + hi) / 2)
+    return hi
+
+
+def _search(rate: int, shifts: list[float], blocks: int):
+    n, guard = rate // 1000, -(-rate // CHIP_RATE)
     at = np.arange(n) * CHIP_RATE // rate % CHIPS
     codes = {s: np.conj(np.fft.fft(1 - 2.0 * ranging_code(s)[at])) for s in range(1, len(CODE_TAPS) + 1)}
-    turns = [np.exp(-2j * np.pi * f * np.arange(n) / rate) for f in shifts]
+    turns = np.exp(-2j * np.pi * np.array(shifts)[:, None] * np.arange(n * blocks) / rate)
 
     @F.pandas_udf("phase double, shift double, ratio double")
     def run(i: pd.Series, q: pd.Series, satellite: pd.Series) -> pd.DataFrame:
         out = []
         for re, im, s in zip(i, q, satellite):
-            if re is None or im is None or min(len(re), len(im)) < n:
+            if re is None or im is None or min(len(re), len(im)) < n * blocks:
                 out.append((None, None, None))
                 continue
-            x = np.asarray(re[:n], float) + 1j * np.asarray(im[:n], float)
-            power = np.stack([np.abs(np.fft.ifft(np.fft.fft(x * t) * codes[s])) ** 2 for t in turns])
-            row, column = np.unravel_index(power.argmax(), power.shape)
-            chip = -(-rate // CHIP_RATE)
-            away = np.abs((np.arange(n) - column + n // 2) % n - n // 2) > chip
-            rival = power[row][away].max()
-            out.append((column * CHIP_RATE / rate, shifts[row], power[row, column] / rival if rival > 0 else None))
+            x = np.asarray(re[: n * blocks], float) + 1j * np.asarray(im[: n * blocks], float)
+            spectra = np.fft.fft((x * turns).reshape(len(shifts), blocks, n))
+            power = (np.abs(np.fft.ifft(spectra * codes[s])) ** 2).sum(axis=1)
+            top = power.argmax(axis=1)
+            away = np.abs((np.arange(n) - top[:, None] + n // 2) % n - n // 2) > guard
+            mean = (power * away).sum(axis=1) / away.sum(axis=1)
+            ratio = np.divide(power.max(axis=1), mean, out=np.zeros(len(shifts)), where=mean > 0)
+            best = int(ratio.argmax())
+            out.append((top[best] * CHIP_RATE / rate, shifts[best], ratio[best]))
         return pd.DataFrame(out, columns=["phase", "shift", "ratio"])
 
     return run
 
 
-def acquire(blocks: DataFrame, row: str, i: str, q: str, rate: int, satellites: list[int], shifts: list[float], least: float = 2.5) -> DataFrame:
-    """row, satellite, phase (chips), shift (Hz), ratio, found: where each code lies in each block's first millisecond.
+def acquire(samples: DataFrame, row: str, i: str, q: str, rate: int, satellites: list[int], shifts: list[float], blocks: int = 4, false_alarm: float = 1e-4) -> DataFrame:
+    """row, satellite, phase (chips), shift (Hz), ratio, found: where each code lies in the first ``blocks`` milliseconds of each row.
 
-    A circular correlation for every shift; ``ratio`` is the peak's power over the highest one more than a chip away. Each
-    (block, satellite) is a row of its own. A null or shorter block has nulls and is not found.
+    Circular correlations of a millisecond each, their powers summed; ``ratio`` is the peak over the mean of what lies more
+    than a chip away, at its best shift, and must reach the bar that noise passes with probability ``false_alarm``. Each
+    (row, satellite) is a row of its own, of bounded size. Null or shorter samples give nulls and are not found; silence has
+    the ratio 0. ``rate`` is a multiple of 1,000.
     """
-    each = blocks.select(row, F.col(i).alias("__i"), F.col(q).alias("__q"), F.explode(F.array(*[F.lit(s) for s in satellites])).alias("satellite"))
-    found = each.withColumn("__r", _search(rate, shifts)("__i", "__q", "satellite"))
-    return found.select(row, "satellite", "__r.*").withColumn("found", F.coalesce(F.col("ratio") >= least, F.lit(False)))
+    bar = noise_bar(rate // 1000 * len(shifts), blocks, false_alarm)
+    each = samples.select(row, F.col(i).alias("__i"), F.col(q).alias("__q"), F.explode(F.array(*[F.lit(s) for s in satellites])).alias("satellite"))
+    found = each.withColumn("__r", _search(rate, shifts, blocks)("__i", "__q", "satellite"))
+    return found.select(row, "satellite", "__r.*").withColumn("found", F.coalesce(F.col("ratio") >= bar, F.lit(False)))
