@@ -171,9 +171,10 @@ def word_hunt(frames: DataFrame, row: str, raw: str, n_bytes: int) -> DataFrame:
     return each.groupBy("word").agg(F.count("*").alias("frames"), F.sum("n").alias("places"))
 
 
-def place_entropy(frames: DataFrame, raw: str, places: int) -> DataFrame:
-    """at, n, entropy in bits of the byte at each of the first places: steady fields stand out from changing ones."""
-    at = F.explode(F.sequence(F.lit(0), F.least(F.octet_length(raw), F.lit(places)) - 1))
+def place_entropy(frames: DataFrame, raw: str, places: int | None = None) -> DataFrame:
+    """at, n, entropy in bits of the byte at each place, or at each of the first ``places``: steady fields stand out from changing ones."""
+    length = F.octet_length(raw) if places is None else F.least(F.octet_length(raw), F.lit(places))
+    at = F.explode(F.sequence(F.lit(0), length - 1))
     bytes_ = frames.where(F.octet_length(raw) > 0).select(F.col(raw), at.alias("at")).select("at", F.hex(F.substring(F.col(raw), F.col("at") + 1, F.lit(1))).alias("byte"))
     counted = bytes_.groupBy("at", "byte").agg(F.count("*").alias("n"))
     n = F.sum("n")

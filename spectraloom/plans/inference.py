@@ -38,7 +38,7 @@ t AS (SELECT d, k, 0 AS i, exp(-20.0::DOUBLE) AS term, 0.0::DOUBLE AS below FROM
 SELECT d::BIGINT AS d, k, round(greatest(0, least(1, -log10(greatest(1 - below, 1e-300)) / 6)), 6) AS novelty FROM t WHERE i = least(k, 200)""")
 def poisson_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Novelty of each day's number of new (channel, tier) entities, 20 being usual."""
-    first = visits(spark, sf_dir).where("cell < 30").groupBy("channel", "tier").agg(F.floor(F.min("start_us") / DAY).alias("d"))
+    first = visits(spark, sf_dir).groupBy("channel", "tier").agg(F.floor(F.min("start_us") / DAY).alias("d"))
     k = first.groupBy("d").agg(F.count("*").alias("k"))
     return k.select("d", "k", F.round(S.novelty_of_new(F.col("k"), F.lit(20.0)), 6).alias("novelty"))
 
@@ -125,10 +125,11 @@ WINDOW b AS (PARTITION BY channel ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AN
 
 @query(f"WITH {VISITS_SQL}, {_FILL} SELECT channel, d::BIGINT AS d, round(CASE WHEN y IS NOT NULL THEN y WHEN xa IS NULL THEN yb WHEN xb IS NULL THEN ya ELSE ya + (yb - ya) * (d - xa) / (xb - xa) END, 6) AS filled FROM f")
 def fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily means with unobserved days filled between their neighbours."""
+    """Daily means from each channel's first day to its last, unobserved days filled between their neighbours."""
     v = visits(spark, sf_dir).withColumn("d", F.floor(F.col("start_us") / DAY))
-    known = v.where("cell % 2 = 0").groupBy("channel", "d").agg(F.avg("level").alias("y"))
-    every = v.select("channel", "d").distinct().join(known, ["channel", "d"], "left")
+    known = v.groupBy("channel", "d").agg(F.avg("level").alias("y"))
+    days = v.groupBy("channel").agg(F.explode(F.sequence(F.min("d"), F.max("d"))).alias("d")).withColumn("y", F.lit(None).cast("double"))
+    every = known.unionByName(days).groupBy("channel", "d").agg(F.max("y").alias("y"))
     return Q.fill_gaps(every, ["channel"], "d", "y").select("channel", "d", F.round("filled", 6).alias("filled"))
 
 
@@ -207,9 +208,9 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT p.*, k.x AS xa, k.y AS ya FROM p ASOF LEFT JOIN k ON p.x >= k.x), b AS (SELECT a.*, k.x AS xb, k.y AS yb FROM a ASOF LEFT JOIN k ON a.x <= k.x)
 SELECT p_partkey, round(CASE WHEN xa IS NULL THEN yb WHEN xb IS NULL OR xa = xb THEN ya ELSE ya + (yb - ya) * (x - xa) / (xb - xa) END, 6) AS y FROM b""")
 def asof_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A calibration table read between its points: the mean price at every seventh size, interpolated for each part."""
+    """A calibration table read between its points: the mean price at every size, interpolated for parts whose size has no price."""
     part = table(spark, sf_dir, "part").withColumn("x", F.col("p_size").cast("double"))
-    known = part.where("p_size % 7 = 0").groupBy("x").agg(F.avg("p_retailprice").alias("y"))
+    known = part.where("p_retailprice is not null").groupBy("x").agg(F.avg("p_retailprice").alias("y"))
     sizes = part.select("x").distinct().withColumn("row", F.lit(0).cast("long"))
     at = J.interpolated(sizes.withColumn("k", F.lit(0)), known.withColumn("k", F.lit(0)), ["k"], "x", "y", "row").select("x", "y")
     return part.join(F.broadcast(at), "x").select("p_partkey", F.round("y", 6).alias("y"))

@@ -246,7 +246,7 @@ def level_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily means over a dense grid of days: an unobserved day is null, not quiet. The grid is days by tiers."""
     v = visits(spark, sf_dir).withColumn("d", F.floor(F.col("start_us") / DAY))
     grid = v.groupBy("tier").agg(F.lit(1).alias("one")).join(v.agg(F.min("d").alias("a"), F.max("d").alias("b")), F.lit(True)).select("tier", F.explode(F.sequence("a", "b")).alias("d"))
-    means = v.where(F.col("cell") % 3 == 0).groupBy("tier", "d").agg(F.avg("level").alias("m"))
+    means = v.groupBy("tier", "d").agg(F.avg("level").alias("m"))
     return grid.join(means, ["tier", "d"], "left").select("tier", "d", F.round("m", 6).alias("mean_db"))
 
 

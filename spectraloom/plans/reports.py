@@ -37,7 +37,7 @@ SELECT channel, round(regr_slope(f, n), 5) AS spacing, round(regr_intercept(f, n
 FROM x GROUP BY channel HAVING count(DISTINCT n) > 1""")
 def harmonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spacing and residual of each channel's lines against their harmonic number."""
-    x = visits(spark, sf_dir).where("cell < 12").select("channel", (F.col("cell") + 1).alias("n"), (F.col("level") + 25.0 * (F.col("cell") + 1)).alias("f"))
+    x = visits(spark, sf_dir).where("cell is not null and level is not null").select("channel", (F.col("cell") + 1).alias("n"), (F.col("level") + 25.0 * (F.col("cell") + 1)).alias("f"))
     many = x.groupBy("channel").agg(F.countDistinct("n").alias("k")).where("k > 1").select("channel")
     line = R.harmonic_line(x.join(many, "channel", "left_semi"), ["channel"], "n", "f")
     return line.select("channel", F.round("spacing", 5).alias("spacing"), F.round("offset", 4).alias("f0"), F.round("sigma", 4).alias("sigma"), "n")

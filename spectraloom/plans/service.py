@@ -71,8 +71,8 @@ def fused_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT vec_id, embedding[1:8] AS z FROM embeddings), p AS (SELECT vec_id, list_transform(z, lambda x: exp((x::DOUBLE - list_max(z)::DOUBLE) / 0.5)) AS p FROM e)
 SELECT vec_id, round(list_max(p) / list_sum(p), 6) AS best, round(-0.5 * ln(list_sum(p)), 6) AS energy FROM p""")
 def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best probability at a temperature, and the free energy over the largest logit, of each vector's first eight values."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("z"))
+    """Best probability at a temperature, and the free energy over the largest logit, of each vector's values."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("z"))
     top = F.array_max("z")
     powers = F.aggregate(F.transform("z", lambda x: F.exp((x - top) / 0.5)), F.lit(0.0), lambda a, x: a + x)
     return e.select("vec_id", F.round(F.array_max(C.softmax(F.col("z"), 0.5)), 6).alias("best"), F.round(-0.5 * F.ln(powers), 6).alias("energy"))
@@ -89,9 +89,9 @@ def sync_word_hunt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH b AS (SELECT hex(encode(url)) AS h FROM pages WHERE length(url) > 0), u AS (SELECT i, substr(h, 2 * i::INT + 1, 2) AS x FROM (SELECT h, unnest(range(least(length(h) // 2, 24))) AS i FROM b)),
 c AS (SELECT i, x, count(*) AS n FROM u GROUP BY ALL) SELECT i::INT AS at, sum(n)::BIGINT AS n, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY i""")
 def field_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entropy of each of the first 24 byte places of the frames."""
+    """Entropy of each byte place of the frames."""
     p = table(spark, sf_dir, "pages").where("length(url) > 0").withColumn("raw", F.col("url").cast("binary"))
-    return B.place_entropy(p, "raw", 24).select("at", "n", F.round("entropy", 6).alias("entropy"))
+    return B.place_entropy(p, "raw").select("at", "n", F.round("entropy", 6).alias("entropy"))
 
 
 @query()
