@@ -3,7 +3,9 @@
 Every rolling word k-gram of every text is joined to the k-grams of the templates. A match of word ``i`` with
 template position ``j`` is a vote for the diagonal ``i - j``, the word where the template would start. Votes are
 summed by diagonal, neighbouring diagonals (a word inserted or left out) are merged, and a merged span counts when
-the words it covers make up enough of the template within a span of about the template's length.
+the words it covers make up enough of the template within a span of about the template's length. Diagonals of chance
+pairs may chain on beyond that length; such a chain is looked at again, from each of its diagonals over about that length.
+A word that stands alone between changed ones is in no pair and isn't covered.
 
 The template table is a few hundred rows whatever the corpus is, so it is the side that is broadcast. Word pairs are
 hashed to 64 bits batch by batch with numpy (``textwords``); joining, voting, merging and verifying are Spark's.
@@ -116,15 +118,28 @@ def license_spans(docs: DataFrame, templates: DataFrame, min_coverage: float = M
     exact = votes.where(F.col("is_base") & (F.bit_count("covered") == F.col("m")) & F.expr("i1 - i0 + 1 = m"))
     exact = exact.select("doc_id", "text_hash", "template", "label", "is_base", F.col("i0").alias("start_word"), F.col("i1").alias("end_word"), F.lit(1.0).alias("coverage"))
     by = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
-    seeds = votes.where(~F.col("is_base") & ((F.bit_count("covered") > 2) | (F.col("m") < 5)))
+    chain = Window.partitionBy("doc_id", "text_hash", "template", "span")
+    longest = 1.25 * F.col("m") + 2
+    # one diagonal spans at most m words, so those from d to d + longest - m span at most the longest
+    starts = F.sequence(F.col("diagonal") - F.floor(longest - F.col("m")).cast("int"), F.col("diagonal"))
     merged = (
-        seeds.withColumn("opens", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > max_shift).cast("int"), F.lit(1)))
+        votes.where(~F.col("is_base"))
+        .withColumn("opens", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > max_shift).cast("int"), F.lit(1)))
         .withColumn("span", F.sum("opens").over(by))
-        .groupBy("doc_id", "text_hash", "template", "label", "is_base", "m", "span")
+        .withColumn("words", F.max("i1").over(chain) - F.min("i0").over(chain) + 1)
+        .withColumn("start", F.explode(F.when(F.col("words") <= longest, F.array(F.lit(None).cast("int"))).otherwise(starts)))
+        .groupBy("doc_id", "text_hash", "template", "label", "is_base", "m", "span", "start")
         .agg(F.bit_or("covered").alias("covered"), F.min("i0").alias("start_word"), F.max("i1").alias("end_word"))
         .withColumn("coverage", F.bit_count("covered") / F.col("m"))
     )
-    verified = merged.where((F.col("coverage") >= min_coverage) & (F.col("end_word") - F.col("start_word") + 1 <= 1.25 * F.col("m") + 2))
+    verified = merged.where((F.col("coverage") >= min_coverage) & (F.col("end_word") - F.col("start_word") + 1 <= longest))
+    # of one place's overlapping spans the best
+    before = chain.orderBy("start_word", "end_word", "start").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce((F.col("start_word") > F.max("end_word").over(before)).cast("int"), F.lit(1))
+    order = chain.orderBy("start_word", "end_word", "start").rowsBetween(Window.unboundedPreceding, 0)
+    verified = verified.withColumn("opens", opens).withColumn("place", F.sum("opens").over(order))
+    best = F.max_by(F.struct("start_word", "end_word", "coverage"), F.struct("coverage", F.col("start_word") - F.col("end_word"), "start_word"))
+    verified = verified.groupBy("doc_id", "text_hash", "template", "label", "is_base", "span", "place").agg(best.alias("best")).select("*", "best.*")
     return exact.unionByName(verified.select(*exact.columns))
 
 
