@@ -121,8 +121,27 @@ def tuning_legs(df: DataFrame, device: str, t: str, tie: str, centre: str, lo: s
     return legs.withColumn(lo, F.greatest(F.col(lo), F.coalesce(held, F.col(lo)))).where(F.col(lo) <= F.col(hi)).drop("__leg")
 
 
+def _chained(t: np.ndarray, anchor: int, p: float, tolerance: float) -> np.ndarray:
+    """The lattice index of each time, chained from the anchor to the last one accepted on either side; NaN off the chain."""
+    n = np.full(len(t), np.nan)
+    n[anchor] = 0
+    for side, sign in ((range(anchor + 1, len(t)), 1), (range(anchor - 1, -1, -1), -1)):
+        at, k = t[anchor], 0
+        for i in side:
+            d = abs(t[i] - at) / p
+            step = round(d)
+            if step >= 1 and abs(d - step) <= tolerance:
+                at, k = t[i], k + sign * step
+                n[i] = k
+    return n
+
+
 def fold_period(times: np.ndarray, jitter: float = 0.1) -> tuple[float, float, float]:
-    """Period, jitter and share of the points on the best lattice of candidate periods."""
+    """Period, jitter and share of the points on the best lattice of candidate periods.
+
+    A candidate's points are chained one to the next at twice the jitter, so that its error doesn't add up; then all
+    are fitted and folded anew.
+    """
     best = (0.0, 0.0, 0.0)
     if len(times) < 4:
         return best
@@ -132,16 +151,18 @@ def fold_period(times: np.ndarray, jitter: float = 0.1) -> tuple[float, float, f
     if not len(d):
         return best
     for start in (np.median(d), np.quantile(d, 0.25), np.median(d) / 2, np.median(d) / 3):
-        for anchor in t[:3]:
-            p, a = start, anchor
+        for anchor in range(3):
+            p, a = start, t[anchor]
+            n = _chained(t.tolist(), anchor, float(start), 2 * jitter)
+            on = ~np.isnan(n)
             for _ in range(3):
-                n = np.round((t - a) / p)
-                on = np.abs(t - a - n * p) <= jitter * p
                 if on.sum() < 3 or np.ptp(n[on]) == 0:
                     break
                 p, a = np.polyfit(n[on], t[on], 1)
                 if p <= 0:
                     break
+                n = np.round((t - a) / p)
+                on = np.abs(t - a - n * p) <= jitter * p
             if p <= 0:
                 continue
             n = np.round((t - a) / p)
