@@ -45,21 +45,39 @@ def presence(events: DataFrame, idle: str = "6 hours", late: str = "40 days") ->
     return w.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).select("channel", F.unix_micros("a").alias("first"), F.unix_micros("b").alias("last"), "n")
 
 
-def alarms(events: DataFrame, on: float = 0.7, off: float = 0.4, raise_after: int = 2, clear_after: int = 3, reopen: int = 86_400_000_000) -> DataFrame:
-    """event_id, channel, step: the hysteresis of alarms, its four state values kept between batches.
+#: Alarm state before the rows held, number of rows seen, and of the rows held: time, id, level, number, step told.
+_HELD = "is_open boolean, above int, below int, cleared long, seen long, times array<long>, ids array<long>, levels array<double>, rows array<long>, steps array<string>"
 
-    Rows of one batch are taken in order of time; batches must come in order of time.
+
+def alarms(events: DataFrame, on: float = 0.7, off: float = 0.4, raise_after: int = 2, clear_after: int = 3, reopen: int = 86_400_000_000, late: str = "40 days") -> DataFrame:
+    """event_id, channel, row, revision, step: the hysteresis of alarms, its state kept between batches.
+
+    Rows may come in any order: those within ``late`` of the newest time are held in the key's state and folded again in
+    order of time with every later batch, and a row whose step changes is told again. Of a channel's ``row`` (its number of
+    arrival) the highest ``revision`` holds; ``drained`` keeps that one. Rows later than ``late`` are dropped.
     """
 
     def fold(key: tuple[Any, ...], frames: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        frame = pd.concat(frames).sort_values(["t_us", "event_id"])
-        before = tuple(state.get) if state.exists else (False, 0, 0, -1)
-        steps, after = hysteresis_steps((frame["level"] / 100).tolist(), frame["t_us"].tolist(), before, on, off, raise_after, clear_after, reopen)
-        state.update(after)
-        yield pd.DataFrame({"event_id": frame["event_id"], "channel": key[0], "step": steps})
-
-    rows = events.select("event_id", "channel", "level", F.unix_micros("ts").alias("t_us"))
-    return rows.groupBy("channel").applyInPandasWithState(fold, "event_id long, channel long, step string", "is_open boolean, above int, below int, cleared long", "append", "NoTimeout")
+        *before, seen, times, ids, levels, numbers, told = state.get if state.exists else (False, 0, 0, -1, 0, [], [], [], [], [])
+        passed = state.getCurrentWatermarkMs() * 1000
+        held = list(zip(times, ids, levels, numbers, told))
+        for frame in frames:
+            for t, i, x in zip(frame["t_us"].tolist(), frame["event_id"].tolist(), frame["level"].tolist()):
+                if t >= passed:
+                    held.append((t, i, x, seen, None))
+                    seen += 1
+        held.sort(key=lambda r: (r[0], r[1], r[3]))
+        fold_steps = lambda rows, start: hysteresis_steps([r[2] / 100 for r in rows], [r[0] for r in rows], start, on, off, raise_after, clear_after, reopen)
+        steps, _ = fold_steps(held, tuple(before))
+        changed = [(r[1], r[3], s) for r, s in zip(held, steps) if s != r[4]]
+        n = sum(r[0] < passed for r in held)
+        _, after = fold_steps(held[:n], tuple(before))
+        kept = [(*r[:4], s) for r, s in zip(held[n:], steps[n:])]
+        state.update((*after, seen, *([list(c) for c in zip(*kept)] or [[], [], [], [], []])))
+        yield pd.DataFrame({"event_id": [c[0] for c in changed], "channel": key[0], "row": [c[1] for c in changed], "revision": seen, "step": [c[2] for c in changed]})
+
+    rows = events.withWatermark("ts", late).select("event_id", "channel", "level", "ts", F.unix_micros("ts").alias("t_us"))
+    return rows.groupBy("channel").applyInPandasWithState(fold, "event_id long, channel long, row long, revision long, step string", _HELD, "append", "NoTimeout")
 
 
 def sealed_tiles(events: DataFrame, hours: int = 1, late: str = "2 hours") -> DataFrame:
@@ -86,7 +104,10 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     at = scratch(spark, f"stream-{name}")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{at}/out")
+        out = spark.read.schema(stream.schema).parquet(f"{at}/out")
+        if "revision" not in out.columns:
+            return out
+        return out.groupBy("channel", "row").agg(F.max_by(F.struct("event_id", "step", "revision"), "revision").alias("r")).select("r.event_id", "channel", "row", "r.revision", "r.step")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
