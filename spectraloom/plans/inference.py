@@ -32,7 +32,7 @@ def novelty_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("event_id", F.round("z", 6).alias("z"), F.round(S.novelty_of_z(F.col("z")), 6).alias("novelty"))
 
 
-@query(f"""WITH RECURSIVE {VISITS_SQL}, f AS (SELECT channel, tier, min(start_us) // {DAY} AS d FROM v WHERE cell < 30 GROUP BY ALL),
+@query(f"""WITH RECURSIVE {VISITS_SQL}, f AS (SELECT channel, tier, min(start_us) // {DAY} AS d FROM v GROUP BY ALL),
 k AS (SELECT d, count(*)::BIGINT AS k FROM f GROUP BY d),
 t AS (SELECT d, k, 0 AS i, exp(-20.0::DOUBLE) AS term, 0.0::DOUBLE AS below FROM k UNION ALL SELECT d, k, i + 1, term * 20 / (i + 1), below + term FROM t WHERE i < least(k, 200))
 SELECT d::BIGINT AS d, k, round(greatest(0, least(1, -log10(greatest(1 - below, 1e-300)) / 6)), 6) AS novelty FROM t WHERE i = least(k, 200)""")
@@ -117,7 +117,7 @@ def minimum_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.sliding_minimum(visits(spark, sf_dir), ["channel"], "start_us", "event_id", "level", 4).select("event_id", "minimum")
 
 
-_FILL = """d AS (SELECT channel, start_us // 86400000000 AS d, avg(level) AS y FROM v WHERE cell % 2 = 0 GROUP BY ALL), a AS (SELECT DISTINCT channel, start_us // 86400000000 AS d FROM v),
+_FILL = """d AS (SELECT channel, start_us // 86400000000 AS d, avg(level) AS y FROM v GROUP BY ALL), a AS (SELECT channel, unnest(range(min(start_us // 86400000000), max(start_us // 86400000000) + 1)) AS d FROM v GROUP BY channel),
 j AS (SELECT a.channel, a.d, y, CASE WHEN y IS NOT NULL THEN a.d END AS kd FROM a LEFT JOIN d ON a.channel = d.channel AND a.d = d.d),
 f AS (SELECT *, last_value(y IGNORE NULLS) OVER b AS ya, last_value(kd IGNORE NULLS) OVER b AS xa, first_value(y IGNORE NULLS) OVER c AS yb, first_value(kd IGNORE NULLS) OVER c AS xb FROM j
 WINDOW b AS (PARTITION BY channel ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), c AS (PARTITION BY channel ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
@@ -204,7 +204,7 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.as_of(asked, shipped, "part", "t", "price", "row").select("row.l_orderkey", "row.l_linenumber", "price")
 
 
-@query("""WITH k AS (SELECT p_size::DOUBLE AS x, avg(p_retailprice) AS y FROM part WHERE p_size % 7 = 0 GROUP BY 1), p AS (SELECT p_partkey, p_size::DOUBLE AS x FROM part),
+@query("""WITH k AS (SELECT p_size::DOUBLE AS x, avg(p_retailprice) AS y FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1), p AS (SELECT p_partkey, p_size::DOUBLE AS x FROM part),
 a AS (SELECT p.*, k.x AS xa, k.y AS ya FROM p ASOF LEFT JOIN k ON p.x >= k.x), b AS (SELECT a.*, k.x AS xb, k.y AS yb FROM a ASOF LEFT JOIN k ON a.x <= k.x)
 SELECT p_partkey, round(CASE WHEN xa IS NULL THEN yb WHEN xb IS NULL OR xa = xb THEN ya ELSE ya + (yb - ya) * (x - xa) / (xb - xa) END, 6) AS y FROM b""")
 def asof_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,12 +216,12 @@ def asof_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(F.broadcast(at), "x").select("p_partkey", F.round("y", 6).alias("y"))
 
 
-@query("""SELECT l.l_orderkey, l.l_linenumber, n.n_name, 'direct' AS via FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE l.l_returnflag = 'R'
-UNION ALL SELECT l.l_orderkey, l.l_linenumber, n.n_name, 'track' FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE l.l_returnflag = 'R'""")
+@query("""SELECT l.l_orderkey, l.l_linenumber, n.n_name, 'direct' AS via FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
+UNION ALL SELECT l.l_orderkey, l.l_linenumber, n.n_name, 'track' FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey""")
 def lineage_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineage of lines to nations by two ways: their supplier, and their order's customer."""
     t = lambda n: table(spark, sf_dir, n)
-    line = t("lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_suppkey")
+    line = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     nation = t("nation").select("n_nationkey", "n_name")
     direct = line.join(t("supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).join(nation, "n_nationkey")
     track = line.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), F.col("o_custkey") == F.col("c_custkey")).join(nation, "n_nationkey")

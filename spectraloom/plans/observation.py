@@ -240,7 +240,7 @@ def dominant_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {VISITS_SQL}, h AS (SELECT DISTINCT (start_us // 86400000000)::BIGINT AS d FROM v), k AS (SELECT DISTINCT tier FROM v),
-a AS (SELECT tier, (start_us // 86400000000)::BIGINT AS d, avg(level) AS m FROM v WHERE cell % 3 = 0 GROUP BY ALL)
+a AS (SELECT tier, (start_us // 86400000000)::BIGINT AS d, avg(level) AS m FROM v GROUP BY ALL)
 SELECT k.tier, g.d, round(a.m, 6) AS mean_db FROM k CROSS JOIN (SELECT unnest(range((SELECT min(d) FROM h), (SELECT max(d) FROM h) + 1)) AS d) g LEFT JOIN a ON a.tier = k.tier AND a.d = g.d""")
 def level_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily means over a dense grid of days: an unobserved day is null, not quiet. The grid is days by tiers."""

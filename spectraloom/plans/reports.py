@@ -32,7 +32,7 @@ def report_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cell", F.coalesce("n_visits", F.lit(0)).alias("n_visits"), F.round(F.coalesce("observed_us", F.lit(0)) / float(WIDTH), 9).alias("coverage"), F.round("fco", 9).alias("fco"), F.coalesce("n_channels", F.lit(0)).alias("n_channels"), F.col("observed_us").isNull().alias("never_observed"))
 
 
-@query(f"""WITH {VISITS_SQL}, x AS (SELECT tier, channel, (cell + 1)::DOUBLE AS n, level + 25.0 * (cell + 1) AS f FROM v WHERE cell < 12)
+@query(f"""WITH {VISITS_SQL}, x AS (SELECT tier, channel, (cell + 1)::DOUBLE AS n, level + 25.0 * (cell + 1) AS f FROM v WHERE cell IS NOT NULL AND level IS NOT NULL)
 SELECT channel, round(regr_slope(f, n), 5) AS spacing, round(regr_intercept(f, n), 4) AS f0, CASE WHEN count(*) > 2 THEN round(sqrt(greatest(regr_syy(f, n) - regr_slope(f, n) * regr_sxy(f, n), 0) / (count(*) - 2)), 4) END AS sigma, count(*)::BIGINT AS n
 FROM x GROUP BY channel HAVING count(DISTINCT n) > 1""")
 def harmonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def fused_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.fused(w, "channel", "w", F.when(F.col("tier") == "error", 0.5).otherwise(1.0), 0.6).select("channel", "tier", F.round("posterior", 6).alias("posterior"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding[1:8] AS z FROM embeddings), p AS (SELECT vec_id, list_transform(z, lambda x: exp((x::DOUBLE - list_max(z)::DOUBLE) / 0.5)) AS p FROM e)
+@query("""WITH e AS (SELECT vec_id, embedding AS z FROM embeddings), p AS (SELECT vec_id, list_transform(z, lambda x: exp((x::DOUBLE - list_max(z)::DOUBLE) / 0.5)) AS p FROM e)
 SELECT vec_id, round(list_max(p) / list_sum(p), 6) AS best, round(-0.5 * ln(list_sum(p)), 6) AS energy FROM p""")
 def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best probability at a temperature, and the free energy over the largest logit, of each vector's values."""
@@ -86,7 +86,7 @@ def sync_word_hunt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.word_hunt(p, "page_id", "raw", 4).where("frames >= 10")
 
 
-@query("""WITH b AS (SELECT hex(encode(url)) AS h FROM pages WHERE length(url) > 0), u AS (SELECT i, substr(h, 2 * i::INT + 1, 2) AS x FROM (SELECT h, unnest(range(least(length(h) // 2, 24))) AS i FROM b)),
+@query("""WITH b AS (SELECT hex(encode(url)) AS h FROM pages WHERE length(url) > 0), u AS (SELECT i, substr(h, 2 * i::INT + 1, 2) AS x FROM (SELECT h, unnest(range(length(h) // 2)) AS i FROM b)),
 c AS (SELECT i, x, count(*) AS n FROM u GROUP BY ALL) SELECT i::INT AS at, sum(n)::BIGINT AS n, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY i""")
 def field_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of each byte place of the frames."""
@@ -102,11 +102,11 @@ def crc_model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.crc_search(p.select(F.concat("raw", tail).alias("raw")), "raw")
 
 
-@query("""SELECT l.l_orderkey, l.l_linenumber, o.o_orderstatus, c.c_mktsegment, s.s_name FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey AND o.o_orderstatus <> 'P' LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0 LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey AND s.s_acctbal > 0 WHERE l.l_quantity >= 40""")
+@query("""SELECT l.l_orderkey, l.l_linenumber, o.o_orderstatus, c.c_mktsegment, s.s_name FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey AND o.o_orderstatus <> 'P' LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0 LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey AND s.s_acctbal > 0""")
 def provenance_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with what is known of their order, its customer and their supplier; unknown parts are null."""
     t = lambda n: table(spark, sf_dir, n)
-    line = t("lineitem").where("l_quantity >= 40").select("l_orderkey", "l_linenumber", "l_suppkey")
+    line = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     o = t("orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_orderstatus", "o_custkey")
     c = t("customer").where("c_acctbal > 0").select("c_custkey", "c_mktsegment")
     s = t("supplier").where("s_acctbal > 0").select("s_suppkey", "s_name")

@@ -176,7 +176,7 @@ def overload_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.overloaded(c, ["label"], "vec_id", "clipped", 2, 3, 2).select("vec_id", "clipped", "overload")
 
 
-@query(f"""WITH {VISITS_SQL}, x AS (SELECT channel, (start_us - 1704067200000000) / 3.6e9 AS t, level AS f FROM v WHERE cell % 4 = 0)
+@query(f"""WITH {VISITS_SQL}, x AS (SELECT channel, (start_us - 1704067200000000) / 3.6e9 AS t, level AS f FROM v)
 SELECT channel, round(regr_slope(f, t), 6) AS rate, round(regr_r2(f, t), 6) AS r2, count(*)::BIGINT AS n FROM x GROUP BY channel HAVING count(DISTINCT t) > 1 AND count(DISTINCT f) > 1""")
 def drift_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of each channel's level over time, as of a chirp."""
