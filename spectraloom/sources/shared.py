@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session names none, as in tests, a folder of our own."""
+    """``spark.checkpoint.dir``. Only a local session, as in tests, may name none and gets a folder of our own."""
     context = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir().isDefined():
         return named or context.getCheckpointDir().get()
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     found = named or tempfile.mkdtemp(prefix="spectraloom-")
     spark.sparkContext.setCheckpointDir(found)
     return found
@@ -31,6 +33,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables written for one computation, to be dropped together once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(scratch(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        while self.paths:
+            drop_path(self.spark, self.paths.pop())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written table through Spark's file system layer."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
