@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+PIECE_BYTES = 8 << 20
+PIECE_ROWS = 500
 
 
-BATCH_BYTES = 16 << 20
-
+def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that a worker's own arrays stay small, whatever the session's batch limits are.
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches of whole texts small, so that a run of very long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    A piece has at most ``PIECE_ROWS`` rows and ``most`` (else ``PIECE_BYTES``) bytes of a text or binary column, or is
+    one row.
+    """
+    most = PIECE_BYTES if most is None else most
+    for batch in batches:
+        total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
+        first = 0
+        while first < batch.num_rows:
+            last = int(np.searchsorted(total, total[first] + most, side="right")) - 1
+            last = min(max(first + 1, last), first + PIECE_ROWS)
+            yield batch.slice(first, last - first)
+            first = last
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +44,9 @@ def ascii_lower(c: Column) -> Column:
 def salted_hash(*cols: Column) -> Column:
     """The first 52 bits of an MD5 digest as a long: a hash that SQL engines agree on."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 13), 16, 10).cast("long")
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Keep Arrow batches of whole texts small, so that a run of very long texts fits a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
