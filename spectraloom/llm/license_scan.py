@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectraloom.llm.common import small_batches, table
+from spectraloom.llm.common import pieces, table
 from spectraloom.llm.textwords import ALNUM, text_hash, windows, word_hashes
 
 K = 2
@@ -73,7 +73,7 @@ def n_words_of(text: Column) -> Column:
 
 
 def _rolled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         ids, hashes = batch.column("doc_id"), batch.column("text_hash").to_numpy(zero_copy_only=False)
         for _, _, h, row in word_hashes(batch.column("text"), ALNUM):
             gram, of, at = windows(h, row, K)
@@ -83,7 +83,6 @@ def _rolled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rolling_grams(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, i, h: every word pair of every text, by the place of its first word."""
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_rolled, f"doc_id {kind}, text_hash long, i int, h long")
 
@@ -194,10 +193,12 @@ votes AS (SELECT doc_id, template, label, is_base, m, i - j AS diagonal, bit_or(
           FROM grams JOIN templates USING (gram) GROUP BY ALL),
 base AS (SELECT doc_id, label, true AS is_base, i0 AS start_word, 1.0::DOUBLE AS coverage FROM votes WHERE is_base AND bit_count(covered) = m AND i1 - i0 + 1 = m),
 seeds AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {MAX_SHIFT})::INT, 1) AS opens
-          FROM votes WHERE NOT is_base AND (bit_count(covered) > 2 OR m < 5)),
+          FROM votes WHERE NOT is_base),
 spans AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM seeds),
+sized AS (SELECT *, max(i1) OVER (PARTITION BY doc_id, template, span) - min(i0) OVER (PARTITION BY doc_id, template, span) + 1 AS words FROM spans),
+started AS (SELECT *, unnest(CASE WHEN words <= 1.25 * m + 2 THEN [NULL::BIGINT] ELSE range(diagonal - floor(0.25 * m + 2)::BIGINT, diagonal + 1) END) AS start FROM sized),
 merged AS (SELECT doc_id, label, m, bit_count(bit_or(covered)) / m::DOUBLE AS coverage, min(i0) AS start_word, max(i1) AS end_word
-           FROM spans GROUP BY doc_id, template, label, m, span),
+           FROM started GROUP BY doc_id, template, label, m, span, start),
 hits AS (SELECT * FROM base UNION ALL
          SELECT doc_id, label, false, start_word, coverage FROM merged WHERE coverage >= {MIN_COVERAGE} AND end_word - start_word + 1 <= 1.25 * m + 2),
 found AS (SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(start_word) FILTER (is_base) AS first_word, max(start_word) FILTER (is_base) AS last_word,
