@@ -28,6 +28,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_sharding": sharding.ORACLE_SQL,
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,

@@ -3,8 +3,8 @@
 Every shard draws a number for every key; the shard with the best weighted draw, ``weight / -ln(draw)``, holds the record.
 A new shard wins only the records whose best draw becomes its own, so no record moves between old shards. Placement is
 a projection; nothing is shuffled for it. The slot, a gapless number within a shard, takes one shuffle of the narrow
-columns: keys are cut into ranges of their hash, numbered within each range, and the ranges' counts (a table of at
-most shards x 4096 rows) give each range its start.
+columns: keys are cut into ranges of their hash, numbered within each range, and the ranges' counts (at most 4096 for
+a shard) give each range its start. Both sides of that join are dealt by shard and range already.
 
 Defined results: a null key is a key like any other (the text ``null``); a null text has size 1 and the CRC of no bytes;
 rows alike in key and content get neighbouring slots, in any order, as they are the same rows; equal texts under different
@@ -56,7 +56,7 @@ def number(df: DataFrame, group: str, key: str, within: list[str], into: str = "
     starts = counts.select(group, "__r", (F.sum("count").over(Window.partitionBy(group).orderBy("__r")) - F.col("count")).alias("__start"))
     by = Window.partitionBy(group, "__r").orderBy("__h", key, *within)
     ranked = hashed.withColumn("__n", F.row_number().over(by))
-    return ranked.join(F.broadcast(starts), [group, "__r"]).withColumn(into, (F.col("__start") + F.col("__n") - 1).cast("long")).drop("__h", "__r", "__start", "__n")
+    return ranked.join(starts, [group, "__r"]).withColumn(into, (F.col("__start") + F.col("__n") - 1).cast("long")).drop("__h", "__r", "__start", "__n")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
@@ -64,3 +64,28 @@ def op4_sharding(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame
     narrow = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = place(place(narrow, "doc_id", [1.0] * shards), "doc_id", [1.0] * (shards + 1), "grown_shard")
     return number(placed, "shard", "doc_id", ["text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _sql(shards: int = 8) -> str:
+    """CRC-32 is linear over two-element arithmetic: what a byte turns the register by is the sum of what its bits do."""
+    step = [1]
+    for bit in range(8):
+        r = 1 << bit
+        for _ in range(8):
+            r = r >> 1 ^ (0xEDB88320 if r & 1 else 0)
+        step.append(r)
+    turned = lambda x: "0"
+    for bit in range(8):
+        turned = lambda x, bit=bit, inner=turned: f"xor({inner(x)}, (({x} >> {bit}) & 1) * {step[bit + 1]})"
+    low = "(xor(c, b) & 255)"
+    draw = lambda s: f"(-1.0 / ln((('0x' || substr(md5(k || '@{s}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE))"
+    best = lambda n: f"list_position([{', '.join(draw(s) for s in range(n))}], list_max([{', '.join(draw(s) for s in range(n))}])) - 1"
+    return f"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
+p AS (SELECT doc_id, k, (octet_length(raw) + 1)::BIGINT AS size, ({best(shards)})::INT AS shard, ({best(shards + 1)})::INT AS grown_shard,
+  list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT)) AS v FROM t),
+c AS (SELECT * EXCLUDE (v), xor(list_reduce(v, lambda c, b: xor(c >> 8, {turned(low)})), 4294967295)::BIGINT AS text_crc32 FROM p)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY md5(k), doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard FROM c"""
+
+
+ORACLE_SQL = _sql()
