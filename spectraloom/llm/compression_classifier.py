@@ -8,7 +8,8 @@ Fitting is bounded: from the labels at most ``SAMPLE`` rows of each class, the l
 most ``LONGEST`` bytes. Scoring covers every whole text. Neither label, lang, source nor doc_id enters a score.
 
 Defined results: a null or empty text has the feature 0 and so the curve's score there; equal texts get equal scores; a label
-without document, with a null, or repeated is left out or taken once; where a class has no usable text every score is the
+without document, with a null, or repeated is left out or taken once (the larger quality), as is a document (the least of
+its texts that fit); ids may be of any type; where a class has no usable text every score is the
 share of good labels (0.5 with no labels); extra columns stay where a filter returns documents.
 """
 
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import small_batches, table
+from spectraloom.llm.common import pieces, table
 
 SAMPLE = 1500
 LONGEST = 32_000
@@ -85,12 +86,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     usable = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     totals = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     order = F.md5(F.col("doc_id").cast("string"))
-    chosen = [r for q in (0, 1) for r in usable.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample).collect()]  # 2 * sample ids
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(r["doc_id"], r["quality"]) for r in chosen], "doc_id long, quality int")
-    short = docs.where(F.octet_length("text").between(1, LONGEST)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = sorted({(r["doc_id"], r["quality"], r["text"]) for r in short.join(F.broadcast(ids), "doc_id").collect()})
-    rows.sort(key=lambda r: (str(r[0])[::-1], r[2]))
+    first, second = (usable.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1))
+    ids = F.broadcast(first.unionByName(second))  # 2 * sample ids
+    short = docs.where(F.octet_length("text").between(1, LONGEST)).select("doc_id", "text")
+    # one text an id, however often its row is repeated, so 2 * sample texts of LONGEST bytes at most
+    chosen = short.join(ids, "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
+    rows = sorted((str(r["doc_id"])[::-1], r["quality"], r["text"]) for r in chosen.collect())
     texts = {q: [t.encode() for _, label, t in rows if label == q] for q in (0, 1)}
     n = sum(totals.values())
     if not all(len(t) >= 2 for t in texts.values()):
@@ -115,12 +116,11 @@ def _scores(model: Model, batch: pa.RecordBatch, compressors: Compressors | None
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Compressors(held.value) if held.value.slope else None
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(held.value, batch, c), pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -129,12 +129,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows whose score is at least ``least``, with all their columns."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Compressors(held.value) if held.value.slope else None
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array([s >= least for s in _scores(held.value, batch, c)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

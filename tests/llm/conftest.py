@@ -7,10 +7,10 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def documents(spark):
     """Makes a documents table of texts, or of (doc_id, text) pairs; further columns have names that operators use inside."""
 
-    def make(texts, more=True):
+    def make(texts, more=True, kind="long"):
         rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
         rows = [(i, t, ("en", "de", None)[k % 3], f"src{k % 4}" if k % 7 else None, None if t is None else len(t)) for k, (i, t) in enumerate(rows)]
-        df = spark.createDataFrame(rows, DOCS)
+        df = spark.createDataFrame(rows, DOCS.replace("doc_id long", f"doc_id {kind}"))
         if more:
             from pyspark.sql import functions as F
 
