@@ -5,7 +5,7 @@ ends) and digested with SHA-256; the tokenizer's version is the digest of its vo
 stored table by both digests. One text for each digest that the table lacks is encoded, and its count appended to
 the table; every document then takes its count from there. So copies, and texts met in earlier runs, aren't encoded again.
 
-The cache is a folder of Parquet files, appended to by each run; a run that dies leaves whole files or none. Two
+Digests are worked out once a row and written with its id. The cache is a folder of Parquet files by tokenizer version, appended to by each run; a run that dies leaves whole files or none. Two
 runs at once may both append a digest: both rows agree, and reading takes one.
 
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens; equal rows give equal results; rows that share a
@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from spectraloom.llm.common import small_batches, table
+from spectraloom.llm.common import pieces, table
 from spectraloom.llm.tokens import Encoder, vocabulary_path
-from spectraloom.sources.shared import scratch
+from spectraloom.sources.shared import scratch, written
 
 LIMIT = 2048
-CACHE_SCHEMA = "version string, digest binary, n_tokens long"
+CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 
 
 def tokenizer_version(path: str) -> str:
@@ -51,25 +51,30 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return found.where(F.col("version") == version).select("digest", "n_tokens")
 
 
-def misses(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """digest, text: one text for each digest of ``docs`` that ``known`` lacks.
+def digested(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n_bytes, digest of every row; ``mark`` is a quick hash that tells a document's texts apart."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("mark"), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest"))
+
+
+def misses(docs: DataFrame, each: DataFrame, known: DataFrame) -> DataFrame:
+    """digest, text: one text for each digest of ``each`` (the digested ``docs``) that ``known`` lacks.
 
     Only digests are grouped; a text moves once at most, keyed by its document, so a group of copies is no hot key.
     """
-    keyed = docs.select("doc_id", content_digest(F.col("text")).alias("digest"))
-    chosen = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
-    texts = docs.select("doc_id", content_digest(F.col("text")).alias("digest"), "text").alias("t")
-    first = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.digest") == F.col("c.digest"))
-    return texts.join(chosen.alias("c"), first, "left_semi").select("digest", "text")
+    chosen = each.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("c")).join(known, "digest", "left_anti")
+    chosen = chosen.select("digest", F.col("c.doc_id").alias("doc_id"), F.col("c.mark").alias("mark")).alias("c")
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text").alias("t")
+    first = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.mark") == F.col("c.mark"))
+    return texts.join(chosen, first).select("digest", "text")
 
 
 def encode_misses(missing: DataFrame, path: str) -> DataFrame:
     """digest, n_tokens, encoded by the library."""
-    small_batches(missing.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, done = Encoder(path, counts=True), set()
-        for batch in batches:
+        for batch in pieces(batches):
             digests = batch.column("digest").to_pylist()
             fresh = [i for i, d in enumerate(digests) if d not in done and not done.add(d)]  # repeated rows
             counts = encoder.n_tokens([batch.column("text")[i].as_py() for i in fresh])
@@ -82,11 +87,10 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None) -> DataFr
     """doc_id, n_bytes, n_tokens of every row; the cache at ``cache`` is brought up to date first."""
     spark, path = docs.sparkSession, path or vocabulary_path()
     version = tokenizer_version(path)
-    counted = encode_misses(misses(docs, read_cache(spark, cache, version)), path)
-    counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    each = written(digested(docs), "digests")
+    counted = encode_misses(misses(docs, each, read_cache(spark, cache, version)), path)
+    counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").partitionBy("version").parquet(cache)
     known = read_cache(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    text = F.coalesce("text", F.lit(""))
-    each = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest"))
     return each.join(known, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
