@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents' word 5-grams with token-combination prefixes, and its connected components.
 
 1. Every text becomes a set of 64-bit shingle hashes. Documents with equal sets form a class; classes take part once.
-2. A sketch of 2**20 to 2**25 cells, by the number of documents, counts the classes that hold a shingle. A shingle whose
+2. A sketch of 2**20 to 2**28 cells, by the number of documents, counts the classes that hold a shingle. A shingle whose
    cell holds more than a threshold is *frequent*, any other *rare*. The sketch never counts too little, so a rare
    shingle is in fewer classes than the threshold; counting too much only makes a rare one frequent, which costs time
    and loses nothing.
@@ -16,7 +16,7 @@
    in blocks of bounded size by matrix products of their incidence, so no pair is written out.
 5. Candidates are verified on whole sets in integers, and links become components.
 
-What reaches the driver is bounded: the bits of the sketch (4 MB at most) and of one membership filter (512 KB). No key collects a group in a
+What reaches the driver is bounded: the bits of the sketch (32 MB at most) and of one membership filter (8 MB at most). No key collects a group in a
 task: index runs are read from sorted partitions, families are cut into blocks, classes are grouped by partial counts.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component; a text of one to four
@@ -37,17 +37,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import small_batches, table
+from spectraloom.llm.common import pieces, table
 from spectraloom.llm.textwords import SPACED, U, mix, windows, word_hashes
 from spectraloom.operators.graph import connected_components
-from spectraloom.sources.shared import written
+from spectraloom.sources.shared import Steps, written
 
 K = 5
 SIMILARITY = 80  # of 100
-CELL_BITS = (20, 25)
+CELL_BITS = (20, 28)
 CELLS_PER_DOCUMENT = 64
-PART_BITS = 16
-FILTER_BITS = 22
+FLUSH = 1 << 21  # shingles that a task counts before it hands them on
+FILTER_BITS = (22, 26)
+BITS_PER_MEMBER = 16
 LEAST_FREQUENT = 48
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 21  # 16 MB of hashes
@@ -59,6 +60,16 @@ def cell_bits_for(documents: int) -> int:
     return min(most, max(least, (CELLS_PER_DOCUMENT * documents).bit_length()))
 
 
+def part_bits_for(cell_bits: int) -> int:
+    """The sketch is cut into 256 to 4,096 parts, each of which is summed by itself; a place in a part has 16 bits at most."""
+    return max(12, cell_bits - 12)
+
+
+def filter_bits_for(members: int) -> int:
+    least, most = FILTER_BITS
+    return min(most, max(least, (BITS_PER_MEMBER * members).bit_length()))
+
+
 def frequent_from(shingles: int, cell_bits: int) -> int:
     """The count from which a cell is frequent: a floor, the usual load of a cell, and eight times its usual spread."""
     load = shingles / (1 << cell_bits)
@@ -108,32 +119,52 @@ class Sets:
 
 
 def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Sets]]:
-    for batch in batches:
+    for batch in pieces(batches):
         for first, last, h, row in word_hashes(batch.column("text"), SPACED):
             yield batch, Sets(h, row, first, last)
 
 
+def _counted(cells: np.ndarray, part_bits: int) -> Iterator[tuple[int, bytes]]:
+    """Parts of the sketch of some shingles' cells: the places in the part and their counts."""
+    cells = np.sort(cells)
+    start = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    count, cell = np.diff(np.r_[start, len(cells)]).astype(np.uint32), cells[start]
+    part = cell >> np.uint32(part_bits)
+    place = (cell & np.uint32((1 << part_bits) - 1)).astype(np.uint16)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(part[i]), pack(place[i:j].tobytes() + count[i:j].tobytes())
+
+
 def _classes(cell_bits: int):
-    """Each document's set size and class; at the end the task's sketch, in parts."""
-    names = ["doc_id", "n_shingles", "class_id", "part", "cells"]
+    """Each document's set size and class; now and then, and at the end, what the task has counted for the sketch, in parts."""
+    names = ["doc_id", "mark", "n_shingles", "class_id", "part", "cells"]
+
+    def parts(held: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        found = list(_counted(np.concatenate(held), part_bits_for(cell_bits)))
+        none = [pa.nulls(len(found), t) for t in (kind, pa.int64(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary())], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen, kind = np.zeros(1 << cell_bits, np.uint32), set(), None
+        held, n, seen, kind = [], 0, set(), None
         for batch, s in _slices(batches):
             fresh = s.fresh(seen)
-            np.add.at(cells, (s.shingle[fresh[s.of]] & U((1 << cell_bits) - 1)).astype(np.int64), np.uint32(1))
             kind = batch.column("doc_id").type
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.first, s.rows), pa.array(s.n, pa.int64()), pa.array(s.id), pa.nulls(s.rows, pa.int32()), pa.nulls(s.rows, pa.binary())], names)
-        if kind is not None:
-            pack, step = zstandard.ZstdCompressor(level=1).compress, 1 << PART_BITS
-            parts = [(i, cells[i * step : (i + 1) * step]) for i in range(1 << (cell_bits - PART_BITS))]
-            parts = [(i, pack(c.tobytes())) for i, c in parts if c.any()]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), kind), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names)
+            held.append((s.shingle[fresh[s.of]] & U((1 << cell_bits) - 1)).astype(np.uint32))
+            n += len(held[-1])
+            ids, marks = (batch.column(c).slice(s.first, s.rows) for c in ("doc_id", "mark"))
+            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(s.n, pa.int64()), pa.array(s.id), pa.nulls(s.rows, pa.int32()), pa.nulls(s.rows, pa.binary())], names)
+            if n >= FLUSH:
+                yield parts(held, kind)
+                held, n = [], 0
+        if n:
+            yield parts(held, kind)
 
     return run
 
 
-def _frequent_parts(threshold: int):
+def _frequent_parts(threshold: int, part_bits: int):
     """Sums the parts of the sketch, which arrive sorted, and keeps one bit a cell."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +178,10 @@ def _frequent_parts(threshold: int):
                 if part != at:
                     if at is not None:
                         yield done()
-                    at, total = part, np.zeros(1 << PART_BITS, np.uint64)
-                total += np.frombuffer(unpack(cells.as_py()), np.uint32)
+                    at, total = part, np.zeros(1 << part_bits, np.uint64)
+                raw = unpack(cells.as_py())
+                n = len(raw) // 6
+                total[np.frombuffer(raw, np.uint16, n)] += np.frombuffer(raw, np.uint32, n, 2 * n)  # places differ
         if at is not None:
             yield done()
 
@@ -253,14 +286,14 @@ def _run_pairs(key, cls, about, names) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(cls[x[ok]]), pa.array(cls[y[ok]]), pa.array(extra(np.minimum(n, m)[ok]).astype(np.int32)), pa.array(np.zeros(int(ok.sum()), bool))], names)
 
 
-def _wanted_sets(bits_of, filter_of):
+def _wanted_sets(bits_of, filter_of, filter_bits: int):
     """class_id, pool, items of the pool's sets and of those that the membership filter lets through."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bits, wanted = set(), np.frombuffer(bits_of.value, np.uint8), np.frombuffer(filter_of.value, np.uint8)
         for _, s in _slices(batches):
             order = Order(s, bits)
-            at = s.id & ((1 << FILTER_BITS) - 1)
+            at = s.id & ((1 << filter_bits) - 1)
             rows = np.flatnonzero(s.fresh(seen) & (order.pool | (wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             items = [s.shingle[s.start[d] : s.start[d] + s.n[d]].tobytes() for d in rows]
             yield pa.RecordBatch.from_arrays([pa.array(s.id[rows]), pa.array(order.pool[rows]), pa.array(items, pa.binary())], ["class_id", "pool", "items"])
@@ -268,14 +301,13 @@ def _wanted_sets(bits_of, filter_of):
     return run
 
 
-def _membership(ids: DataFrame) -> bytes:
-    """A filter of 2**FILTER_BITS bits over class ids; its size doesn't grow with the ids. Others may pass, none is missed."""
-    at = F.col("class_id").bitwiseAND((1 << FILTER_BITS) - 1)
-    rows = ids.select(F.shiftright(at, 5).alias("w"), F.expr(f"shiftleft(1L, cast(class_id & 31 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
-    words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for r in rows:
-        words[r["w"]] = r["bits"]
-    return words.tobytes()
+def _membership(ids: DataFrame, filter_bits: int) -> bytes:
+    """A filter of 2**filter_bits bits over class ids. Others may pass, none is missed."""
+    at = F.col("class_id").bitwiseAND((1 << filter_bits) - 1)
+    words = ids.select(F.shiftright(at, 5).alias("w"), F.expr("shiftleft(1L, cast(class_id & 31 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    held, out = words.toArrow(), np.zeros(1 << (filter_bits - 5), np.uint32)
+    out[held.column("w").to_numpy()] = held.column("bits").to_numpy().astype(np.uint32)
+    return out.tobytes()
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,37 +380,37 @@ def _compare(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([edges[edges["a"] != edges["b"]], counts[counts["links"] > 0]])
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (other documents that the document links with), one row a document."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+def _components(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, class_id, root (the component's class), component_id, n_links."""
+    spark, steps = docs.sparkSession, Steps(docs.sparkSession)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    small_batches(spark)
     cell_bits = cell_bits_for(docs.count())
-    first = written(texts.mapInArrow(_classes(cell_bits), f"doc_id {kind}, n_shingles long, class_id long, part int, cells binary"), "classes")
-    each = first.where("part is null").select("doc_id", "n_shingles", "class_id")
-    classes = written(each.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "class-rows")
+    part_bits = part_bits_for(cell_bits)
+    first = written(texts.mapInArrow(_classes(cell_bits), f"doc_id {kind}, mark long, n_shingles long, class_id long, part int, cells binary"), "classes")
+    each = first.where("part is null").select("doc_id", "mark", "n_shingles", "class_id")
+    classes = steps.written(each.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "class-rows")
     shingles = classes.agg(F.sum("n")).first()[0] or 0
     threshold = frequent_from(shingles, cell_bits)
     parts = first.where("part is not null").select("part", "cells").repartition("part").sortWithinPartitions("part")
     bits = bytearray(1 << (cell_bits - 3))
-    for r in parts.mapInArrow(_frequent_parts(threshold), "part int, bits binary").collect():  # 2**cell_bits bits
-        bits[r["part"] << (PART_BITS - 3) : (r["part"] + 1) << (PART_BITS - 3)] = r["bits"]
+    for r in parts.mapInArrow(_frequent_parts(threshold, part_bits), "part int, bits binary").toLocalIterator():  # 2**cell_bits bits
+        bits[r["part"] << (part_bits - 3) : (r["part"] + 1) << (part_bits - 3)] = r["bits"]
     bits_of = spark.sparkContext.broadcast(bytes(bits))
 
+    texts = texts.select("text")
     index = texts.mapInArrow(_index(bits_of), "key long, class_id long, about int, combo boolean")
     met = index.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings, "a long, b long, least int, combo boolean")
-    small_batches(spark, 2000)
-    met = written(met.groupBy("a", "b", "combo").agg(F.count("*").alias("times"), F.max("least").alias("least")).where("combo or times >= least").select("a", "b", "combo"), "met")
+    met = steps.written(met.groupBy("a", "b", "combo").agg(F.count("*").alias("times"), F.max("least").alias("least")).where("combo or times >= least").select("a", "b", "combo"), "met")
     pairs = met.where("not combo").select("a", "b")
-    filter_of = spark.sparkContext.broadcast(_membership(pairs.select(F.explode(F.array("a", "b")).alias("class_id"))))
-    small_batches(spark)
-    sets = texts.mapInArrow(_wanted_sets(bits_of, filter_of), "class_id long, pool boolean, items binary")
-    sets = written(sets.dropDuplicates(["class_id"]), "sets")
+    filter_bits = filter_bits_for(2 * pairs.count())
+    filter_of = spark.sparkContext.broadcast(_membership(pairs.select(F.explode(F.array("a", "b")).alias("class_id")), filter_bits))
+    sets = texts.mapInArrow(_wanted_sets(bits_of, filter_of, filter_bits), "class_id long, pool boolean, items binary")
+    sets = steps.written(sets.dropDuplicates(["class_id"]), "sets")
 
     x = sets.select(F.col("class_id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("class_id").alias("b"), F.col("items").alias("y"))
-    links = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "links")
+    links = steps.written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "links")
 
     family = connected_components(met.where("combo")).join(classes.select(F.col("class_id").alias("node"), "copies", "n"), "node")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
@@ -390,7 +422,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "copies", "items")
     )
-    compared = written(members.groupBy("root", "i", "j").applyInPandas(_compare, "a long, b long, links long, edge boolean"), "compared")
+    compared = steps.written(members.groupBy("root", "i", "j").applyInPandas(_compare, "a long, b long, links long, edge boolean"), "compared")
 
     root = connected_components(links.unionByName(compared.where("edge").select("a", "b")))
     count = F.col("copies")
@@ -404,21 +436,45 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     of_class = classes.join(root, F.col("class_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class_id"))
     least = of_class.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = of_class.join(least, "root").join(numbers, "class_id", "left").select("class_id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = known.select(F.col("class_id").alias("known_id"), "component_id", "n_links")
+    known = of_class.join(least, "root").join(numbers, "class_id", "left")
+    known = known.select(F.col("class_id").alias("known_id"), "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = written(known, "components")
+    steps.drop()
     linked = each.join(known, (F.col("class_id") == F.col("known_id")) & (F.col("n_shingles") > 0), "left")
-    own = F.col("n_shingles") == 0
-    return linked.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return linked.select("doc_id", "mark", "n_shingles", "class_id", "root", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other documents that the document links with), one row a document."""
+    return _components(docs).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with, of every component, only the one with the least doc_id; all their columns stay.
+    """One document of every component, with all its columns: the one with the least doc_id (null ids last).
 
-    Documents without a set, or without a doc_id, stay. Rows that share a doc_id stay or go together.
+    Rows that share the least doc_id are told apart by a hash of their texts; of rows that share both, one stays.
+    Documents without a set all stay.
     """
-    found = jaccard_components(docs)
-    away = found.where("component_id < doc_id").select(F.col("doc_id").alias("__away")).distinct()
-    return docs.join(away, F.col("doc_id") == F.col("__away"), "left_anti")
+    steps = Steps(docs.sparkSession)
+    rows = _components(docs).where("n_shingles > 0").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    rows = steps.written(rows, "rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    best = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "mark", "n"), order).alias("best"))
+    mark = F.struct(F.col("doc_id"), F.col("mark"))
+    gone = rows.join(best.select(F.col("root").alias("of"), F.struct("best.doc_id", "best.mark").alias("kept")), F.col("root") == F.col("of")).where(~mark.eqNullSafe(F.col("kept")))
+    again = best.where("best.n > 1").select("best.doc_id", "best.mark")
+    gone = gone.select("doc_id", "mark").unionByName(again)
+    away = written(gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), "away")
+    again = written(again.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), "again")
+    steps.drop()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__mark"))
+    left = docs.join(away, same, "left_anti")
+    if again.isEmpty():
+        return left
+    repeated = docs.join(again, same, "left_semi")
+    one = repeated.groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__mark")).agg(F.max_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    return left.unionByName(one.select("__row.*"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
