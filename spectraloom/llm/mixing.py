@@ -5,60 +5,101 @@ the target share of every source, then of every language, then of every topic. A
 tokens, divided by the largest such ratio, is the chance with which each of its documents is kept, so expected tokens
 stand in the fitted proportions and no document is repeated. A document's draw is a hash of its id.
 
+Topics are learned from the documents: of each language the ``ANCHORS`` words that most documents hold, among those of at
+least ``ANCHOR_LETTERS`` characters that at most ``COMMON`` and at least ``SCARCE`` of its documents hold. A document's topic
+is the anchor with the largest product of its count in the text and its logarithmic rarity in the language.
+
 The target share of a level is its share of tokens to the power ``ALPHA``, scaled to sum 1, unless targets are given.
+Targets that contradict each other can't be met: ``residual`` tells how far a fit is from them, and a fit that is further
+off than ``TOLERANCE`` is warned of.
 
-The cells, not the documents, go through the sweeps. Where they are few (``FEW_CELLS``, counted first) they are swept in one
-partition and broadcast to the documents; more of them are swept by shuffled windows and joined by shuffle, where AQE
-splits a hot source.
+The cells, not the documents, go through the sweeps, by windows over their few columns; the fitted rates are joined to the
+documents by whichever join the planner finds their size fit for. Anchors are bounded: a language needs a thousandth of
+all documents to have any, so they are ``ANCHORS`` times a thousand at most and travel by broadcast.
 
-Defined results: a null source or language is the level ''; a null or empty text has no tokens and the topic ``prose``; a
-cell without tokens is kept whole (rate 1); a null doc_id draws by its text; equal rows share their draw; extra columns stay
-in ``sample_mixture``; an empty table gives an empty result.
+Defined results: a null source or language is the level ''; a null or empty text has no tokens and the topic ''; a text
+without an anchor has the topic ''; ties of words go to the one that sorts first; a cell without tokens is kept whole
+(rate 1); a null doc_id draws by its text; equal rows share their draw; extra columns stay in ``sample_mixture``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectraloom.llm.common import salted_hash, table
+from spectraloom.llm.common import ascii_lower, salted_hash, table
 from spectraloom.sources.shared import written
 
 DIMENSIONS = ("source", "lang", "topic")
 ALPHA = 0.9
 SWEEPS = 12
-FEW_CELLS = 50_000
+TOLERANCE = 1e-3
+ANCHORS = 4
+ANCHOR_LETTERS = 4
+COMMON, SCARCE = 0.1, 0.005
+LEAST_LANGUAGE = 1000  # a language needs one document in so many
 GAP = r"[\x20\x09-\x0D]+"
 
 
+def _parts(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), GAP)
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space, the tokens that are weighed."""
-    parts = F.split(F.coalesce(text, F.lit("")), GAP)
+    parts = _parts(text)
     n = F.size(parts)
     return (n - (parts[0] == "").cast("int") - F.when(n > 1, (F.element_at(parts, -1) == "").cast("int")).otherwise(0)).cast("long")
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic by marks in the text: licence notices, contact data, marked-up or symbol-laden text, or prose."""
-    text = F.coalesce(text, F.lit(""))
-    return (
-        F.when(text.contains("License") | text.contains("license"), "notice")
-        .when(text.contains("@"), "contact")
-        .when(text.contains("***") | text.contains("{") | text.contains("<"), "markup")
-        .otherwise("prose")
+def anchors(docs: DataFrame) -> DataFrame:
+    """lang, anchors: each language's anchor words, in order, with their rarity (the logarithm of its documents over theirs)."""
+    lang = F.coalesce("lang", F.lit("")).alias("lang")
+    n = docs.groupBy(lang).agg(F.count("*").alias("docs"))
+    n = n.where(F.col("docs") * LEAST_LANGUAGE >= docs.count())
+    words = docs.select(lang, F.explode(F.array_distinct(_parts(ascii_lower(F.col("text"))))).alias("word")).where(F.length("word") >= ANCHOR_LETTERS)
+    held = words.groupBy("lang", "word").agg(F.count("*").alias("n")).join(n, "lang")
+    # a language has no more words of at least this share than its documents' mean number of words over the share
+    held = held.where((F.col("n") <= COMMON * F.col("docs")) & (F.col("n") >= SCARCE * F.col("docs")))
+    best = held.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("i") <= ANCHORS)
+    each = F.struct("word", F.ln(F.col("docs") / F.col("n")).alias("rarity"))
+    return best.groupBy("lang").agg(F.array_sort(F.collect_list(each)).alias("anchors"))
+
+
+def with_topic(docs: DataFrame, learned: DataFrame, into: str = "topic") -> DataFrame:
+    """``docs`` with the topic of each row by ``learned`` anchors."""
+    known = learned.select(F.col("lang").alias("__of"), F.col("anchors").alias("__anchors"))
+    held = docs.join(F.broadcast(known), F.coalesce("lang", F.lit("")) == F.col("__of"), "left")
+    words = _parts(ascii_lower(F.col("text")))
+    count = lambda a: F.size(F.filter(words, lambda w: w == a["word"]))
+    weighed = F.transform("__anchors", lambda a: F.struct((count(a) * a["rarity"]).alias("weight"), a["word"].alias("word")))
+    best = F.aggregate(
+        F.filter(weighed, lambda x: x["weight"] > 0),
+        F.struct(F.lit(0.0).alias("weight"), F.lit("").alias("word")),
+        lambda top, x: F.when(x["weight"] > top["weight"], x).otherwise(top),
     )
+    return held.withColumn(into, F.coalesce(best["word"], F.lit(""))).drop("__of", "__anchors")
+
+
+def _draw() -> Column:
+    return salted_hash(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))) / float(1 << 52)
 
 
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens and the draw of every row."""
-    return docs.select(
+    # only these columns, so that no other column's name can clash with one of ours
+    docs = docs.select("doc_id", "text", "source", "lang")
+    return with_topic(docs, anchors(docs)).select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("lang", F.lit("")).alias("lang"),
-        topic_of(F.col("text")).alias("topic"),
+        "topic",
         word_count(F.col("text")).alias("n_tokens"),
-        (salted_hash(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))) / float(1 << 52)).alias("draw"),
+        _draw().alias("draw"),
     )
 
 
@@ -77,8 +118,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     """``cells`` (source, lang, topic, n) with the fitted share ``w`` of each; cells of a level without target get none."""
     for d in DIMENSIONS:
         cells = cells.join(targets[d].select(F.col("level").alias(d), F.col("share").alias(f"to_{d}")), d, "left")
-    few = cells.count() <= FEW_CELLS
-    swept = (cells.coalesce(1) if few else cells).withColumn("w", F.col("n").cast("double"))
+    swept = cells.withColumn("w", F.col("n").cast("double"))
     for _ in range(sweeps):
         for d in DIMENSIONS:
             whole = F.sum("w").over(Window.partitionBy(d))
@@ -86,30 +126,45 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     return swept.select(*DIMENSIONS, "n", "w")
 
 
-def cell_rates(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> tuple[DataFrame, bool]:
-    """source, lang, topic, rate of every cell, and whether the cells are few enough to be broadcast."""
-    cells = written(described(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")), "cells")
-    fitted = written(rake(cells, targets or power_targets(cells)), "fitted")
-    state = fitted.agg(F.max(F.when(F.col("n") > 0, F.col("w") / F.col("n"))).alias("peak"), F.count("*").alias("cells")).first()
-    rate = F.when(F.col("n") > 0, F.col("w") / F.col("n") / (state["peak"] or 1.0)).otherwise(1.0)
-    return fitted.select(*DIMENSIONS, rate.alias("rate")), state["cells"] <= FEW_CELLS
+def residual(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest difference between a level's fitted share and its target; 0 for no levels."""
+    worst = None
+    for d in DIMENSIONS:
+        off = fitted.groupBy(F.col(d).alias("level")).agg(F.sum("w").alias("w")).join(targets[d], "level", "full")
+        one = off.agg(F.max(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("share", F.lit(0.0)))).alias("off"))
+        worst = one if worst is None else worst.unionByName(one)
+    return worst.agg(F.max("off")).first()[0] or 0.0
+
+
+def cell_rates(rows: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """source, lang, topic, rate (rounded to 6 places) of every cell of ``described`` rows."""
+    cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")), "cells")
+    targets = targets or power_targets(cells)
+    fitted = written(rake(cells, targets), "fitted")
+    off = residual(fitted, targets)
+    if off > TOLERANCE:
+        warnings.warn(f"the targets aren't met: a level's share is off by {off:.3g}", stacklevel=2)
+    peak = fitted.agg(F.max(F.when(F.col("n") > 0, F.col("w") / F.col("n")))).first()[0] or 1.0
+    rate = F.when(F.col("n") > 0, F.col("w") / F.col("n") / peak).otherwise(1.0)
+    return fitted.select(*DIMENSIONS, F.round(rate, 6).alias("rate"))
 
 
 def mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, rate (rounded to 6 places) and whether the document is kept."""
-    rates, few = cell_rates(docs, targets)
-    joined = described(docs).join(F.broadcast(rates) if few else rates, list(DIMENSIONS))
-    return joined.select("doc_id", *DIMENSIONS, "n_tokens", F.round("rate", 6).alias("rate"), (F.col("draw") < F.col("rate")).alias("kept"))
+    """doc_id, source, lang, topic, n_tokens, rate and whether the document is kept."""
+    rows = written(described(docs), "described")
+    joined = rows.join(cell_rates(rows, targets), list(DIMENSIONS))
+    return joined.select("doc_id", *DIMENSIONS, "n_tokens", "rate", (F.col("draw") < F.col("rate")).alias("kept"))
 
 
 def sample_mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The documents kept, with all their columns."""
-    rates, few = cell_rates(docs, targets)
+    learned = written(anchors(docs), "anchors")
+    named = with_topic(docs, learned, "__topic").withColumns({"__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__draw": _draw()})
     names = [f"__{d}" for d in DIMENSIONS]
+    rows = named.select(*(F.col(n).alias(d) for n, d in zip(names, DIMENSIONS)), word_count(F.col("text")).alias("n_tokens"))
+    rates = cell_rates(rows, targets)
     rates = rates.select(*(F.col(d).alias(n) for d, n in zip(DIMENSIONS, names)), F.col("rate").alias("__rate"))
-    draw = salted_hash(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))) / float(1 << 52)
-    keyed = docs.withColumns({"__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__topic": topic_of(F.col("text")), "__draw": draw})
-    return keyed.join(F.broadcast(rates) if few else rates, names).where("__draw < __rate").select(*docs.columns)
+    return named.join(rates, names).where("__draw < __rate").select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,20 +177,26 @@ def _sql() -> str:
         d = DIMENSIONS[i % len(DIMENSIONS)]
         steps.append(f"w{i + 1} AS (SELECT * REPLACE (w * to_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM {last})")
         last = f"w{i + 1}"
-    to = ", ".join(f"t{d} AS (SELECT {d}, p / sum(p) OVER () AS to_{d} FROM (SELECT {d}, pow(sum(n)::DOUBLE, {ALPHA}) AS p FROM cells GROUP BY {d} HAVING sum(n) > 0))" for d in DIMENSIONS)
+    share = "SELECT {d}, p / sum(p) OVER () AS to_{d} FROM (SELECT {d}, pow(sum(n)::DOUBLE, {a}) AS p FROM cells GROUP BY {d} HAVING sum(n) > 0)"
+    to = ", ".join(f"t{d} AS ({share.format(d=d, a=ALPHA)})" for d in DIMENSIONS)
     return rf"""
-WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-  CASE WHEN contains(x, 'License') OR contains(x, 'license') THEN 'notice' WHEN contains(x, '@') THEN 'contact'
-       WHEN contains(x, '***') OR contains(x, chr(123)) OR contains(x, '<') THEN 'markup' ELSE 'prose' END AS topic,
-  len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
+WITH x AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS x,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT lang, count(*) AS docs FROM x GROUP BY lang QUALIFY count(*) * {LEAST_LANGUAGE} >= sum(count(*)) OVER ()),
+h AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(words)) AS word FROM x) WHERE length(word) >= {ANCHOR_LETTERS} GROUP BY ALL),
+k AS (SELECT lang, word, ln(docs / n) AS rarity FROM h JOIN l USING (lang) WHERE n <= {COMMON} * docs AND n >= {SCARCE} * docs
+      QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {ANCHORS}),
+a AS MATERIALIZED (SELECT lang, list({{'word': word, 'rarity': rarity}} ORDER BY word) AS anchors FROM k GROUP BY lang),
+d AS MATERIALIZED (SELECT doc_id, source, lang, len(words)::BIGINT AS n_tokens,
+  coalesce(list_sort(list_transform(list_filter(list_transform(anchors, lambda y: {{'weight': -len(list_filter(words, lambda w: w = y.word)) * y.rarity, 'word': y.word}}), lambda z: z.weight < 0), lambda z: z))[1].word, '') AS topic,
   ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(x))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
-  FROM (SELECT *, coalesce(text, '') AS x FROM documents)),
+  FROM x LEFT JOIN a USING (lang)),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS n FROM d GROUP BY ALL),
 {to},
 w0 AS (SELECT *, n::DOUBLE AS w FROM cells LEFT JOIN tsource USING (source) LEFT JOIN tlang USING (lang) LEFT JOIN ttopic USING (topic)),
 {', '.join(steps)},
-r AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN w / n / max(CASE WHEN n > 0 THEN w / n END) OVER () ELSE 1.0 END AS rate FROM {last})
-SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, draw < rate AS kept FROM d JOIN r USING (source, lang, topic)"""
+r AS (SELECT source, lang, topic, round(CASE WHEN n > 0 THEN w / n / max(CASE WHEN n > 0 THEN w / n END) OVER () ELSE 1.0 END, 6) AS rate FROM {last})
+SELECT doc_id, source, lang, topic, n_tokens, rate, draw < rate AS kept FROM d JOIN r USING (source, lang, topic)"""
 
 
 ORACLE_SQL = _sql()
