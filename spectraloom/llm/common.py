@@ -44,9 +44,3 @@ def ascii_lower(c: Column) -> Column:
 def salted_hash(*cols: Column) -> Column:
     """The first 52 bits of an MD5 digest as a long: a hash that SQL engines agree on."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 13), 16, 10).cast("long")
-
-
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches of whole texts small, so that a run of very long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

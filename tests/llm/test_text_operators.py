@@ -71,6 +71,46 @@ def test_license_scan_finds_changed_notices(spark, documents):
     assert out[2].labels == "" and out[3].labels == "" and out[3].n_base == 0
 
 
+def plain_rows(png):
+    """The samples of a grey PNG by the letter of its specification, one after the other."""
+    at, data = 8, b""
+    while at < len(png):
+        n, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+        body = png[at + 8 : at + 8 + n]
+        assert int.from_bytes(png[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + body)
+        if kind == b"IHDR":
+            width, height = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+        data += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, out, above = zlib.decompress(data), [], [0] * width
+    for y in range(height):
+        kind, row = raw[y * (width + 1)], []
+        for x, v in enumerate(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)]):
+            a, b, c = (row[x - 1] if x else 0), above[x], (above[x - 1] if x else 0)
+            by_distance = sorted((abs(a + b - c - v), i, v) for i, v in enumerate((a, b, c)))
+            row.append((v + (0, a, b, (a + b) // 2, by_distance[0][2])[kind]) % 256)
+        out.append(row)
+        above = row
+    return out
+
+
+def plain_hash(rows):
+    """The 64 signs of the lowest cosine terms of the 32 x 32 band means, term by term."""
+    import statistics
+
+    def bands(a):
+        edges = [i * len(a) // 32 for i in range(33)]
+        if len(a) < 32:
+            return [a[e] for e in edges[:-1]]
+        return [[sum(c) / (q - p) for c in zip(*a[p:q])] for p, q in zip(edges, edges[1:])]
+
+    small = list(zip(*bands(list(zip(*bands(rows))))))
+    cosine = lambda u, x: np.cos(np.pi * u * (2 * x + 1) / 64)
+    terms = [round(float(sum(small[y][x] * cosine(v, y) * cosine(u, x) for y in range(32) for x in range(32))), 6) for v in range(8) for u in range(8)]
+    middle = statistics.median(terms[1:])
+    return f"{int(''.join(str(int(i > 0 and t > middle)) for i, t in enumerate(terms)), 2):016x}"
+
+
 def test_media_round_trip(spark, documents, odd_texts):
     out = {r.doc_id: r for r in media_columns.media_features(media_columns.store_media(documents(odd_texts))).collect()}
     stored = {r.doc_id: bytes(r.media) for r in media_columns.store_media(documents(odd_texts)).collect()}
@@ -81,14 +121,16 @@ def test_media_round_trip(spark, documents, odd_texts):
         assert media_columns.decode_png(stored[i]).tobytes() == payload
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r.media_bytes, r.media_sha256) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
-        assert re.fullmatch("[0-9a-f]{16}", r.feature)
+        rows = plain_rows(stored[i])
+        assert bytes(x for row in rows for x in row) == payload
+        assert r.feature == plain_hash(rows)
     assert out[3].feature == out[4].feature and out[0].payload_sha256 == out[1].payload_sha256
 
 
 def test_png_filters_and_damage():
     rng = np.random.default_rng(1)
     image = rng.integers(0, 256, (9, 24), dtype=np.uint8)
-    for kind in (0, 1, 2):
+    for kind in (0, 1, 2, 3, 4, None):
         assert (media_columns.decode_png(media_columns.encode_png(image, kind)) == image).all()
     rows, above = np.empty((9, 25), np.uint8), np.zeros(24, int)
     for y, kind in enumerate([3, 4, 0, 1, 2, 4, 3, 4, 3]):
@@ -98,6 +140,12 @@ def test_png_filters_and_damage():
         rows[y, 0], rows[y, 1:] = kind, image[y] - np.array([0 * left, left, above, (left + above) // 2, pick][kind])
         above = image[y].astype(int)
     assert (media_columns.unfilter(rows) == image).all()
+    slope = (np.add.outer(np.arange(96), 2 * np.arange(96)) % 256).astype(np.uint8)
+    mixed = np.concatenate([slope, rng.integers(0, 256, (9, 96), dtype=np.uint8), np.tile(slope[:1], (9, 1))])
+    assert len(set(media_columns.filter_rows(mixed)[:, 0].tolist())) > 2
+    images = [mixed, image, mixed[:7], image[:1]]
+    assert all((a == b).all() for a, b in zip(media_columns.decode_pngs([media_columns.encode_png(x) for x in images]), images))
+    assert [media_columns.width_for(576 * n) for n in (1, 4, 16, 64, 4000)] == [24, 48, 96, 192, 576]
     media = bytearray(media_columns.encode_png(image))
     for at in (0, 20, len(media) // 2, len(media) - 6):
         bad = bytearray(media)
@@ -137,13 +185,38 @@ def test_cascade_puts_rejections_per_second_first():
 
     dear = ("dear", lambda t: time.sleep(0.002) or True)
     rules = [dear, ("never", lambda t: False), ("cheap", lambda t: t.n_words < 5)]
-    profile = quality_rules.rule_profile(["a b", "a b c d e f"], rules)
-    assert profile["cheap"][0] == 1 and profile["never"][0] == 0 and profile["dear"][1] > profile["cheap"][1]
+    texts = lambda *x: [quality_rules.Text(t) for t in x]
+    assert quality_rules.greedy_order(texts("a b", "a b c d e f"), rules) == ["cheap", "dear", "never"]
     calls = []
     cascade = [("first", lambda t: calls.append("first") or True), ("second", lambda t: calls.append("second") or True)]
     assert not quality_rules.passes(quality_rules.Text("x"), cascade) and calls == ["first"]
 
 
+def test_cascade_counts_shared_work_once_and_survivors_only():
+    import time
+
+    class Slow(quality_rules.Text):
+        @quality_rules.cached_property
+        def shared(self):
+            time.sleep(0.003)
+            return len(self.text)
+
+    # "b" alone is as dear as "a", but what it needs is at hand once "a" has run, while "c" rejects what "a" has rejected already
+    rules = [("c", lambda t: time.sleep(0.002) or t.text.startswith("x")), ("b", lambda t: t.shared > 8), ("a", lambda t: t.shared < 5)]
+    texts = [Slow("x" * n) for n in (1, 2, 3, 4)] + [Slow("y" * 9), Slow("y" * 6)]
+    assert quality_rules.greedy_order(texts, rules[1:]) == ["a", "b"]
+    order = quality_rules.greedy_order([Slow("x")] * 3 + [Slow("y" * 9)], rules)
+    assert order[0] == "c" and order[1] == "b"
+
+
+def test_capitals_and_letters_as_categories_say(spark):
+    import unicodedata
+
+    text = "ABC abc 123 Ünï ΣΑΣ Ⅷ ⅷ Ⓐ ⓐ 🄰 ǅ ᾈ ª 日 𝐀 Ḁ"
+    t = quality_rules.Text(text)
+    assert t.n_upper == sum(unicodedata.category(c) == "Lu" for c in text) and t.n_letters == sum(unicodedata.category(c)[0] == "L" for c in text)
+
+
 def library_counts(texts):
     from tokenizers import Tokenizer
 
@@ -171,9 +244,16 @@ def test_token_counts_and_cache(spark, documents, odd_texts, tmp_path, monkeypat
         stored = spark.read.parquet(cache)
         assert stored.count() == stored.select("version", "digest").distinct().count()
     version = token_counts.tokenizer_version(vocabulary_path())
-    assert token_counts.misses(documents(rows), token_counts.read_cache(spark, cache, version)).count() == 0
-    assert token_counts.misses(documents(rows + [(99, "new text")]), token_counts.read_cache(spark, cache, version)).count() == 1
-    assert token_counts.misses(documents([(1, "x")]), token_counts.read_cache(spark, cache, "other")).count() == 1
+    lacking = lambda rows, version: token_counts.misses(documents(rows), token_counts.digested(documents(rows)), token_counts.read_cache(spark, cache, version)).count()
+    assert lacking(rows, version) == 0 and lacking(rows + [(99, "new text")], version) == 1 and lacking([(1, "x")], "other") == 1
+    assert lacking([(1, "new"), (1, "new"), (1, " new\n"), (2, "newer")], version) == 2
+
+
+@pytest.mark.parametrize("gap", ["  ", "\t", "\n\n", " \x0b", "\x0c", "\r\n"])
+def test_white_space_changes_no_count(spark, gap):
+    plain = ["a b c", "it's don't", "<|endoftext|> word <|endoftext|>", "x <| y |> z", "word , word . 12 3", "Ünï cödé", "don 't", "( a )"]
+    other = [gap + t.replace(" ", gap) + gap for t in plain]
+    assert library_counts(plain) == library_counts(other) == Encoder(vocabulary_path(), counts=True).n_tokens(other)
 
 
 def test_encoder_on_random_texts():
