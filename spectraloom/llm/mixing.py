@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectraloom.llm.common import ascii_lower, salted_hash, table
+from spectraloom.llm.common import UPPER, salted_hash, table
 from spectraloom.sources.shared import written
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -42,6 +42,7 @@ ANCHORS = 4
 ANCHOR_LETTERS = 4
 COMMON, SCARCE = 0.1, 0.005
 LEAST_LANGUAGE = 1000  # a language needs one document in so many
+SALTS = 64
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -49,6 +50,11 @@ def _parts(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), GAP)
 
 
+def _evened(text: Column) -> Column:
+    """The text with A-Z in small letters and spaces for all its white space, in one pass."""
+    return F.translate(text, UPPER + "\t\n\x0b\x0c\r", UPPER.lower() + " " * 5)
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space, the tokens that are weighed."""
     parts = _parts(text)
@@ -61,28 +67,36 @@ def anchors(docs: DataFrame) -> DataFrame:
     lang = F.coalesce("lang", F.lit("")).alias("lang")
     n = docs.groupBy(lang).agg(F.count("*").alias("docs"))
     n = n.where(F.col("docs") * LEAST_LANGUAGE >= docs.count())
-    words = docs.select(lang, F.explode(F.array_distinct(_parts(ascii_lower(F.col("text"))))).alias("word")).where(F.length("word") >= ANCHOR_LETTERS)
-    held = words.groupBy("lang", "word").agg(F.count("*").alias("n")).join(n, "lang")
+    words = docs.select(lang, F.explode(F.array_distinct(F.split(_evened(F.col("text")), " "))).alias("word")).where(F.length("word") >= ANCHOR_LETTERS)
+    held = words.groupBy("lang", "word").agg(F.count("*").alias("n")).join(F.broadcast(n), "lang")
     # a language has no more words of at least this share than its documents' mean number of words over the share
     held = held.where((F.col("n") <= COMMON * F.col("docs")) & (F.col("n") >= SCARCE * F.col("docs")))
-    best = held.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("i") <= ANCHORS)
+    order = [F.desc("n"), "word"]
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)))  # first of every salt, so that no task ranks a whole language
+    few = salted.withColumn("i", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("i") <= ANCHORS)
+    best = few.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("i") <= ANCHORS)
     each = F.struct("word", F.ln(F.col("docs") / F.col("n")).alias("rarity"))
     return best.groupBy("lang").agg(F.array_sort(F.collect_list(each)).alias("anchors"))
 
 
 def with_topic(docs: DataFrame, learned: DataFrame, into: str = "topic") -> DataFrame:
-    """``docs`` with the topic of each row by ``learned`` anchors."""
+    """``docs`` with the topic of each row by ``learned`` anchors.
+
+    A word stands between spaces of its own in a text whose white space is doubled, so it is counted by what is left without it.
+    """
     known = learned.select(F.col("lang").alias("__of"), F.col("anchors").alias("__anchors"))
     held = docs.join(F.broadcast(known), F.coalesce("lang", F.lit("")) == F.col("__of"), "left")
-    words = _parts(ascii_lower(F.col("text")))
-    count = lambda a: F.size(F.filter(words, lambda w: w == a["word"]))
-    weighed = F.transform("__anchors", lambda a: F.struct((count(a) * a["rarity"]).alias("weight"), a["word"].alias("word")))
-    best = F.aggregate(
-        F.filter(weighed, lambda x: x["weight"] > 0),
-        F.struct(F.lit(0.0).alias("weight"), F.lit("").alias("word")),
-        lambda top, x: F.when(x["weight"] > top["weight"], x).otherwise(top),
-    )
-    return held.withColumn(into, F.coalesce(best["word"], F.lit(""))).drop("__of", "__anchors")
+    spaced = F.replace(_evened(F.col("text")), F.lit(" "), F.lit("  "))
+    held = held.withColumn("__words", F.when(F.col("__anchors").isNotNull(), F.concat(F.lit(" "), spaced, F.lit(" "))))
+
+    def weight(i: int) -> Column:
+        anchor = F.get("__anchors", F.lit(i))
+        alone = F.concat(F.lit(" "), anchor["word"], F.lit(" "))
+        count = (F.octet_length("__words") - F.octet_length(F.replace("__words", alone, F.lit("")))) / F.octet_length(alone)
+        return F.struct(F.coalesce(count * anchor["rarity"], F.lit(0.0)).alias("weight"), F.lit(-i).alias("i"), anchor["word"].alias("word"))
+
+    best = F.greatest(*(weight(i) for i in range(ANCHORS)), F.struct(F.lit(0.0).alias("weight"), F.lit(1).alias("i"), F.lit("").alias("word")))
+    return held.withColumn(into, best["word"]).drop("__of", "__anchors", "__words")
 
 
 def _draw() -> Column:
