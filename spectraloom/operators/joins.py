@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectraloom.functions.scalar import clip
-from spectraloom.sources.shared import written
+from spectraloom.sources.shared import Steps, written
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, t: str, value: str, tie: str) -> DataFrame:
@@ -32,22 +32,24 @@ def interpolated(points: DataFrame, table: DataFrame, keys: list[str], x: str, y
     return both.where("__side = 1").withColumn(y, F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(line)).drop("__side", "__k", "__a", "__b")
 
 
-def follow_merges(links: DataFrame, child: str, parent: str, longest: int = 1024) -> DataFrame:
-    """child, parent, root: the end of each child's chain of merges, chains of up to ``longest`` links.
+def follow_merges(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """child, parent, root: the end of each child's chain of merges, however long.
 
-    Every round doubles the reach, so the rounds are the logarithm of the longest chain. Chains must not be circular.
+    Every round doubles the reach, so there are as many rounds as the longest chain has binary digits. More rounds than the
+    number of links has mean a circle, which is an error. Links with a null are left out, repeated ones count once.
     """
-    at = links.select(F.col(child).alias("c"), F.col(parent).alias("p"))
-    reach = 1
-    while reach < longest:
+    steps = Steps(links.sparkSession)
+    links = links.select(child, parent).dropna().distinct()
+    at = steps.written(links.select(F.col(child).alias("c"), F.col(parent).alias("p")), "chains")
+    for _ in range(at.count().bit_length() + 1):
         hop = at.select(F.col("c").alias("p"), F.col("p").alias("q"))
         further = at.join(hop, "p", "left").select("c", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
-        further = written(further, "chains")
-        at = further.select("c", "p")
+        further = steps.written(further.distinct(), "chains")
+        at = further.select("c", "p").distinct()
         if further.where("moved").isEmpty():
-            break
-        reach *= 2
-    return links.select(child, parent).join(at.select(F.col("c").alias(child), F.col("p").alias("root")), child)
+            return links.join(at.select(F.col("c").alias(child), F.col("p").alias("root")), child)
+    steps.drop()
+    raise ValueError("merges run in a circle")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], first: str, last: str, rest: list[str]) -> DataFrame:

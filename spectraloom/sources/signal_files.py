@@ -84,23 +84,33 @@ def observation_log_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(" ", F.lpad(F.lower(F.hex(F.crc32(json.cast("binary")))), 8, "0"), json).alias("value"))
 
 
-def append_by_day(rows: DataFrame, path: str, micros: str) -> None:
-    """Append rows to a store that is cut by day, so that reads of a span open only its days."""
-    rows.withColumn("day", F.floor(F.col(micros) / 86_400_000_000)).write.mode("append").partitionBy("day").parquet(path)
+DAY_US = 86_400_000_000
+
+
+def append_by_day(rows: DataFrame, path: str, micros: str, end: str) -> None:
+    """Append rows to a store that is cut by the day of their start and by how many days on they end."""
+    day = F.floor(F.col(micros) / DAY_US)
+    lasts = F.greatest(F.floor(F.col(end) / DAY_US) - day, F.lit(0))
+    rows.withColumns({"day": day, "lasts": F.coalesce(lasts, F.lit(0))}).write.mode("append").partitionBy("day", "lasts").parquet(path)
 
 
 def scan_days(spark: SparkSession, path: str, micros: str, end: str, lo: int, hi: int, most: int) -> tuple[DataFrame, Column]:
-    """Rows of a store by day that meet the half-open span, ``most`` + 1 at most, and a flag column that tells a cut."""
-    day = F.col("day")
-    found = spark.read.parquet(path).where((day >= lo // 86_400_000_000 - 1) & (day <= hi // 86_400_000_000)).where((F.col(micros) < hi) & (F.col(end) > lo))
+    """Rows of a store by day that meet the half-open span, ``most`` + 1 at most, and a flag column that tells a cut.
+
+    Only folders whose rows can reach the span are opened, however long rows are.
+    """
+    may = (F.col("day") + F.col("lasts") >= lo // DAY_US) & (F.col("day") <= hi // DAY_US)
+    found = spark.read.parquet(path).where(may).where((F.col(micros) < hi) & (F.col(end) > lo)).drop("lasts")
     return found.orderBy(micros).limit(most + 1), F.count("*") > most
 
 
-def days_to_drop(files: DataFrame, budget: int) -> DataFrame:
-    """Days (day, bytes) beyond the newest that fit the byte budget."""
+def days_to_drop(files: DataFrame, budget: int, oldest: int | None = None) -> DataFrame:
+    """Days (day, bytes) beyond the newest that fit the byte budget, and those before the day ``oldest``."""
     from pyspark.sql.window import Window
 
-    return files.groupBy("day").agg(F.sum("bytes").alias("bytes")).withColumn("kept", F.sum("bytes").over(Window.orderBy(F.desc("day")))).where(F.col("kept") > budget).select("day")
+    kept = F.sum("bytes").over(Window.orderBy(F.desc("day")))  # a row a day
+    too_old = F.lit(False) if oldest is None else F.col("day") < oldest
+    return files.groupBy("day").agg(F.sum("bytes").alias("bytes")).withColumn("kept", kept).where((F.col("kept") > budget) | too_old).select("day")
 
 
 def orbit_elements(lines: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ def test_observation_log_skips_damage(spark, tmp_path):
 def test_day_store(spark, tmp_path):
     day = 86_400_000_000
     rows = spark.createDataFrame([(i, i * day // 2, i * day // 2 + 1000) for i in range(10)], "i int, a long, b long")
-    S.append_by_day(rows, str(tmp_path / "store"), "a")
-    S.append_by_day(rows.where("i = 3").withColumn("i", F.lit(30)), str(tmp_path / "store"), "a")
+    S.append_by_day(rows, str(tmp_path / "store"), "a", "b")
+    S.append_by_day(rows.where("i = 3").withColumn("i", F.lit(30)), str(tmp_path / "store"), "a", "b")
     found, cut = S.scan_days(spark, str(tmp_path / "store"), "a", "b", day, 2 * day, 2)
     assert found.count() == 3 and found.agg(cut).first()[0]
     found, cut = S.scan_days(spark, str(tmp_path / "store"), "a", "b", day, 2 * day, 5)
@@ -99,3 +99,13 @@ def test_tiles_seal_and_triggers_reach_back(spark, tmp_path):
     cut = live.drained(live.around_triggers(samples, triggers, "4 hours", "2 hours", "100 hours"), "cut")
     got = sorted((r.trigger_id, int(r.level)) for r in cut.collect())
     assert got == sorted((t, s) for t in range(0, 72, 10) for s in range(72) if s % 2 == t % 2 and t - 4 <= s < t + 2)
+
+
+def test_scans_find_rows_of_many_days(spark, tmp_path):
+    day = 86_400_000_000
+    rows = spark.createDataFrame([(1, 0, 4 * day), (2, 2 * day, 2 * day + 5), (3, 3 * day + 1, 3 * day + 2), (4, 9 * day, 10 * day)], "i int, a long, b long")
+    S.append_by_day(rows, str(tmp_path / "store"), "a", "b")
+    found, _ = S.scan_days(spark, str(tmp_path / "store"), "a", "b", 3 * day, 5 * day, 10)
+    assert sorted(r.i for r in found.collect()) == [1, 3]
+    files = spark.createDataFrame([(1, 5), (2, 5), (3, 5)], "day long, bytes long")
+    assert sorted(r.day for r in S.days_to_drop(files, 100, oldest=3).collect()) == [1, 2]
