@@ -57,12 +57,21 @@ def retune(df: DataFrame, key: str, row: str, centre: str, oscillator: str, widt
     return df.select(key, row, centre, oscillator).groupBy(key).applyInPandas(claim, f"{key} {kinds[key]}, {row} {kinds[row]}, slope double")
 
 
+MOST_ALLOCATIONS = 100_000
+
+
 def allocated(df: DataFrame, at: str, table: DataFrame, lo: str, hi: str, rank: str) -> DataFrame:
-    """``df`` with the row of highest rank of an allocation table (a small dimension, broadcast by the planner) that holds ``at``."""
-    keys = df.columns
+    """``df`` with the row of highest rank (then highest ``lo``) of an allocation table that holds ``at``; nulls where none does.
+
+    The table travels as one broadcast row, which no row of ``df`` is shuffled for; it may have ``MOST_ALLOCATIONS`` rows.
+    """
     rest = [c for c in table.columns if c not in (lo, hi)]
-    held = df.join(table, (F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi)), "left")
-    return held.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(rank, lo)).alias("__a")).select(*keys, "__a.*")
+    if table.limit(MOST_ALLOCATIONS + 1).count() > MOST_ALLOCATIONS:
+        raise ValueError(f"an allocation table has at most {MOST_ALLOCATIONS} rows")
+    row = F.struct(F.col(rank).alias("rank"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.struct(*rest).alias("rest"))
+    whole = table.agg(F.collect_list(row).alias("__table"))
+    held = F.filter("__table", lambda r: (F.col(at) >= r["lo"]) & (F.col(at) < r["hi"]))
+    return df.join(F.broadcast(whole), F.lit(True)).withColumn("__a", F.array_max(held)["rest"]).select(*df.columns, "__a.*")
 
 
 def recurrence(df: DataFrame, key: str, lo: str, hi: str, duty: Column, newest: int) -> DataFrame:
