@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spectraloom.operators.graph import connected_components
 from spectraloom.sources.shared import written
@@ -34,12 +33,51 @@ def density_clusters(points: DataFrame, row: str, x: str, y: str, reach: float,
     return points.select(F.col(row)).join(out, F.col(row) == F.col("a"), "left").select(row, "cluster")
 
 
-def fused(df: DataFrame, key: str, weight: str, prior: Column, cap: float) -> DataFrame:
-    """Posterior of each class of a key: weight times prior over their sum, at most ``cap``; uniform where all are 0."""
-    by = Window.partitionBy(key)
-    mass = F.col(weight) * prior
-    whole = F.sum(mass).over(by)
-    return df.withColumn("posterior", F.least(F.lit(cap), F.when(whole > 0, mass / whole).otherwise(1 / F.count("*").over(by))))
+#: The largest posterior of the unknown and of any other class, and how many times the runner-up dominant evidence is. Fixed values.
+UNKNOWN_CAP, CLASS_CAP, DOMINANCE = 0.9, 0.999, 10.0
+
+
+def fused(df: DataFrame, key: str, label: str, likelihood: str, prior: str, open_set: str, unknown: str = "unknown") -> DataFrame:
+    """key, label, posterior, exponent of likelihoods over classes (one row each, the ``unknown`` among them).
+
+    The unknown class gets the larger of its likelihood and the key's open-set score, capped, and no prior scales it. The
+    others share the rest by likelihood times prior to a power, evenly where all likelihoods are 0. The power is 1, but
+    where the prior would overturn evidence that dominates the runner-up, it is lowered by bisection until that leads again.
+    What the leader has above its cap goes to the runner-up. A null likelihood is 0, a null or negative prior too.
+    """
+    number = lambda c: F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    row = F.struct(F.col(label).alias("label"), number(likelihood).alias("l"), number(prior).alias("prior"))
+    known = F.col(label).isNull() | (F.col(label) != unknown)
+    g = df.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.when(known, row))).alias("known"),
+        F.coalesce(F.max(F.when(~known, number(likelihood))), F.lit(0.0)).alias("own"),
+        F.coalesce(F.max(open_set), F.lit(0.0)).alias("open"),
+        F.max(~known).alias("asked"),
+    )
+    weights = lambda tau: F.transform("known", lambda x: x["l"] * F.when(tau == 0, 1.0).otherwise(F.pow(x["prior"], tau)))
+    leader = lambda w: F.array_max(F.transform(w, lambda x, i: F.struct(x.alias("w"), (-i).alias("i"))))["i"]
+    ranked = F.reverse(F.array_sort(F.transform("known", lambda x: x["l"])))
+    top, second = F.get(ranked, F.lit(0)), F.coalesce(F.get(ranked, F.lit(1)), F.lit(0.0))
+    g = g.withColumns({"unknown": F.least(F.greatest("own", F.least("open", F.lit(1.0))), F.lit(UNKNOWN_CAP)), "best": leader(weights(F.lit(0.0))), "prior_best": leader(weights(F.lit(1.0)))})
+    dominant = (top > 0) & ((second <= 0) | (top / second >= DOMINANCE))
+
+    def halve(span: Column, _: Column) -> Column:
+        mid = (span["lo"] + span["hi"]) / 2
+        holds = leader(weights(mid)) == F.col("best")
+        return F.struct(F.when(holds, mid).otherwise(span["lo"]).alias("lo"), F.when(holds, span["hi"]).otherwise(mid).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve)["lo"]
+    g = g.withColumn("exponent", F.when((F.col("best") != F.col("prior_best")) & dominant, found).otherwise(1.0)).withColumn("w", weights(F.col("exponent")))
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    share = F.transform("known", lambda x, i: F.struct(x["label"].alias("label"), ((1 - F.col("unknown")) * F.when(total > 0, F.get("w", i) / total).otherwise(1 / F.size("w"))).alias("p"), F.lit(CLASS_CAP).alias("cap")))
+    whole = F.when(F.col("asked"), F.concat(share, F.array(F.struct(F.lit(unknown).alias("label"), F.col("unknown").alias("p"), F.lit(UNKNOWN_CAP).alias("cap"))))).otherwise(share)
+    each = g.select(key, "exponent", whole.alias("dist"))
+    mass = F.aggregate("dist", F.lit(0.0), lambda a, x: a + x["p"])
+    each = each.withColumn("dist", F.transform("dist", lambda x, i: F.struct((x["p"] / mass).alias("p"), i.alias("i"), x["label"].alias("label"), x["cap"].alias("cap"))))
+    each = each.withColumn("order", F.reverse(F.array_sort("dist")))
+    excess = F.greatest(F.get("order", F.lit(0))["p"] - F.get("order", F.lit(0))["cap"], F.lit(0.0))
+    capped = F.transform("order", lambda x, i: F.struct(x["label"].alias("label"), (x["p"] + F.when(i == 0, -excess).when(i == 1, excess).otherwise(0.0)).alias("posterior")))
+    return each.select(key, "exponent", F.explode(capped).alias("d")).select(key, F.col("d.label").alias(label), F.col("d.posterior").alias("posterior"), "exponent")
 
 
 def softmax(logits: Column, temperature: float) -> Column:

@@ -60,12 +60,31 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.density_clusters(p, "p_partkey", "x", "y", 12.0, 4)
 
 
-@query(f"""WITH {VISITS_SQL}, c AS (SELECT channel, tier, sum(level) AS w, CASE WHEN tier = 'error' THEN 0.5 ELSE 1.0 END AS pr FROM v GROUP BY ALL)
-SELECT channel, tier, round(least(0.6, w * pr / sum(w * pr) OVER (PARTITION BY channel)), 6) AS posterior FROM c""")
+_PRIOR = {"click": 0.02, "purchase": 8.0, "signup": 1.0, "view": 0.5}
+_FUSE = f"""t AS (SELECT channel, tier, sum(level) AS w, avg((level >= 150)::INT) AS o FROM v GROUP BY ALL), s AS (SELECT channel, tier, w * w * w / sum(w * w * w) OVER (PARTITION BY channel) AS l, max(o) OVER (PARTITION BY channel) * 0.5 AS o FROM t),
+k AS (SELECT channel, coalesce(max(l) FILTER (tier = 'error'), 0) AS own, max(o) AS o, bool_or(tier = 'error') AS asked, coalesce(list({{'label': tier, 'l': l, 'prior': CASE tier {" ".join(f"WHEN '{t}' THEN {p}::DOUBLE" for t, p in _PRIOR.items())} END}} ORDER BY tier) FILTER (tier <> 'error'), []) AS known FROM s GROUP BY channel),
+b AS (SELECT *, least(greatest(own, o), 0.9) AS u, list_reverse_sort(list_transform(known, lambda x: x.l)) AS r FROM k WHERE len(known) > 0)"""
+_LEADS = "list_position(list_transform(known, lambda x: x.l * pow(x.prior, {t})), list_max(list_transform(known, lambda x: x.l * pow(x.prior, {t}))))"
+
+
+@query(f"""WITH RECURSIVE {VISITS_SQL}, {_FUSE}, d AS MATERIALIZED (SELECT *, {_LEADS.format(t=0)} AS best, {_LEADS.format(t=0)} <> {_LEADS.format(t=1)} AND r[1] > 0 AND (len(r) < 2 OR r[2] <= 0 OR r[1] / r[2] >= 10) AS temper FROM b),
+h AS (SELECT channel, known, best, 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM d WHERE temper UNION ALL
+  SELECT channel, known, best, i + 1, CASE WHEN {_LEADS.format(t="((lo + hi) / 2)")} = best THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_LEADS.format(t="((lo + hi) / 2)")} = best THEN hi ELSE (lo + hi) / 2 END FROM h WHERE i < 40),
+e AS (SELECT d.*, coalesce(h.lo, 1.0) AS tau FROM d LEFT JOIN h ON d.channel = h.channel AND h.i = 40),
+x AS (SELECT channel, u, asked, tau, len(known) AS n, unnest(known) AS y FROM e), w AS (SELECT channel, u, asked, tau, n, y.label AS tier, y.l * pow(y.prior, tau) AS w FROM x),
+p AS (SELECT channel, tier, tau, (1 - u) * CASE WHEN sum(w) OVER (PARTITION BY channel) > 0 THEN w / sum(w) OVER (PARTITION BY channel) ELSE 1.0 / n END AS p, 0.999 AS cap FROM w UNION ALL SELECT channel, 'error', tau, u, 0.9 FROM e WHERE asked),
+q AS (SELECT channel, tier, tau, p / sum(p) OVER (PARTITION BY channel) AS p, cap FROM p), z AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY p DESC, tier = 'error' DESC, tier DESC) AS i FROM q),
+m AS (SELECT *, max(greatest(p - cap, 0)) FILTER (i = 1) OVER (PARTITION BY channel) AS excess FROM z)
+SELECT channel, tier, round(p + CASE i WHEN 1 THEN -excess WHEN 2 THEN excess ELSE 0 END, 6) AS posterior, round(tau, 6) AS exponent FROM m""")
 def fused_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posterior of each channel's tiers with a prior against errors, capped."""
-    w = visits(spark, sf_dir).groupBy("channel", "tier").agg(F.sum("level").alias("w"))
-    return C.fused(w, "channel", "w", F.when(F.col("tier") == "error", 0.5).otherwise(1.0), 0.6).select("channel", "tier", F.round("posterior", 6).alias("posterior"))
+    """Posterior of each channel's tiers with a prior, ``error`` being the unknown class and strong levels an open-set score."""
+    t = visits(spark, sf_dir).groupBy("channel", "tier").agg(F.sum("level").alias("w"), F.avg((F.col("level") >= 150).cast("int")).alias("o"))
+    by = Window.partitionBy("channel")  # a row a tier
+    cube = F.col("w") * F.col("w") * F.col("w")
+    prior = F.coalesce(*(F.when(F.col("tier") == k, float(x)) for k, x in _PRIOR.items()))
+    s = t.select("channel", "tier", (cube / F.sum(cube).over(by)).alias("l"), (F.max("o").over(by) * 0.5).alias("o"), prior.alias("prior"))
+    known = s.join(s.where("tier <> 'error'").select("channel").distinct(), "channel", "left_semi")
+    return C.fused(known, "channel", "tier", "l", "prior", "o", "error").select("channel", "tier", F.round("posterior", 6).alias("posterior"), F.round("exponent", 6).alias("exponent"))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding AS z FROM embeddings), p AS (SELECT vec_id, list_transform(z, lambda x: exp((x::DOUBLE - list_max(z)::DOUBLE) / 0.5)) AS p FROM e)
