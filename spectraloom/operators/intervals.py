@@ -40,16 +40,20 @@ def merge(df: DataFrame, keys: list[str], lo: str, hi: str, block: int | None =
     return _islands(df, keys, lo, hi, strict, flags, "n")
 
 
-def gaps(merged: DataFrame, keys: list[str], lo: str, hi: str, span_lo, span_hi, least: int = 1) -> DataFrame:
+def gaps(merged: DataFrame, keys: list[str], lo: str, hi: str, span_lo, span_hi, least: int = 1, asked: DataFrame | None = None) -> DataFrame:
     """keys, gap_lo, gap_hi: what merged intervals leave open in the span, its edges included, at least ``least`` long.
 
-    ``merged`` must be disjoint by key; keys without any interval aren't known here.
+    ``merged`` must be disjoint by key. Keys of ``asked`` without an interval in the span have the whole span as a gap.
     """
     inside = merged.where((F.col(hi) > span_lo) & (F.col(lo) < span_hi))
     by = Window.partitionBy(*keys).orderBy(lo)
     before = inside.select(*keys, F.coalesce(F.lag(hi).over(by), F.lit(span_lo)).alias("gap_lo"), F.col(lo).alias("gap_hi"))
     after = inside.groupBy(*keys).agg(F.max(hi).alias("gap_lo")).withColumn("gap_hi", F.lit(span_hi))
-    return before.unionByName(after).where(F.col("gap_hi") - F.col("gap_lo") >= max(least, 1))
+    found = before.unionByName(after)
+    if asked is not None:
+        none = asked.select(*keys).distinct().join(inside.select(*keys).distinct(), keys, "left_anti")
+        found = found.unionByName(none.select(*keys, F.lit(span_lo).alias("gap_lo"), F.lit(span_hi).alias("gap_hi")))
+    return found.where(F.col("gap_hi") - F.col("gap_lo") >= max(least, 1))
 
 
 def subtract(df: DataFrame, lo: str, hi: str, cut_lo: str, cut_hi: str) -> DataFrame:
@@ -79,20 +83,29 @@ def range_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], lo:
     return a.join(b, same & once & meet).drop("__cell", "__cell_r")
 
 
-def totals(visits: DataFrame, keys: list[str], lo: str, hi: str, tier: str, tiers: list[str], span_lo: int, span_hi: int, block: int) -> DataFrame:
-    """n_visits, mean_revisit, longest gap and seconds of each tier.
+def totals(visits: DataFrame, keys: list[str], lo: str, hi: str, tier: str, tiers: list[str], span_lo: int, span_hi: int, block: int, independent: list[str] | None = None) -> DataFrame:
+    """n_visits, n_independent, mean_revisit, longest gap and seconds of each tier, of every key that ``visits`` holds.
 
     Tier sums count raw visits clipped to the span, so overlaps count twice; visits and revisits count merged ones with a
-    positive part in the span, from their unclipped starts; the mean revisit is at most the span.
+    positive part in the span, from their unclipped starts; a merged visit is independent of activity if any part has one of
+    the ``independent`` tiers; the mean revisit is at most the span. A key that isn't visited in the span has no visit, no
+    revisit and a gap as long as the span.
     """
+    every = visits.select(*keys).distinct()
     inside = visits.where((F.col(hi) > span_lo) & (F.col(lo) < span_hi) & (F.col(hi) > F.col(lo)))
+    inside = inside.withColumn("__free", F.coalesce(F.col(tier).isin(*(independent or [])), F.lit(False)))
     clip = clipped_length(F.col(lo), F.col(hi), F.lit(span_lo), F.lit(span_hi))
     by_tier = inside.groupBy(*keys).agg(*(F.sum(F.when(F.col(tier) == t, clip).otherwise(0)).alias(f"{t}_us") for t in tiers))
-    islands = merge(inside, keys, lo, hi, block)
+    islands = merge(inside, keys, lo, hi, block, flags=["__free"])
     revisit = (F.max(lo) - F.min(lo)) / (F.count("*") - 1)
-    counted = islands.groupBy(*keys).agg(F.count("*").alias("n_visits"), F.when(F.count("*") > 1, F.least(revisit, F.lit(float(span_hi - span_lo)))).alias("mean_revisit_us"))
-    longest = gaps(islands, keys, lo, hi, span_lo, span_hi).groupBy(*keys).agg(F.max(F.col("gap_hi") - F.col("gap_lo")).alias("longest_gap_us"))
-    return counted.join(by_tier, keys).join(longest, keys, "left")
+    counted = islands.groupBy(*keys).agg(
+        F.count("*").alias("n_visits"),
+        F.count_if("__free").alias("n_independent"),
+        F.when(F.count("*") > 1, F.least(revisit, F.lit(float(span_hi - span_lo)))).alias("mean_revisit_us"),
+    )
+    longest = gaps(islands, keys, lo, hi, span_lo, span_hi, asked=every).groupBy(*keys).agg(F.max(F.col("gap_hi") - F.col("gap_lo")).alias("longest_gap_us"))
+    zero = ["n_visits", "n_independent", *(f"{t}_us" for t in tiers)]
+    return every.join(counted, keys, "left").join(by_tier, keys, "left").join(longest, keys, "left").fillna(0, zero)
 
 
 def intercept_share(visits: DataFrame, keys: list[str], lo: str, hi: str, lead: int, span_lo: int, span_hi: int, block: int) -> DataFrame:

@@ -37,24 +37,31 @@ def visits_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.merge(v, ["channel"], "start_us", "end_us", DAY, flags=["independent"])
 
 
-@query(f"WITH {VISITS_SQL}, {IN_SPAN}, {ISLANDS.format(src='s')}, {GAPS} SELECT channel, gap_lo::BIGINT AS gap_lo, gap_hi::BIGINT AS gap_hi FROM gp WHERE gap_hi - gap_lo >= 3600000000")
+#: Every channel; one that isn't visited in the span is a gap as long as the span.
+EVERY = f"""e AS (SELECT DISTINCT channel FROM v), ga AS (SELECT * FROM gp UNION ALL SELECT channel, {SPAN[0]}, {SPAN[1]} FROM e WHERE channel NOT IN (SELECT channel FROM isl))"""
+
+
+@query(f"""WITH {VISITS_SQL}, {IN_SPAN}, {ISLANDS.format(src='s')}, {GAPS}, {EVERY}
+SELECT channel, gap_lo::BIGINT AS gap_lo, gap_hi::BIGINT AS gap_hi FROM ga WHERE gap_hi - gap_lo >= 3600000000""")
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours and longer without a visit in the span, its edges counted."""
-    islands = I.merge(_inside(visits(spark, sf_dir)), ["channel"], "start_us", "end_us", DAY)
-    return I.gaps(islands, ["channel"], "start_us", "end_us", *SPAN, least=3_600_000_000)
+    v = visits(spark, sf_dir)
+    islands = I.merge(_inside(v), ["channel"], "start_us", "end_us", DAY)
+    return I.gaps(islands, ["channel"], "start_us", "end_us", *SPAN, least=3_600_000_000, asked=v)
 
 
 _TIER_SQL = ", ".join(f"sum(CASE WHEN tier = '{t}' THEN least(end_us, {SPAN[1]}) - greatest(start_us, {SPAN[0]}) ELSE 0 END)::BIGINT AS {t}_us" for t in TIERS)
 
 
-@query(f"""WITH {VISITS_SQL}, {IN_SPAN}, {ISLANDS.format(src='s')}, {GAPS},
+@query(f"""WITH {VISITS_SQL}, {IN_SPAN}, {ISLANDS.format(src='s')}, {GAPS}, {EVERY},
 t AS (SELECT channel, {_TIER_SQL} FROM s GROUP BY channel),
-c AS (SELECT channel, count(*)::BIGINT AS n_visits, CASE WHEN count(*) > 1 THEN least((max(start_us) - min(start_us)) / (count(*) - 1), {float(SPAN[1] - SPAN[0])}) END::DOUBLE AS mean_revisit_us FROM isl GROUP BY channel),
-l AS (SELECT channel, max(gap_hi - gap_lo)::BIGINT AS longest_gap_us FROM gp WHERE gap_hi > gap_lo GROUP BY channel)
-SELECT * FROM c JOIN t USING (channel) LEFT JOIN l USING (channel)""")
+c AS (SELECT channel, count(*)::BIGINT AS n_visits, (count(*) FILTER (independent))::BIGINT AS n_independent, CASE WHEN count(*) > 1 THEN least((max(start_us) - min(start_us)) / (count(*) - 1), {float(SPAN[1] - SPAN[0])}) END::DOUBLE AS mean_revisit_us FROM isl GROUP BY channel),
+l AS (SELECT channel, max(gap_hi - gap_lo)::BIGINT AS longest_gap_us FROM ga WHERE gap_hi > gap_lo GROUP BY channel)
+SELECT channel, coalesce(n_visits, 0) AS n_visits, coalesce(n_independent, 0) AS n_independent, mean_revisit_us, {", ".join(f"coalesce({t}_us, 0) AS {t}_us" for t in TIERS)}, longest_gap_us
+FROM e LEFT JOIN c USING (channel) LEFT JOIN t USING (channel) LEFT JOIN l USING (channel)""")
 def obs_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: visits, revisits, longest gap and seconds of each tier, by channel."""
-    return I.totals(visits(spark, sf_dir), ["channel"], "start_us", "end_us", "tier", TIERS, *SPAN, DAY)
+    return I.totals(visits(spark, sf_dir), ["channel"], "start_us", "end_us", "tier", TIERS, *SPAN, DAY, independent=["view", "error"])
 
 
 @query(f"""WITH {VISITS_SQL}, w AS (SELECT channel, tier, greatest(start_us - 1800000000, {SPAN[0]}) AS start_us, least(end_us, {SPAN[1]}) AS end_us FROM v),
@@ -158,13 +165,13 @@ def slot_pooling_day_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {VISITS_SQL}, {_SLOT_SQL}, p AS (SELECT slot, w AS how, sum(w) OVER (PARTITION BY slot % 24) AS hod, sum(w) OVER (PARTITION BY (slot % 24) // 6) AS part, sum(w) OVER () AS whole FROM b)
-SELECT slot, CASE WHEN how >= 20000 THEN 'hour_of_week' WHEN hod >= 20000 THEN 'hour_of_day' WHEN part >= 20000 THEN 'day_part' WHEN whole >= 20000 THEN 'all' ELSE 'immature' END AS pool FROM p""")
-def baseline_maturity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The narrowest pool of each slot with enough observed time (20,000 s here; slots are 168 rows at most)."""
+SELECT slot, CASE WHEN how >= 86400 THEN 'hour_of_week' WHEN hod >= 86400 THEN 'hour_of_day' WHEN part >= 86400 THEN 'day_part' WHEN whole >= 86400 THEN 'all' ELSE 'immature' END AS pool FROM p""")
+def baseline_maturity(spark: SparkSession, sf_dir: str, least_s: float = 86_400.0) -> DataFrame:
+    """The narrowest pool of each slot with a day or more of observed time (slots are 168 rows at most)."""
     b = _slots(spark, sf_dir).select("slot", F.col("weight_s").alias("w"))
     hour = F.pmod("slot", F.lit(24))
     pooled = lambda k: F.sum("w").over(Window.partitionBy(k))
-    enough = lambda c: c >= 20000
+    enough = lambda c: c >= least_s
     pool = F.when(enough(F.col("w")), "hour_of_week").when(enough(pooled(hour)), "hour_of_day").when(enough(pooled(F.floor(hour / 6))), "day_part").when(enough(F.sum("w").over(Window.partitionBy(F.lit(1)))), "all").otherwise("immature")
     return b.select("slot", pool.alias("pool"))
 
