@@ -13,12 +13,14 @@ SECOND = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def micros(c) -> F.Column:
-    return F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
+    """Microseconds since 1970 of a time without zone, whatever the session's zone is."""
+    c = F.col(c) if isinstance(c, str) else c
+    seconds = F.unix_date(c.cast("date")).cast("long") * 86_400 + F.hour(c) * 3_600 + F.minute(c) * 60
+    return seconds * SECOND + (F.extract(F.lit("SECOND"), c) * SECOND).cast("long")
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState
 
 from spectraloom.operators.sequences import hysteresis_steps
 from spectraloom.sources.shared import scratch
-from spectraloom.sources.tables import table
+from spectraloom.sources.tables import micros, table
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 64) -> DataFrame:
@@ -25,7 +25,7 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 64)
         raw = stream.parquet(path)
     else:  # a stream reads folders
         raw = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.select("event_id", F.col("user_id").alias("channel"), F.col("event_type").alias("tier"), F.col("value").alias("level"), F.col("ts").cast("timestamp").alias("ts"))
+    return raw.select("event_id", F.col("user_id").alias("channel"), F.col("event_type").alias("tier"), F.col("value").alias("level"), F.timestamp_micros(micros("ts")).alias("ts"))
 
 
 def tumbling_occupancy(events: DataFrame, length: str = "15 minutes", late: str = "40 days") -> DataFrame:

@@ -330,3 +330,51 @@ def test_radiometry(spark):
     v = lambda c: value(spark, c)
     assert math.isclose(v(S.above_kt0(F.lit(-113.975), F.lit(1e6))), 0, abs_tol=1e-9) and math.isclose(v(S.noise_temperature(F.lit(10 * math.log10(2)))), 290)
     assert v(S.root_sum_square(F.lit(3.0), F.lit(4.0))) == 5 and math.isclose(v(S.median_external_noise(76.8, 27.7, F.lit(10.0))), 49.1)
+
+
+def test_merges_of_any_length_and_circles(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1500)] + [(5, 6), (None, 7), (7, None)], "child long, parent long")
+    out = J.follow_merges(links, "child", "parent").collect()
+    assert len(out) == 1500 and {r.root for r in out} == {1500}
+    for circle in ([(1, 2), (2, 3), (3, 1)], [(4, 4)], [(1, 2), (2, 3), (3, 4), (4, 2)]):
+        with pytest.raises(ValueError, match="circle"):
+            J.follow_merges(spark.createDataFrame(circle, "child long, parent long"), "child", "parent")
+
+
+def test_allocations_keep_repeated_rows(spark):
+    from spectraloom.operators import relations as R
+
+    a = spark.createDataFrame([(0.0, 10.0, "low", 1), (5.0, 20.0, "wide", 1), (6.0, 7.0, "best", 2), (6.0, 7.0, "other", 0)], "lo double, hi double, service string, status int")
+    df = spark.createDataFrame([(1, 6.5), (1, 6.5), (2, 5.0), (3, 20.0), (4, None)], "i int, x double")
+    out = sorted((r.i, str(r.service)) for r in R.allocated(df, "x", a, "lo", "hi", "status").collect())
+    assert out == [(1, "best"), (1, "best"), (2, "wide"), (3, "None"), (4, "None")]
+    assert {r.service for r in R.allocated(df, "x", a.where("false"), "lo", "hi", "status").collect()} == {None}
+
+
+def test_totals_name_channels_without_visits(spark):
+    v = spark.createDataFrame([("a", "t", 10, 20), ("a", "u", 15, 30), ("b", "t", 500, 600), ("c", "u", 90, 120)], "k string, tier string, lo long, hi long")
+    out = {r.k: r for r in I.totals(v, ["k"], "lo", "hi", "tier", ["t", "u"], 0, 100, 1000, ["u"]).collect()}
+    assert (out["a"].n_visits, out["a"].n_independent, out["a"].t_us, out["a"].u_us, out["a"].longest_gap_us) == (1, 1, 10, 15, 70)
+    assert (out["b"].n_visits, out["b"].n_independent, out["b"].t_us, out["b"].mean_revisit_us, out["b"].longest_gap_us) == (0, 0, 0, None, 100)
+    assert (out["c"].u_us, out["c"].longest_gap_us) == (10, 90)
+
+
+def test_fusion_of_evidence_and_prior(spark):
+    from spectraloom.operators import clusters as C
+
+    def run(rows, open_set=0.0):
+        df = spark.createDataFrame([(1, c, float(x), float(p), open_set) for c, x, p in rows], "k int, c string, l double, p double, o double")
+        out = C.fused(df, "k", "c", "l", "p", "o").collect()
+        assert abs(sum(r.posterior for r in out) - 1) < 1e-12
+        return {r.c: r.posterior for r in out}, out[0].exponent
+
+    post, tau = run([("a", 0.6, 1), ("b", 0.3, 1), ("unknown", 0.1, 5)])
+    assert tau == 1 and abs(post["a"] - 0.6) < 1e-12 and abs(post["unknown"] - 0.1) < 1e-12
+    post, tau = run([("a", 0.5, 1), ("b", 0.5, 3), ("unknown", 0, 0)], 0.4)  # a tie that the prior breaks
+    assert tau == 1 and abs(post["b"] - 0.45) < 1e-12 and abs(post["unknown"] - 0.4) < 1e-12
+    post, tau = run([("a", 0.9, 1), ("b", 0.05, 1000), ("unknown", 0.05, 0)])  # dominant evidence is not overturned
+    assert 0 < tau < 1 and abs(1000**tau * 0.05 - 0.9) < 1e-6 and abs(post["a"] - post["b"]) < 1e-6
+    post, _ = run([("a", 0, 1), ("b", 0, 9), ("unknown", 1, 0)], 1.0)
+    assert abs(post["unknown"] - 0.9) < 1e-12 and abs(post["a"] - 0.05) < 1e-12
+    post, _ = run([("a", 1, 1), ("b", 0, 1)])
+    assert abs(post["a"] - 0.999) < 1e-12 and abs(post["b"] - 0.001) < 1e-12
