@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.functions.gamma import floor_threshold
+
 # Fixed values of the public signal specification: chips a second, chips of a code, feedback taps of both registers, and
 # the pair of taps of the second register that makes each satellite's code, from number 1 on.
 CHIP_RATE, CHIPS = 1_023_000, 1023
@@ -32,48 +34,38 @@ def ranging_code(satellite: int) -> np.ndarray:
 
 
 def noise_bar(cells: int, blocks: int, false_alarm: float) -> float:
-    """The ratio of peak to mean that noise passes in one of ``cells`` with the given probability.
-
-    A cell of noise, summed over ``blocks``, passes x as often as a Poisson count of mean ``blocks * x`` stays under ``blocks``.
-    """
-    j = np.arange(blocks)
-    factorials = np.cumsum(np.log(np.maximum(j, 1)))
-
-    def passed(x: float) -> float:
-        return float(np.logaddexp.reduce(j * np.log(blocks * x) - factorials)) - blocks * x
+    """The ratio of peak to mean that noise, summed over ``blocks``, passes in one of ``cells`` with the given probability."""
+    return float(floor_threshold(blocks, false_alarm / cells)[0])
 
-    lo, hi = 1.0, 2.0
-    wanted = np.log(false_alarm / cells)
-    while passed(hi) > wanted:
-        lo, hi = hi, 2 * hi
-    while hi - lo > 1e-9 * hi:
-        lo, hi = ((lo + hi) / 2, hi) if passed((lo + hi) / 2) > wanted else (lo, (lo + hi) / 2)
-    return hi
 
-
-def _search(rate: int, shifts: list[float], blocks: int):
+def _search(rate: int, satellites: list[int], shifts: list[float], blocks: int):
     n, guard = rate // 1000, -(-rate // CHIP_RATE)
     at = np.arange(n) * CHIP_RATE // rate % CHIPS
-    codes = {s: np.conj(np.fft.fft(1 - 2.0 * ranging_code(s)[at])) for s in range(1, len(CODE_TAPS) + 1)}
+    codes = {s: np.conj(np.fft.fft(1 - 2.0 * ranging_code(s)[at])) for s in satellites}
     turns = np.exp(-2j * np.pi * np.array(shifts)[:, None] * np.arange(n * blocks) / rate)
 
-    @F.pandas_udf("phase double, shift double, ratio double")
-    def run(i: pd.Series, q: pd.Series, satellite: pd.Series) -> pd.DataFrame:
+    def one(x: np.ndarray) -> list[dict]:
+        spectra = np.fft.fft((x * turns).reshape(len(shifts), blocks, n))
         out = []
-        for re, im, s in zip(i, q, satellite):
-            if re is None or im is None or min(len(re), len(im)) < n * blocks:
-                out.append((None, None, None))
-                continue
-            x = np.asarray(re[: n * blocks], float) + 1j * np.asarray(im[: n * blocks], float)
-            spectra = np.fft.fft((x * turns).reshape(len(shifts), blocks, n))
-            power = (np.abs(np.fft.ifft(spectra * codes[s])) ** 2).sum(axis=1)
+        for satellite in satellites:
+            power = (np.abs(np.fft.ifft(spectra * codes[satellite])) ** 2).sum(axis=1)
             top = power.argmax(axis=1)
             away = np.abs((np.arange(n) - top[:, None] + n // 2) % n - n // 2) > guard
             mean = (power * away).sum(axis=1) / away.sum(axis=1)
             ratio = np.divide(power.max(axis=1), mean, out=np.zeros(len(shifts)), where=mean > 0)
             best = int(ratio.argmax())
-            out.append((top[best] * CHIP_RATE / rate, shifts[best], ratio[best]))
-        return pd.DataFrame(out, columns=["phase", "shift", "ratio"])
+            out.append({"satellite": satellite, "phase": float(top[best] * CHIP_RATE / rate), "shift": shifts[best], "ratio": float(ratio[best])})
+        return out
+
+    nothing = [{"satellite": s, "phase": None, "shift": None, "ratio": None} for s in satellites]
+
+    @F.pandas_udf("array<struct<satellite: int, phase: double, shift: double, ratio: double>>")
+    def run(i: pd.Series, q: pd.Series) -> pd.Series:
+        out = []
+        for re, im in zip(i, q):
+            short = re is None or im is None or min(len(re), len(im)) < n * blocks
+            out.append(nothing if short else one(np.asarray(re[: n * blocks], float) + 1j * np.asarray(im[: n * blocks], float)))
+        return pd.Series(out)
 
     return run
 
@@ -82,11 +74,10 @@ def acquire(samples: DataFrame, row: str, i: str, q: str, rate: int, satellites:
     """row, satellite, phase (chips), shift (Hz), ratio, found: where each code lies in the first ``blocks`` milliseconds of each row.
 
     Circular correlations of a millisecond each, their powers summed; ``ratio`` is the peak over the mean of what lies more
-    than a chip away, at its best shift, and must reach the bar that noise passes with probability ``false_alarm``. Each
-    (row, satellite) is a row of its own, of bounded size. Null or shorter samples give nulls and are not found; silence has
-    the ratio 0. ``rate`` is a multiple of 1,000.
+    than a chip away, at its best shift, and must reach the bar that noise passes with probability ``false_alarm``. A row's
+    samples are sent once and their spectra made once for all satellites. Null or shorter samples give nulls and are not
+    found; silence has the ratio 0. ``rate`` is a multiple of 1,000.
     """
     bar = noise_bar(rate // 1000 * len(shifts), blocks, false_alarm)
-    each = samples.select(row, F.col(i).alias("__i"), F.col(q).alias("__q"), F.explode(F.array(*[F.lit(s) for s in satellites])).alias("satellite"))
-    found = each.withColumn("__r", _search(rate, shifts, blocks)("__i", "__q", "satellite"))
-    return found.select(row, "satellite", "__r.*").withColumn("found", F.coalesce(F.col("ratio") >= bar, F.lit(False)))
+    found = samples.select(row, F.explode(_search(rate, satellites, shifts, blocks)(i, q)).alias("__r"))
+    return found.select(row, "__r.*").withColumn("found", F.coalesce(F.col("ratio") >= bar, F.lit(False)))
