@@ -118,24 +118,52 @@ def crc_table(width: int, poly: int, reflected: bool) -> list[int]:
     return out
 
 
+def frame_checks(frames: list[bytes], model: str) -> np.ndarray:
+    """The check of each frame by one of ``CRC_MODELS``, byte place by byte place over all frames that reach it."""
+    width, poly, init, reflected, final = CRC_MODELS[model]
+    table, mask = np.array(crc_table(width, poly, reflected), np.uint64), np.uint64((1 << width) - 1)
+    length = np.array([len(f) for f in frames], np.int64)
+    start, data = np.cumsum(length) - length, np.frombuffer(b"".join(frames), np.uint8)
+    order = np.argsort(-length, kind="stable")
+    reach = np.searchsorted(-length[order], -np.arange(length.max(initial=0)), side="left")  # frames longer than a place
+    first, eight, top = start[order], np.uint64(8), np.uint64(width - 8)
+    r = np.full(len(frames), _reverse(init, width) if reflected else init, np.uint64)
+    for place, n in enumerate(reach.tolist()):
+        byte = data[first[:n] + place].astype(np.uint64)
+        if reflected:
+            r[:n] = (r[:n] >> eight) ^ table[(r[:n] ^ byte) & np.uint64(255)]
+        else:
+            r[:n] = ((r[:n] << eight) & mask) ^ table[(r[:n] >> top) ^ byte]
+    out = np.empty(len(frames), np.uint64)
+    out[order] = r ^ np.uint64(final)
+    return out.astype(np.int64)
+
+
 def crc(model: str):
     """A pandas UDF: the check of binary frames by one of ``CRC_MODELS``."""
-    width, poly, init, reflected, final = CRC_MODELS[model]
-    table = crc_table(width, poly, reflected)
 
     @F.pandas_udf("long")
     def check(frames: pd.Series) -> pd.Series:
-        def one(raw):
-            r = _reverse(init, width) if reflected else init
-            for b in raw:
-                r = r >> 8 ^ table[(r ^ b) & 255] if reflected else (r << 8 ^ table[(r >> (width - 8) ^ b) & 255]) & ((1 << width) - 1)
-            return r ^ final
-
-        return frames.map(one, na_action="ignore")
+        there = frames.notna()
+        out = pd.Series(pd.NA, index=frames.index, dtype="Int64")
+        out[there] = frame_checks([bytes(f) for f in frames[there]], model)
+        return out
 
     return check
 
 
+def crc_sql(model: str, octets: str) -> str:
+    """The check of a list of byte values in SQL: what a byte turns the register by is the sum of what its bits do."""
+    width, poly, init, reflected, final = CRC_MODELS[model]
+    table, mask = crc_table(width, poly, reflected), (1 << width) - 1
+    at = "(xor(c, b) & 255)" if reflected else f"xor(c >> {width - 8}, b)"
+    turned = "0"
+    for bit in range(8):
+        turned = f"xor({turned}, (({at} >> {bit}) & 1) * {table[1 << bit]})"
+    moved = "c >> 8" if reflected else f"(c << 8) & {mask}"
+    return f"xor(list_reduce(list_prepend({_reverse(init, width) if reflected else init}::BIGINT, {octets}), lambda c, b: xor({moved}, {turned})), {final})"
+
+
 def byte_entropy():
     """A pandas UDF: bits of entropy of a text's bytes."""
 
@@ -183,16 +211,27 @@ def place_entropy(frames: DataFrame, raw: str, places: int | None = None) -> Dat
 
 
 def crc_search(frames: DataFrame, raw: str, models: list[str] | None = None) -> DataFrame:
-    """model, frames, valid: how many frames end in a right check by each model (its bytes big-endian)."""
-    out = None
-    for model in models or sorted(CRC_MODELS):
+    """model, frames, valid: how many frames end in a right check by each model (its bytes big-endian); one pass over the frames."""
+    models = models or sorted(CRC_MODELS)
+
+    def counts(model: str) -> list[Column]:
         n = CRC_MODELS[model][0] // 8
-        body = F.substring(F.col(raw), F.lit(1), F.octet_length(raw) - n)
-        tail = F.substring(F.col(raw), F.octet_length(raw) - n + 1, F.lit(n))
-        ok = crc(model)(body) == F.conv(F.hex(tail), 16, 10).cast("long")
-        one = frames.where(F.octet_length(raw) > n).select(ok.alias("ok")).agg(F.lit(model).alias("model"), F.count("*").alias("frames"), F.count_if("ok").alias("valid"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        long = F.octet_length(raw) > n
+        body = F.when(long, F.substring(F.col(raw), F.lit(1), F.octet_length(raw) - n))
+        tail = F.conv(F.hex(F.substring(F.col(raw), F.octet_length(raw) - n + 1, F.lit(n))), 16, 10).cast("long")
+        return [long.alias(f"{model} long"), (crc(model)(body) == tail).alias(f"{model} ok")]
+
+    each = frames.select(*(c for m in models for c in counts(m)))
+    whole = each.agg(*(F.count_if(f"`{m} {what}`").alias(f"{m} {what}") for m in models for what in ("long", "ok")))
+    rows = F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"`{m} long`").alias("frames"), F.col(f"`{m} ok`").alias("valid")) for m in models))
+    return whole.select(F.inline(rows)).where("frames > 0")
+
+
+def ones_complement(values: Column, bits: int = 8) -> Column:
+    """The inverted sum of numbers in which a carry out of the top comes back at the bottom."""
+    mask = (1 << bits) - 1
+    folded = F.aggregate(values, F.lit(0).cast("long"), lambda a, b: F.when(a + b > mask, a + b - mask).otherwise(a + b))
+    return mask - folded
 
 
 def deinterleave(x: Column, rows: int, columns: int) -> Column:

@@ -113,9 +113,16 @@ def field_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.place_entropy(p, "raw").select("at", "n", F.round("entropy", 6).alias("entropy"))
 
 
-@query()
+_MODELS = " UNION ALL ".join(
+    f"SELECT '{m}' AS model, count(*)::BIGINT AS frames, (count(*) FILTER ({B.crc_sql(m, f'v[1:len(v) - {w[0] // 8}]')} = list_reduce(list_prepend(0::BIGINT, v[len(v) - {w[0] // 8 - 1}:]), lambda a, x: a * 256 + x)))::BIGINT AS valid FROM f WHERE len(v) > {w[0] // 8}"
+    for m, w in sorted(B.CRC_MODELS.items())
+)
+
+
+@query(f"""WITH o AS (SELECT list_transform(regexp_extract_all(hex(encode(url)), '..'), lambda x: ('0x' || x)::BIGINT) AS o FROM pages WHERE url IS NOT NULL),
+k AS (SELECT o, {B.crc_sql('crc16-x25', 'o')} AS k FROM o), f AS (SELECT list_concat(o, [k >> 8, k & 255]) AS v FROM k) SELECT * FROM ({_MODELS}) WHERE frames > 0""")
 def crc_model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which check the frames end in: urls with a CRC-16 put behind them, against all models; the SQL engine has no CRC."""
+    """Which check the frames end in: urls with a CRC-16 put behind them, against all models."""
     p = table(spark, sf_dir, "pages").where("url is not null").withColumn("raw", F.col("url").cast("binary"))
     tail = F.unhex(F.lpad(F.hex(B.crc("crc16-x25")("raw")), 4, "0"))
     return B.crc_search(p.select(F.concat("raw", tail).alias("raw")), "raw")

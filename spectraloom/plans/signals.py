@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spectraloom.functions import gamma
 from spectraloom.operators import frames as B
 from spectraloom.operators import graph as G
 from spectraloom.operators import spectral as X
@@ -128,11 +129,14 @@ def frame_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", B.add_checksum(v).alias("add8"), B.xor_checksum(v).alias("xor8"))
 
 
-@query()
+_OCTETS = "list_transform(regexp_extract_all(hex(encode(url)), '..'), lambda x: ('0x' || x)::BIGINT)"
+
+
+@query(f"SELECT page_id, {B.crc_sql('crc32', _OCTETS)}::BIGINT AS crc32, {B.crc_sql('crc16-x25', _OCTETS)}::BIGINT AS crc16, {B.crc_sql('crc24-adsb', _OCTETS)}::BIGINT AS crc24 FROM pages")
 def frame_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checks of every url as a frame, CRC-32 by the built-in and CRC-16 by table; the SQL engine has no CRC."""
+    """Checks of every url as a frame, CRC-32 by the built-in and others by table."""
     p = table(spark, sf_dir, "pages").withColumn("raw", F.col("url").cast("binary"))
-    return p.select("page_id", F.crc32("raw").alias("crc32"), B.crc("crc16-x25")("raw").alias("crc16"))
+    return p.select("page_id", F.crc32("raw").alias("crc32"), B.crc("crc16-x25")("raw").alias("crc16"), B.crc("crc24-adsb")("raw").alias("crc24"))
 
 
 @query("""WITH b AS (SELECT page_id, hex(encode(url)) AS h FROM pages WHERE url IS NOT NULL), n AS (SELECT page_id, ('0x' || substr(h, 1, 14))::BIGINT AS x FROM b WHERE length(h) >= 14)
@@ -184,3 +188,34 @@ def drift_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     enough = x.groupBy("channel").agg(F.countDistinct("t").alias("k"), F.countDistinct("f").alias("m")).where("k > 1 and m > 1").select("channel")
     r = X.chirp_rate(x.join(enough, "channel", "left_semi"), ["channel"], "t", "f")
     return r.select("channel", F.round("rate", 6).alias("rate"), F.round("r2", 6).alias("r2"), "n")
+
+
+_DENSE = f"""{_CENT}, g AS (SELECT vec_id, any_value(l.label) AS label, k, sum((x - m) * (x - m) / greatest(v, 1e-9)) AS d2, count(*) AS n, -0.5 * sum((x - m) * (x - m) / greatest(v, 1e-9) + ln(greatest(v, 1e-9))) AS density FROM l JOIN c USING (i) GROUP BY vec_id, k)"""
+
+
+@query(f"""WITH {_DENSE}, b AS (SELECT vec_id, k AS best, d2, n FROM g QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(density, 9) DESC, k) = 1),
+t AS (SELECT vec_id, best, d2, n, unnest(range(n // 2)) AS j FROM b)
+SELECT vec_id, best, round(sum(exp(-d2 / 2 + j * ln(d2 / 2) - lgamma(j + 1))), 6) AS open_set FROM t GROUP BY vec_id, best""")
+def density_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of highest density with a diagonal covariance, and the chi-square tail of the vector's distance to it.
+
+    The classes' means and spreads, one row a label, travel as one broadcast row.
+    """
+    e, c = _centroids(spark, sf_dir)
+    models = c.agg(F.collect_list(F.struct("label", "c")).alias("models"))
+    spread = lambda s: F.greatest(s["v"], F.lit(1e-9))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    terms = lambda m: F.zip_with("embedding", m["c"], lambda x, s: F.pow(x.cast("double") - s["m"], 2) / spread(s))
+    scored = F.transform("models", lambda m: F.struct(F.round(-0.5 * (total(terms(m)) + total(F.transform(m["c"], lambda s: F.ln(spread(s))))), 9).alias("density"), (-m["label"]).alias("rank"), total(terms(m)).alias("d2")))
+    best = e.join(F.broadcast(models), F.lit(True)).select("vec_id", F.size("embedding").alias("k"), F.array_max(scored).alias("b"))
+    tail = gamma.column(gamma.chi_square_tail, F.col("b.d2"), F.col("k").cast("double"))
+    return best.select("vec_id", (-F.col("b.rank")).alias("best"), F.round(tail, 6).alias("open_set"))
+
+
+@query()
+def noise_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Looks that the spread of each channel's decibels tells of, and what its median then reads above the mean; by bisection, so no SQL."""
+    v = visits(spark, sf_dir).groupBy("channel").agg(F.var_samp(F.col("level") / 10).alias("variance"))
+    shape = gamma.column(gamma.shape_of_db_variance, F.col("variance"))
+    out = v.select("channel", "variance", shape.alias("looks"))
+    return out.withColumn("median_bias_db", F.round(gamma.column(gamma.percentile_bias_db, F.col("looks"), F.lit(0.5)), 6)).withColumn("looks", F.round("looks", 6))

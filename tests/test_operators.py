@@ -378,3 +378,29 @@ def test_fusion_of_evidence_and_prior(spark):
     assert abs(post["unknown"] - 0.9) < 1e-12 and abs(post["a"] - 0.05) < 1e-12
     post, _ = run([("a", 1, 1), ("b", 0, 1)])
     assert abs(post["a"] - 0.999) < 1e-12 and abs(post["b"] - 0.001) < 1e-12
+
+
+def test_checks_of_ragged_frames_and_carries():
+    import random
+    import zlib
+
+    rng = random.Random(8)
+    frames = [rng.randbytes(rng.choice([0, 1, 2, 3, 17, 200])) for _ in range(300)]
+    assert B.frame_checks(frames, "crc32").tolist() == [zlib.crc32(f) for f in frames]
+    for model, (width, poly, init, reflected, final) in B.CRC_MODELS.items():
+
+        def plain(frame):
+            r = init
+            for byte in frame:
+                for bit in range(8):
+                    top = (r >> (width - 1)) ^ (byte >> (bit if reflected else 7 - bit) & 1)
+                    r = (r << 1 & (1 << width) - 1) ^ (poly if top & 1 else 0)
+            return (int(f"{r:0{width}b}"[::-1], 2) if reflected else r) ^ final
+
+        assert B.frame_checks(frames, model).tolist() == [plain(f) for f in frames], model
+    assert B.frame_checks([], "crc8").tolist() == []
+
+
+def test_ones_complement(spark):
+    df = spark.createDataFrame([([1, 2, 3],), ([255, 255],), ([200, 100],), ([],)], "v array<long>")
+    assert [r.c for r in df.select(B.ones_complement(F.col("v")).alias("c")).collect()] == [249, 0, 255 - 45, 255]
