@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectraloom.functions.scalar import from_db, to_db
+from spectraloom.functions.scalar import from_db, to_db, wilson
 
 
 def slot_sums(df: DataFrame, keys: list[str], value: str, weight: str, occupied: Column, n_eff: Column) -> DataFrame:
@@ -69,29 +69,62 @@ def log_histogram(df: DataFrame, keys: list[str], value: str, per_octave: int) -
     return df.where(F.col(value) > 0).groupBy(*keys, F.floor(F.log2(value) * per_octave).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def pyramid_base(df: DataFrame, f: Column, t: Column, value: str, seconds: Column) -> DataFrame:
-    """Level 0 of a time-frequency pyramid: f, t, n, max_db, power (linear sum), cover_s."""
-    return df.groupBy(f.alias("f"), t.alias("t")).agg(F.count("*").alias("n"), F.max(value).alias("max_db"), F.sum(from_db(F.col(value))).alias("power"), F.sum(seconds).alias("cover_s"))
+def pyramid_base(df: DataFrame, f: Column, t: Column, value: str, seconds: Column, occupied: Column) -> DataFrame:
+    """Level 0 of a time-frequency pyramid: f, t, n, max_db, power (linear sum), cover_s, occupied_s, max_share."""
+    held = F.sum(F.when(occupied, seconds).otherwise(0.0))
+    return df.groupBy(f.alias("f"), t.alias("t")).agg(
+        F.count("*").alias("n"),
+        F.max(value).alias("max_db"),
+        F.sum(from_db(F.col(value))).alias("power"),
+        F.sum(seconds).alias("cover_s"),
+        held.alias("occupied_s"),
+        F.coalesce(held / F.sum(seconds), F.lit(0.0)).alias("max_share"),
+    )
 
 
 def pyramid_fold(level: DataFrame, f_factor: int, t_factor: int) -> DataFrame:
-    """The next level: counts and powers add up, maxima keep, coverage is the cells' sum over the frequency factor."""
+    """The next level: counts and powers add up, maxima keep, coverage is the cells' sum over the frequency factor.
+
+    What is occupied is the best cell's share of the coverage; the largest share of any level-0 cell is kept beside it.
+    """
     f, t = F.floor(F.col("f") / f_factor), F.floor(F.col("t") / t_factor)
-    return level.groupBy(f.alias("f"), t.alias("t")).agg(F.sum("n").alias("n"), F.max("max_db").alias("max_db"), F.sum("power").alias("power"), (F.sum("cover_s") / f_factor).alias("cover_s"))
+    cover = F.sum("cover_s") / f_factor
+    return level.groupBy(f.alias("f"), t.alias("t")).agg(
+        F.sum("n").alias("n"),
+        F.max("max_db").alias("max_db"),
+        F.sum("power").alias("power"),
+        cover.alias("cover_s"),
+        (F.coalesce(F.max(F.col("occupied_s") / F.nullif(F.col("cover_s"), F.lit(0.0))), F.lit(0.0)) * cover).alias("occupied_s"),
+        F.max("max_share").alias("max_share"),
+    )
 
 
 def roll_up(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Occupancy rows joined to one: weighted shares, longest revisit, median threshold, flags by or."""
-    weighted = lambda x, w: F.sum(F.col(x) * F.col(w)) / F.sum(F.when(F.col(x).isNotNull(), F.col(w)))
-    return rows.groupBy(*keys).agg(
-        weighted("fco", "observed_s").alias("fco"),
-        F.sum("n_revisits").alias("n_revisits"),
-        F.sum("observed_s").alias("observed_s"),
+    """Occupancy rows joined to one.
+
+    ``fco`` is weighted by observed time times the share of visits that aren't suspect, ``fco_all`` by visits, ``fco_upper``
+    and ``fbo`` by observed time, each over the rows that have it; independent samples add up over rows with an ``fco`` and
+    give its interval; the longest revisit and the median threshold stay, flags join by or.
+    """
+
+    def weighted(x: str, w: Column) -> Column:
+        w = F.when(F.col(x).isNotNull(), w)
+        return F.sum(F.col(x) * w) / F.nullif(F.sum(w), F.lit(0.0))
+
+    seconds, n = F.col("observed_s"), F.col("n_revisits")
+    usable = F.when(n > 0, seconds * (n - F.col("n_suspect")) / n).otherwise(0.0)
+    out = rows.groupBy(*keys).agg(
+        weighted("fco", usable).alias("fco"),
+        weighted("fco_all", n.cast("double")).alias("fco_all"),
+        weighted("fco_upper", seconds).alias("fco_upper"),
+        weighted("fbo", F.greatest(seconds, F.lit(1e-9))).alias("fbo"),
+        *(F.sum(c).alias(c) for c in ("n_revisits", "n_occupied", "n_suspect", "observed_s")),
         F.max("revisit_max_s").alias("revisit_max_s"),
         F.percentile("threshold_db", F.lit(0.5)).alias("threshold_db"),
         F.bool_or("clamped").alias("clamped"),
-        F.sum(F.when(F.col("fco").isNotNull(), F.col("n_eff"))).alias("n_eff"),
+        F.coalesce(F.sum(F.when(F.col("fco").isNotNull(), F.col("n_eff"))), F.lit(0.0)).alias("n_eff"),
     )
+    return out.withColumn("interval", F.when(F.col("fco").isNotNull(), wilson(F.col("fco"), F.col("n_eff"))))
 
 
 def mode_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:

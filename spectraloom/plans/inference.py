@@ -290,7 +290,10 @@ def signature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and customers of one nation with like signatures: the RMS of three field distances at most 1, none above 3."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("n"), F.col("s_acctbal").alias("x"))
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b"), F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("y"))
-    j, zero, ten, one = s.join(c, "n"), F.lit(0.0), F.lit(10.0), F.lit(1.0)
+    reach = 3 * (100.0**2 + 10.0**2) ** 0.5  # beyond three spreads of the first field a pair is vetoed
+    at = lambda v: F.floor(F.col(v) / reach)
+    near = c.withColumn("cell", F.explode(F.sequence(at("y") - 1, at("y") + 1)))
+    j, zero, ten, one = s.withColumn("cell", at("x")).join(near, ["n", "cell"]), F.lit(0.0), F.lit(10.0), F.lit(1.0)
     d = J.cluster_distance([
         J.field_distance(F.col("x"), F.col("y"), 100.0, ten, zero),
         J.field_distance(F.pmod("a", F.lit(50)), F.pmod("b", F.lit(50)), 5.0, one, zero),

@@ -90,40 +90,58 @@ def containment_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("cell").agg(F.count("*").alias("n_visits"), F.countDistinct("channel").alias("n_channels"), F.sum(F.col("end_us") - F.col("start_us")).alias("observed_us"))
 
 
-_OCC_SQL = f"""q AS (SELECT channel, (start_us // {QUARTER}) * {QUARTER} AS t_us, count(*) AS n_revisits, sum((level >= 100)::INT) AS n_occupied,
-  sum((end_us - start_us) / 1000000) AS observed_s, round(sum((level >= 100)::INT * ((end_us - start_us) / 1000000)) / sum((end_us - start_us) / 1000000), 12) AS fco,
-  max(end_us - start_us) / 1e6 AS revisit_max_s, 100.0::DOUBLE AS threshold_db, bool_or(level < 1) AS clamped,
-  greatest(count(*) * (1 - exp(-(900.0::DOUBLE / count(*)) / 300)) / (1 + exp(-(900.0::DOUBLE / count(*)) / 300)), least(count(*), 1.0)) AS n_eff
+_N = "(count(*) FILTER (tier <> 'error'))::DOUBLE"
+_OCC_SQL = f"""q AS (SELECT channel, (start_us // {QUARTER}) * {QUARTER} AS t_us, count(*) AS n_revisits, count(*) FILTER (level >= 100) AS n_occupied, count(*) FILTER (tier = 'error') AS n_suspect,
+  sum((end_us - start_us) / 1000000) AS observed_s, round(sum((level >= 100)::INT * ((end_us - start_us) / 1000000)) FILTER (tier <> 'error') / sum((end_us - start_us) / 1000000) FILTER (tier <> 'error'), 12) AS fco,
+  avg((level >= 100)::INT) AS fco_all, sum((level >= 100 OR tier = 'error')::INT * ((end_us - start_us) / 1000000)) / sum((end_us - start_us) / 1000000) AS fco_upper,
+  count(DISTINCT cell) FILTER (level >= 100) / nullif(count(DISTINCT cell), 0)::DOUBLE AS fbo, max(end_us - start_us) / 1e6 AS revisit_max_s, 100.0::DOUBLE AS threshold_db, bool_or(level < 1) AS clamped,
+  CASE WHEN {_N} > 0 THEN greatest({_N} * (1 - exp(-(900.0::DOUBLE / {_N}) / 300)) / (1 + exp(-(900.0::DOUBLE / {_N}) / 300)), least({_N}, 1.0)) END AS n_eff
   FROM v GROUP BY ALL)"""
 
 
 def _quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = visits(spark, sf_dir).withColumns({"t_us": F.floor(F.col("start_us") / QUARTER) * QUARTER, "s": (F.col("end_us") - F.col("start_us")) / 1e6, "o": (F.col("level") >= 100).cast("int")})
-    n = F.count("*").cast("double")
+    """Occupancy rows of a quarter of an hour; errors are the suspect visits."""
+    v = visits(spark, sf_dir).withColumns({"t_us": F.floor(F.col("start_us") / QUARTER) * QUARTER, "s": (F.col("end_us") - F.col("start_us")) / 1e6, "o": (F.col("level") >= 100).cast("int"), "suspect": F.col("tier") == "error"})
+    sure = lambda c: F.sum(F.when(~F.col("suspect"), c))
+    n = F.count_if(~F.col("suspect")).cast("double")
     return v.groupBy("channel", "t_us").agg(
         F.count("*").alias("n_revisits"),
         F.sum("o").alias("n_occupied"),
+        F.count_if("suspect").alias("n_suspect"),
         F.sum("s").alias("observed_s"),
-        F.round(F.sum(F.col("o") * F.col("s")) / F.sum("s"), 12).alias("fco"),
+        F.round(sure(F.col("o") * F.col("s")) / sure(F.col("s")), 12).alias("fco"),
+        F.avg("o").alias("fco_all"),
+        (F.sum(F.when((F.col("o") == 1) | F.col("suspect"), F.col("s")).otherwise(0.0)) / F.sum("s")).alias("fco_upper"),
+        (F.countDistinct(F.when(F.col("o") == 1, F.col("cell"))) / F.nullif(F.countDistinct("cell"), F.lit(0))).alias("fbo"),
         F.max("s").alias("revisit_max_s"),
         F.lit(100.0).alias("threshold_db"),
         F.bool_or(F.col("level") < 1).alias("clamped"),
-        S.effective_samples(n, 900 / n, F.lit(300.0)).alias("n_eff"),
+        F.when(n > 0, S.effective_samples(n, 900 / n, F.lit(300.0))).alias("n_eff"),
     )
 
 
-@query(f"WITH {VISITS_SQL}, {_OCC_SQL} SELECT channel, t_us::BIGINT AS t_us, n_revisits::BIGINT AS n_revisits, n_occupied::BIGINT AS n_occupied, fco, round(n_eff, 9) AS n_eff FROM q")
+@query(f"WITH {VISITS_SQL}, {_OCC_SQL} SELECT channel, t_us::BIGINT AS t_us, n_revisits::BIGINT AS n_revisits, n_occupied::BIGINT AS n_occupied, n_suspect::BIGINT AS n_suspect, fco, round(fco_all, 9) AS fco_all, round(n_eff, 9) AS n_eff FROM q")
 def occupancy_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occupancy of every channel by quarter of an hour."""
-    return _quarters(spark, sf_dir).select("channel", "t_us", "n_revisits", "n_occupied", "fco", F.round("n_eff", 9).alias("n_eff"))
+    return _quarters(spark, sf_dir).select("channel", "t_us", "n_revisits", "n_occupied", "n_suspect", "fco", F.round("fco_all", 9).alias("fco_all"), F.round("n_eff", 9).alias("n_eff"))
 
 
-@query(f"""WITH {VISITS_SQL}, {_OCC_SQL} SELECT channel, ((t_us // {4 * QUARTER}) * {4 * QUARTER})::BIGINT AS h_us, round(sum(fco * observed_s) / sum(observed_s), 9) AS fco,
-sum(n_revisits)::BIGINT AS n_revisits, max(revisit_max_s) AS revisit_max_s, median(threshold_db) AS threshold_db, bool_or(clamped) AS clamped, round(sum(n_eff), 9) AS n_eff FROM q GROUP BY ALL""")
+_Z2 = S.Z[0.95] ** 2
+
+
+@query(f"""WITH {VISITS_SQL}, {_OCC_SQL}, u AS (SELECT *, CASE WHEN fco IS NOT NULL THEN observed_s * (n_revisits - n_suspect) / n_revisits END AS w FROM q),
+r AS (SELECT channel, ((t_us // {4 * QUARTER}) * {4 * QUARTER})::BIGINT AS h_us, sum(fco * w) / nullif(sum(w), 0) AS fco, sum(fco_all * n_revisits) / sum(n_revisits) AS fco_all, sum(fco_upper * observed_s) / sum(observed_s) AS fco_upper,
+  sum(fbo * observed_s) / sum(CASE WHEN fbo IS NOT NULL THEN observed_s END) AS fbo, sum(n_revisits)::BIGINT AS n_revisits, sum(n_suspect)::BIGINT AS n_suspect, max(revisit_max_s) AS revisit_max_s, median(threshold_db) AS threshold_db, bool_or(clamped) AS clamped,
+  coalesce(sum(CASE WHEN fco IS NOT NULL THEN n_eff END), 0) AS n_eff FROM u GROUP BY ALL),
+k AS (SELECT *, (fco + {_Z2} / (2 * n_eff)) / (1 + {_Z2} / n_eff) AS mid, sqrt({_Z2}) / (1 + {_Z2} / n_eff) * sqrt(fco * (1 - fco) / n_eff + {_Z2} / (4 * n_eff * n_eff)) AS half FROM r)
+SELECT channel, h_us, round(fco, 9) AS fco, round(fco_all, 9) AS fco_all, round(fco_upper, 9) AS fco_upper, round(fbo, 9) AS fbo, n_revisits, n_suspect, revisit_max_s, threshold_db, clamped, round(n_eff, 9) AS n_eff,
+  CASE WHEN n_eff >= 1 THEN round(CASE WHEN fco <= 0 THEN 0 ELSE greatest(0, least(1, mid - half)) END, 6) END AS lo, CASE WHEN n_eff >= 1 THEN round(CASE WHEN fco >= 1 THEN 1 ELSE greatest(0, least(1, mid + half)) END, 6) END AS hi FROM k""")
 def occupancy_rollup_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarters rolled up to hours: weighted shares, longest revisit, median threshold, flags by or."""
+    """Quarters rolled up to hours: weighted shares with their interval, longest revisit, median threshold, flags by or."""
     hours = _quarters(spark, sf_dir).withColumn("h_us", F.floor(F.col("t_us") / (4 * QUARTER)) * (4 * QUARTER))
-    return A.roll_up(hours, ["channel", "h_us"]).select("channel", "h_us", F.round("fco", 9).alias("fco"), "n_revisits", "revisit_max_s", "threshold_db", "clamped", F.round("n_eff", 9).alias("n_eff"))
+    shares = [F.round(c, 9).alias(c) for c in ("fco", "fco_all", "fco_upper", "fbo", "n_eff")]
+    ends = [F.round(f"interval.{c}", 6).alias(c) for c in ("lo", "hi")]
+    return A.roll_up(hours, ["channel", "h_us"]).select("channel", "h_us", *shares, "n_revisits", "n_suspect", "revisit_max_s", "threshold_db", "clamped", *ends)
 
 
 _Z = S.Z[0.95]
@@ -211,26 +229,33 @@ def log_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.log_histogram(visits(spark, sf_dir), ["tier"], "level", 4)
 
 
-_PYR = "p0 AS (SELECT cell AS f, start_us // 3600000000 AS t, count(*) AS n, max(level / 10) AS max_db, sum(pow(10, level / 100)) AS power, sum((end_us - start_us) / 1e6) AS cover_s FROM v GROUP BY ALL)"
+_PYR = """p0 AS (SELECT *, coalesce(occupied_s / cover_s, 0) AS max_share FROM (SELECT cell AS f, start_us // 3600000000 AS t, count(*) AS n, max(level / 10) AS max_db, sum(pow(10, level / 100)) AS power,
+  sum((end_us - start_us) / 1e6) AS cover_s, sum(CASE WHEN level >= 100 THEN (end_us - start_us) / 1e6 ELSE 0 END) AS occupied_s FROM v GROUP BY ALL))"""
+_FOLD = """SELECT floor(f / 4)::BIGINT AS f, floor(t / {t})::BIGINT AS t, sum(n) AS n, max(max_db) AS max_db, sum(power) AS power, sum(cover_s) / 4 AS cover_s,
+  coalesce(max(occupied_s / nullif(cover_s, 0)), 0) * sum(cover_s) / 4 AS occupied_s, max(max_share) AS max_share FROM {src} GROUP BY 1, 2"""
+_PYR_OUT = "f, t::BIGINT AS t, n::BIGINT AS n, max_db, round(power, 3) AS power, round(cover_s, 6) AS cover_s, round(occupied_s, 6) AS occupied_s, round(max_share, 9) AS max_share"
 
 
 def _pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = visits(spark, sf_dir).withColumns({"db": F.col("level") / 10, "s": (F.col("end_us") - F.col("start_us")) / 1e6})
-    return A.pyramid_base(v, F.col("cell"), F.floor(F.col("start_us") / 3_600_000_000), "db", F.col("s"))
+    return A.pyramid_base(v, F.col("cell"), F.floor(F.col("start_us") / 3_600_000_000), "db", F.col("s"), F.col("level") >= 100)
+
+
+def _shown(level: DataFrame) -> DataFrame:
+    places = {"power": 3, "cover_s": 6, "occupied_s": 6, "max_share": 9}
+    return level.select("f", "t", "n", "max_db", *(F.round(c, k).alias(c) for c, k in places.items()))
 
 
-@query(f"WITH {VISITS_SQL}, {_PYR} SELECT f, t::BIGINT AS t, n::BIGINT AS n, max_db, round(power, 4) AS power, round(cover_s, 6) AS cover_s FROM p0")
+@query(f"WITH {VISITS_SQL}, {_PYR} SELECT {_PYR_OUT} FROM p0")
 def pyramid_l0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells by hour: count, maximum, summed power and covered seconds."""
-    return _pyramid(spark, sf_dir).select("f", "t", "n", "max_db", F.round("power", 4).alias("power"), F.round("cover_s", 6).alias("cover_s"))
+    """Cells by hour: count, maximum, summed power, covered and occupied seconds."""
+    return _shown(_pyramid(spark, sf_dir))
 
 
-@query(f"""WITH {VISITS_SQL}, {_PYR}, p1 AS (SELECT floor(f / 4)::BIGINT AS f, floor(t / 6)::BIGINT AS t, sum(n) AS n, max(max_db) AS max_db, sum(power) AS power, sum(cover_s) / 4 AS cover_s FROM p0 GROUP BY 1, 2)
-SELECT floor(f / 4)::BIGINT AS f, floor(t / 4)::BIGINT AS t, sum(n)::BIGINT AS n, max(max_db) AS max_db, round(sum(power), 3) AS power, round(sum(cover_s) / 4, 6) AS cover_s FROM p1 GROUP BY 1, 2""")
+@query(f"WITH {VISITS_SQL}, {_PYR}, p1 AS ({_FOLD.format(t=6, src='p0')}), p2 AS ({_FOLD.format(t=4, src='p1')}) SELECT {_PYR_OUT} FROM p2")
 def pyramid_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two folds up: 16 cells by a day."""
-    top = A.pyramid_fold(A.pyramid_fold(_pyramid(spark, sf_dir), 4, 6), 4, 4)
-    return top.select("f", "t", "n", "max_db", F.round("power", 3).alias("power"), F.round("cover_s", 6).alias("cover_s"))
+    return _shown(A.pyramid_fold(A.pyramid_fold(_pyramid(spark, sf_dir), 4, 6), 4, 4))
 
 
 @query(f"WITH {VISITS_SQL} SELECT cell, arg_max(level, (start_us, event_id)) AS level, max(start_us)::BIGINT AS seen_us FROM v GROUP BY cell")

@@ -23,11 +23,18 @@ def vec_kurtosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(mean, 6).alias("mean_power"), F.round(10 * F.log10(F.greatest(F.array_max("p"), F.lit(1e-30)) / mean), 4).alias("crest_db"), F.round(X.kurtosis_of_power(F.col("p")), 6).alias("kurtosis"))
 
 
-@query()
+_BINS = 16
+
+
+@query(f"""WITH h AS (SELECT k, 0.5 - 0.5 * cos(2 * pi() * k / {_BINS}) AS w FROM range({_BINS}) t(k)),
+e AS (SELECT vec_id, embedding AS x, unnest(range((len(embedding) - {_BINS}) // {_BINS // 2} + 1)) AS j FROM embeddings WHERE len(embedding) >= {_BINS}),
+s AS (SELECT vec_id, j, k, x[j * {_BINS // 2} + k + 1]::DOUBLE * w AS y FROM e CROSS JOIN h),
+d AS (SELECT vec_id, j, b, pow(sum(y * cos(2 * pi() * (b - {_BINS // 2}) * k / {_BINS})), 2) + pow(sum(y * sin(2 * pi() * (b - {_BINS // 2}) * k / {_BINS})), 2) AS p FROM s CROSS JOIN range({_BINS}) r(b) GROUP BY ALL)
+SELECT vec_id, b::INT AS bin, round(avg(p) / (SELECT sum(w * w) FROM h), 6) AS power FROM d GROUP BY ALL""")
 def vec_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Averaged power density of each block over overlapping frames of 16 samples, by bin; an FFT, so no SQL."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", X.welch(16)("embedding").alias("psd"))
-    return e.select("vec_id", F.posexplode("psd").alias("bin", "power"))
+    """Averaged power density of each block over overlapping frames of 16 samples, by bin."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", X.welch(_BINS)("embedding").alias("psd"))
+    return e.select("vec_id", F.posexplode("psd").alias("bin", "power")).withColumn("power", F.round("power", 6))
 
 
 def _centroids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -60,11 +67,18 @@ def open_set_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(F.broadcast(c), "label").select("vec_id", F.round(d, 5).alias("score"), (d > 1.2).alias("unknown"))
 
 
-@query()
+@query("""WITH p AS (SELECT vec_id, embedding AS x, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings),
+l AS (SELECT vec_id, x, y, unnest(range(-4, 5)) AS lag FROM p WHERE y IS NOT NULL), z AS (SELECT vec_id, lag, x, y, unnest(range(greatest(lag, 0), len(x) + least(lag, 0))) AS i FROM l),
+c AS (SELECT vec_id, lag, corr(x[i + 1]::DOUBLE, y[i - lag + 1]::DOUBLE) AS r FROM z GROUP BY ALL)
+SELECT vec_id, lag::INT AS lag, round(coalesce(r, 0), 6) AS correlation FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(coalesce(r, 0), 9) DESC, lag) = 1""")
 def vec_xcorr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lag and size of the best correlation of each block with the next of its label; a search by numpy, so no SQL."""
+    """Lag and size of the best correlation of each block with the next of its label.
+
+    Only ids go through the window that finds the next one; the vectors meet by a join.
+    """
     e = table(spark, sf_dir, "embeddings")
-    pairs = e.withColumn("other", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("other is not null")
+    follows = e.select("vec_id", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("next")).where("next is not null")
+    pairs = follows.join(e.select("vec_id", "embedding"), "vec_id").join(e.select(F.col("vec_id").alias("next"), F.col("embedding").alias("other")), "next")
     return pairs.select("vec_id", X.best_lag(4)("embedding", "other").alias("r")).select("vec_id", "r.lag", F.round("r.correlation", 6).alias("correlation"))
 
 
