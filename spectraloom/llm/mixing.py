@@ -87,7 +87,8 @@ def with_topic(docs: DataFrame, learned: DataFrame, into: str = "topic") -> Data
     known = learned.select(F.col("lang").alias("__of"), F.col("anchors").alias("__anchors"))
     held = docs.join(F.broadcast(known), F.coalesce("lang", F.lit("")) == F.col("__of"), "left")
     spaced = F.replace(_evened(F.col("text")), F.lit(" "), F.lit("  "))
-    held = held.withColumn("__words", F.when(F.col("__anchors").isNotNull(), F.concat(F.lit(" "), spaced, F.lit(" "))))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  # a row made of a row: what is worked out here isn't worked out again by what reads it
+    held = held.select("*", once(F.when(F.col("__anchors").isNotNull(), F.concat(F.lit(" "), spaced, F.lit(" ")))).alias("__words"))
 
     def weight(i: int) -> Column:
         anchor = F.get("__anchors", F.lit(i))
@@ -96,7 +97,7 @@ def with_topic(docs: DataFrame, learned: DataFrame, into: str = "topic") -> Data
         return F.struct(F.coalesce(count * anchor["rarity"], F.lit(0.0)).alias("weight"), F.lit(-i).alias("i"), anchor["word"].alias("word"))
 
     best = F.greatest(*(weight(i) for i in range(ANCHORS)), F.struct(F.lit(0.0).alias("weight"), F.lit(1).alias("i"), F.lit("").alias("word")))
-    return held.withColumn(into, best["word"]).drop("__of", "__anchors", "__words")
+    return held.select(*docs.columns, once(best["word"]).alias(into))
 
 
 def _draw() -> Column:
