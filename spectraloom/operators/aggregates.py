@@ -47,6 +47,36 @@ def eighty_percent_floor(df: DataFrame, keys: list[str], value: str, drop: float
     return ranked.where(F.col("__i") <= kept).groupBy(*keys).agg(to_db(F.avg(from_db(x))).alias("floor_db"), F.count("*").alias("n_used"))
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float], bins: int = 1024) -> DataFrame:
+    """keys and a column for each named share (0 to 1): quantiles between neighbouring values, exact, with no key held whole.
+
+    First pass: each key's range and its counts in even bins. Second: only bins that hold a wanted rank are ranked, by their
+    distinct values. Infinite values have bins of their own; null and NaN don't count, and a key of only those gets nulls.
+    """
+    x = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    rows = df.select(F.struct(*keys).alias("__k"), x.alias("__x"))
+    finite = F.when(F.abs("__x") < float("inf"), F.col("__x"))
+    bounds = rows.groupBy("__k").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count("__x").alias("all"))
+    part = F.when(F.col("hi") > F.col("lo"), (F.col("__x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)).otherwise(0.0)
+    bin_of = F.when(F.col("__x") == float("-inf"), -1).when(F.col("__x") == float("inf"), bins).otherwise(F.least(F.floor(part * bins), F.lit(bins - 1)))
+    binned = rows.where(F.col("__x").isNotNull()).join(bounds, "__k").select("__k", bin_of.cast("int").alias("bin"), "__x", "all")
+    by = Window.partitionBy("__k").orderBy("bin")
+    counts = binned.groupBy("__k", "bin").agg(F.count("*").alias("n"), F.first("all").alias("all"))
+    counts = counts.withColumn("before", F.sum("n").over(by) - F.col("n"))
+    rank = lambda q: F.lit(float(q)) * (F.col("all") - 1)
+    ends = [f(rank(q)) for q in at.values() for f in (F.floor, F.ceil)]
+    wanted = counts.where(F.exists(F.array(*ends), lambda i: (i >= F.col("before")) & (i < F.col("before") + F.col("n")))).select("__k", "bin", "before")
+    inside = binned.join(wanted, ["__k", "bin"]).groupBy("__k", "bin", "__x").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("all").alias("all"))
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("__k", "bin").orderBy("__x")))
+    found = {}
+    for name, q in at.items():
+        below, above = (F.min(F.when(F.col("upto") > f(rank(q)), F.col("__x"))) for f in (F.floor, F.ceil))
+        share = F.first(rank(q) - F.floor(rank(q)))
+        found[name] = F.when(below == above, below).otherwise(below * (1 - share) + above * share).alias(name)
+    got = inside.groupBy("__k").agg(*found.values())
+    return bounds.select("__k").join(got, "__k", "left").select("__k.*", *at)
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, lo: float, step: float, bins: int) -> DataFrame:
     """keys, bin, n: fixed bins with clamped ends; NaN and what lies below go to bin 0."""
     x = F.col(value)

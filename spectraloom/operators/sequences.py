@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spectraloom.sources.shared import written
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by ``order``: an aggregate, so that a busy key is met by partial results."""
@@ -64,20 +66,66 @@ def hysteresis_steps(scores: list[float], times: list[int], state: AlarmState =
     return out, (is_open, above, below, cleared)
 
 
+#: A clearing time that a block doesn't know, as it lies in a block before it.
+_EARLIER = -2
+
+
 def hysteresis(df: DataFrame, key: str, t: str, tie: str, score: str, on: float = 0.7, off: float = 0.4, raise_after: int = 2, clear_after: int = 3, reopen: int = 3_600_000_000) -> DataFrame:
     """key, t, tie, score, step: alarms that rise after some high scores in a row and clear after some low ones.
 
-    The state is one key's own and ordered, which frames of built-in windows can't express; a key is one group.
+    The table is cut into ranges of (key, t, tie), so a busy key takes as many blocks as its rows fill. A block tells where
+    each state it may start in leads; the states of a key's blocks are chained, one short row a block; then every block is
+    folded from its own start. Null keys are one key, null times come last and never reopen, a null score is neither high nor
+    low, full ties go by score, and each row has its step.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([t, tie])
-        steps, _ = hysteresis_steps(frame[score].tolist(), frame[t].tolist(), (False, 0, 0, -1), on, off, raise_after, clear_after, reopen)
-        return frame.assign(step=steps)
+    states = [(False, i, 0, _EARLIER) for i in range(max(raise_after, 1))] + [(True, 0, i, _EARLIER) for i in range(max(clear_after, 1))]
+    none = (False, 0, 0, -1)
+
+    def steps(frame: pd.DataFrame, state: AlarmState) -> tuple[list[str], AlarmState]:
+        return hysteresis_steps(frame[score].tolist(), frame[t].tolist(), state, on, off, raise_after, clear_after, reopen)
+
+    def of_key(frame: pd.DataFrame, at: int) -> pd.DataFrame:
+        k = frame[key].iloc[at]
+        return frame[frame[key].isna() if pd.isna(k) else frame[key] == k]
+
+    def ends(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([key, t, tie, score])
+        first, last = of_key(frame, 0), of_key(frame, -1)
+        out = []
+        for part, starts in ((first, states), (last, states[:1])) if len(first) < len(frame) else ((first, states),):
+            led = [steps(part, s)[1] for s in starts]
+            cleared = [-1 if c != c else int(c) for *_, c in led]
+            out.append((part[key].iloc[0], part["__b"].iloc[0], part["__null"].iloc[0], [s[0] for s in led], [s[1] for s in led], [s[2] for s in led], cleared))
+        return pd.DataFrame(out, columns=[key, "__b", "__null", "is_open", "above", "below", "cleared"])
+
+    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+        state, out = none, []
+        for row in frame.sort_values("__b").to_dict("records"):
+            out.append((row[key], row["__b"], row["__null"], *state))
+            i = states.index((*state[:3], _EARLIER))
+            cleared = row["cleared"][i]
+            state = (bool(row["is_open"][i]), int(row["above"][i]), int(row["below"][i]), state[3] if cleared == _EARLIER else int(cleared))
+        return pd.DataFrame(out, columns=[key, "__b", "__null", "is_open", "above", "below", "cleared"])
+
+    def fold(frame: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([key, t, tie, score])
+        told = []
+        for i, (k, part) in enumerate(frame.groupby(key, sort=False, dropna=False)):
+            of = starts[starts[key].isna() if pd.isna(k) else starts[key] == k] if i == 0 else starts[:0]
+            start = next(of[["is_open", "above", "below", "cleared"]].itertuples(index=False, name=None), none)
+            told += steps(part, start)[0]
+        return frame.drop(columns=["__b", "__null"]).assign(step=told)
 
     narrow = df.select(key, t, tie, score)
+    order = [F.asc_nulls_last(c) for c in (key, t, tie)]
+    blocks = narrow.repartitionByRange(*order).withColumns({"__b": F.spark_partition_id(), "__null": F.col(key).isNull()})
+    blocks = written(blocks, "blocks")  # the numbers of the ranges must not change between the passes
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema)
-    return narrow.groupBy(key).applyInPandas(fold, f"{types}, step string")
+    where = f"{key} {narrow.schema[key].dataType.simpleString()}, __b int, __null boolean"
+    led = blocks.groupBy("__b", "__null").applyInPandas(ends, f"{where}, is_open array<boolean>, above array<int>, below array<int>, cleared array<long>")
+    starts = led.groupBy(key).applyInPandas(chain, f"{where}, is_open boolean, above int, below int, cleared long")
+    by = ("__b", "__null")
+    return blocks.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(fold, f"{types}, step string")
 
 
 def decayed(df: DataFrame, keys: list[str], t: str, value: str, tau: float) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spectraloom.operators.aggregates import exact_quantiles
+from spectraloom.sources.shared import written
+
 
 def taper(kind: str, n: int) -> np.ndarray:
     """Periodic window functions."""
@@ -107,10 +110,10 @@ def ordered_cfar(df: DataFrame, keys: list[str], at: str, tie: str, value: str,
 
 
 def robust_bursts(df: DataFrame, keys: list[str], at: str, value: str, factor: float) -> DataFrame:
-    """Rows above median + factor * 1.4826 * MAD of their key; both medians are aggregates joined back."""
-    middle = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("__m"))
-    off = df.join(middle, keys).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
-    spread = off.groupBy(*keys).agg(F.percentile("__d", F.lit(0.5)).alias("__s"))
+    """Rows above median + factor * 1.4826 * MAD of their key; both medians are found by bins and joined back."""
+    middle = exact_quantiles(df, keys, value, {"__m": 0.5})
+    off = written(df.join(middle, keys).withColumn("__d", F.abs(F.col(value) - F.col("__m"))), "distances")
+    spread = exact_quantiles(off, keys, "__d", {"__s": 0.5})
     return off.join(spread, keys).where(F.col(value) > F.col("__m") + factor * 1.4826 * F.col("__s")).drop("__m", "__d", "__s")
 
 

@@ -13,15 +13,15 @@ from spectraloom.streaming import live as L
 
 @query(f"WITH {VISITS_SQL} SELECT channel, ((start_us // 900000000) * 900000000)::BIGINT AS t_us, count(*)::BIGINT AS n, sum((level >= 100)::INT)::BIGINT AS n_occupied FROM v GROUP BY ALL")
 def stream_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occupancy by quarter of an hour from the stream, complete mode."""
-    return L.drained(L.tumbling_occupancy(L.event_stream(spark, sf_dir)), "occupancy", "complete")
+    """Occupancy by quarter of an hour from the stream; each batch writes the windows it changed."""
+    return L.drained(L.tumbling_occupancy(L.event_stream(spark, sf_dir)), "occupancy", "update", ("channel", "t_us"))
 
 
 @query(f"""WITH {VISITS_SQL}, w AS (SELECT tier, level, unnest([start_us // 3600000000, start_us // 3600000000 - 1]) * 3600000000 AS t FROM v)
 SELECT tier, t::BIGINT AS t_us, count(*)::BIGINT AS n, max(level) AS max_db FROM w GROUP BY ALL""")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-hour windows each hour."""
-    return L.drained(L.sliding_level(L.event_stream(spark, sf_dir)), "sliding", "complete")
+    return L.drained(L.sliding_level(L.event_stream(spark, sf_dir)), "sliding", "update", ("tier", "t_us"))
 
 
 @query(f"""WITH {VISITS_SQL}, l AS (SELECT *, lag(start_us) OVER (PARTITION BY channel ORDER BY start_us) AS p FROM v),

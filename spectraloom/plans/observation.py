@@ -204,8 +204,9 @@ def eighty_percent_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VISITS_SQL} SELECT tier, round(median(level), 6) AS median_db, round(quantile_cont(level, 0.1), 6) AS p10, round(quantile_cont(level, 0.9), 6) AS p90 FROM v GROUP BY tier")
 def exact_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile("level", F.lit(p)), 6)
-    return visits(spark, sf_dir).groupBy("tier").agg(q(0.5).alias("median_db"), q(0.1).alias("p10"), q(0.9).alias("p90"))
+    """Median, lowest and highest tenth of a tier's levels, by the bins that hold their ranks."""
+    q = A.exact_quantiles(visits(spark, sf_dir), ["tier"], "level", {"median_db": 0.5, "p10": 0.1, "p90": 0.9})
+    return q.select("tier", *(F.round(c, 6).alias(c) for c in ("median_db", "p10", "p90")))
 
 
 _HIST = "h AS (SELECT tier, least(greatest(floor(level / 10), 0), 29)::INT AS bin, count(*) AS n FROM v GROUP BY ALL)"

@@ -98,8 +98,12 @@ def around_triggers(samples: DataFrame, triggers: DataFrame, before: str, after:
     return s.join(t, inside).select("trigger_id", "channel", F.unix_micros("ts").alias("t_us"), "level")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a finite stream gives: run until its input is used up, written to the shared folder and read back."""
+def drained(stream: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """All that a finite stream gives: run until its input is used up, written to the shared folder and read back.
+
+    In update mode a batch writes only the rows it changed, and of each ``keys`` the row of the newest batch holds; a batch
+    that is run again after a failure overwrites its own folder. In complete mode the last batch has all rows.
+    """
     spark = stream.sparkSession
     at = scratch(spark, f"stream-{name}")
     if mode == "append":
@@ -114,5 +118,8 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{at}/out")
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
     last = rows.agg(F.max("batch")).first()[0]
     return rows.where(F.col("batch") == last).drop("batch")
