@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectraloom.functions.scalar import clip
-from spectraloom.sources.shared import Steps, written
+from spectraloom.sources.shared import Steps, scratch, written
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, t: str, value: str, tie: str) -> DataFrame:
@@ -72,19 +72,19 @@ def greedy_one_to_one(pairs: DataFrame, a: str, b: str, cost: str) -> DataFrame:
     """Of candidate pairs those that a pass by rising cost would take, each side once.
 
     A pair that is the cheapest for both its sides is taken in any such pass, so rounds take all of those at once, until
-    no pair is left.
+    no pair is left. The cheapest of a side is an aggregate, so a side with very many pairs is met by partial results; the
+    pairs taken are appended to one table, so the plan stays as long as it is. A pair without one of its sides is none.
     """
-    taken = None
-    left = pairs.select(a, b, cost)
-    order = [F.col(cost), F.col(a), F.col(b)]
-    while True:
-        best = left.withColumns({"__x": F.row_number().over(Window.partitionBy(a).orderBy(*order)), "__y": F.row_number().over(Window.partitionBy(b).orderBy(*order))})
-        won = written(best.where("__x = 1 and __y = 1").select(a, b, cost), "won")
-        if won.isEmpty():
-            break
-        taken = won if taken is None else taken.unionByName(won)
+    spark, kinds = pairs.sparkSession, pairs.select(a, b, cost).schema
+    taken = scratch(spark, "taken")
+    spark.createDataFrame([], kinds).write.parquet(taken)
+    left = written(pairs.select(a, b, cost).where(F.col(a).isNotNull() & F.col(b).isNotNull()), "left")
+    while not left.isEmpty():
+        cheapest = lambda side: left.groupBy(side).agg(F.min(F.struct(cost, a, b)).alias("m")).select("m")  # noqa: B023, E731
+        won = written(cheapest(a).join(cheapest(b), "m", "left_semi").select("m.*"), "won")
+        won.select(a, b, cost).write.mode("append").parquet(taken)
         left = written(left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti"), "left")
-    return pairs.select(a, b, cost).where("false") if taken is None else taken
+    return spark.read.schema(kinds).parquet(taken)
 
 
 def field_distance(x: Column, y: Column, tolerance: float, sx: Column, sy: Column) -> Column:

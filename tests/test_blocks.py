@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from spectraloom.operators import aggregates as A
+from spectraloom.operators import joins as J
 from spectraloom.operators import sequences as Q
 
 
@@ -48,3 +49,15 @@ def test_quantiles_by_bins_are_those_of_all_values(spark):
     for k, xs in groups.items():
         for name, q in shares.items():
             assert got[k][name] == pytest.approx(np.quantile(xs, q), rel=1e-9), (k, name)
+
+
+def test_greedy_pairs_are_those_of_one_pass_by_cost(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(30), rng.randrange(30), rng.randrange(12) / 4) for _ in range(400)] + [(1, 2, 0.0)] * 3 + [(None, 4, 0.0), (5, None, 0.0)]
+    a, b, want = set(), set(), []
+    for x, y, c in sorted((p for p in pairs if None not in p), key=lambda p: (p[2], p[0], p[1])):
+        if x not in a and y not in b:
+            a.add(x), b.add(y), want.append((x, y, c))
+    got = J.greedy_one_to_one(spark.createDataFrame(pairs, "a long, b long, cost double"), "a", "b", "cost")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert J.greedy_one_to_one(spark.createDataFrame([], "a long, b long, cost double"), "a", "b", "cost").count() == 0
