@@ -5,6 +5,7 @@ from spectraloom.llm import (
     jaccard_join,
     license_scan,
     media_columns,
+    merkle,
     mixing,
     packing,
     quality_rules,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_mixing": mixing.op10_mixing,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE_SQL,
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
