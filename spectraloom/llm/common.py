@@ -44,3 +44,15 @@ def ascii_lower(c: Column) -> Column:
 def salted_hash(*cols: Column) -> Column:
     """The first 52 bits of an MD5 digest as a long: a hash that SQL engines agree on."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 13), 16, 10).cast("long")
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, rows: int, share: int = 1000) -> DataFrame:
+    """Rows of ``many`` with the row of ``one`` that has their key; ``one.weight`` tells how many of the ``rows`` rows have it.
+
+    A key may hold any share of the rows: keys with over a ``share``-th of them, of which there are fewer than
+    ``share``, are joined by broadcast; the others meet by shuffling. Keys aren't null; each is in ``one`` once.
+    """
+    least = rows // share
+    hot = F.broadcast(one.where(F.col("weight") > least).drop("weight"))
+    rest = many.join(hot.select(key), key, "left_anti").join(one.where(F.col("weight") <= least).drop("weight"), key)
+    return many.join(hot, key).unionByName(rest)

@@ -1,6 +1,7 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
 from spectraloom.llm import (
+    collocations,
     compression_classifier,
     jaccard_join,
     license_scan,
@@ -10,6 +11,7 @@ from spectraloom.llm import (
     packing,
     quality_rules,
     sharding,
+    simhash,
     token_counts,
     url_filters,
 )
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_mixing": mixing.op10_mixing,
+    "op11_simhash": simhash.op11_simhash,
+    "op12_collocations": collocations.op12_collocations,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLE_SQL = {
@@ -34,5 +38,6 @@ ORACLE_SQL = {
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
     "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
