@@ -179,7 +179,8 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, parts: int | None = No
     parts = parts or parts_for(n, tile)
     keyed = nodes.select("fingerprint", part_counts(F.col("fingerprint"), parts).alias("key"))
     sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("cuts"))
-    dealt = keyed.join(sizes, "key").withColumn("cut", F.pmod(F.xxhash64("fingerprint"), F.col("cuts")))
+    few = F.broadcast(sizes) if parts <= 4 else sizes  # 17 ** 4 classes at most; one of 8 parts holds a few of 100,000 rows
+    dealt = keyed.join(few, "key").withColumn("cut", F.pmod(F.xxhash64("fingerprint"), F.col("cuts")))
     tiles = dealt.groupBy("key", "cut").agg(F.collect_list("fingerprint").alias("nodes"))  # about `tile` of them
     near = F.array(*[F.lit(x).cast("long") for x in _numbers(near_offsets(parts, radius))])
     meets = sizes.select(F.col("key").alias("other"), "cuts").withColumn("key", F.explode(F.transform(near, lambda x: x + F.col("other"))))
