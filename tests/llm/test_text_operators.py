@@ -268,3 +268,31 @@ def test_encoder_on_random_texts():
     for _ in range(10):
         texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(60))) for _ in range(200)]
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.ids(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_png_rows_are_undone_by_sums():
+    """Filters 0 to 2 in any mixture and of several images at once, as the diagonals undo them; text is stored without a filter."""
+    rng = np.random.default_rng(8)
+    images = [rng.integers(0, 256, (h, 24), dtype=np.uint8) for h in (1, 2, 9, 30)]
+    rows = [np.concatenate([np.full((1, 1), k, np.uint8), media_columns.filter_rows(np.concatenate([m[max(0, y - 1) : y], m[y : y + 1]]), int(k))[-1:, 1:]], axis=1) for m in images for y, k in enumerate(rng.integers(0, 3, len(m)))]
+    place = np.concatenate([np.arange(len(m)) for m in images])
+    assert (media_columns._summed(np.concatenate(rows), place) == np.concatenate(images)).all()
+    prose = np.frombuffer((b"the quick brown fox jumps over the lazy dog and runs away from it " * 99)[:5760], np.uint8).reshape(-1, 96)
+    slope = (np.arange(96)[None, :] * 2 + np.arange(60)[:, None] * 3 + rng.integers(0, 2, (60, 96))).astype(np.uint8)
+    assert media_columns.filter_for(prose) == 0 and media_columns.filter_for(slope) is None
+    for m in (prose, slope):
+        assert (media_columns.decode_png(media_columns.encode_png(m)) == m).all()
+
+
+def test_cascade_is_ordered_on_what_it_meets(spark):
+    """Texts that the base rejects don't count for the order of the other rules, wherever they stand in the table."""
+    from spectraloom.llm import quality_rules
+
+    words = " ".join(f"word{k}" for k in range(60))
+    texts = ["A A A A"] * 300 + [words.upper()] * 40 + ["# " * 30 + words] * 90 + [words] * 200
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    others = [r for r in quality_rules.RULES if r[0] not in quality_rules.BASE]
+    base = [r for r in quality_rules.RULES if r[0] in quality_rules.BASE]
+    order = quality_rules.cascade_order(df, others, after=base, counts=["n_words", "n_symbols"])
+    assert set(order[:2]) == {"symbols", "shouting"} and order[0] == "symbols"
+    assert sorted(quality_rules._sampled(df, 10)) != sorted(texts[:10]) and len(quality_rules._sampled(df, 10)) == 10
