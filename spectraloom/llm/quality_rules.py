@@ -10,8 +10,9 @@ text is kept when no rule rejects it.
 ``quality_report`` has to give the counts of the two base rules for every text, so there the cascade orders the other rules
 alone and is entered by texts that pass the base; ``keep_good`` stops at any rule.
 
-The sample is only used for the order: ``SAMPLE_ROWS`` rows at most, one of every ``SPREAD`` by a hash of doc_id, with texts
-of at most ``SAMPLE_BYTES`` bytes, as they come to the driver.
+The sample is only used for the order: the ``SAMPLE_ROWS`` rows with the least hashes of doc_id over the whole table, of those with
+texts of at most ``SAMPLE_BYTES`` bytes, as they come to the driver. Rules are timed on what they meet: in ``quality_report`` on
+texts that pass the base, with the counts at hand.
 
 Defined results: a null or empty text has no words and is rejected by the word-count rule; equal rows get equal results; a
 null doc_id stays; extra columns stay where a filter returns documents; an empty table gives an empty result, in the
@@ -39,7 +40,6 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 SAMPLE_ROWS = 1000
 SAMPLE_BYTES = 50_000
-SPREAD = 16  # the sample takes one document of so many, from as few partitions as hold enough
 
 
 class Text:
@@ -147,12 +147,23 @@ def greedy_order(texts: list[Text], rules: list[Rule]) -> list[str]:
     return out
 
 
-def cascade_order(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """The rules' order as found on the sample."""
-    rules = RULES if rules is None else rules
-    spread = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SPREAD)) == 0
-    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES
-    return greedy_order([Text(r["text"]) for r in docs.where(spread & short).select("text").take(sample_rows)], rules)
+def _sampled(docs: DataFrame, rows: int) -> list[str | None]:
+    """Texts of ``rows`` documents with the least hashes of their ids, over the whole table; long texts are left out."""
+    least = F.xxhash64(F.lit("cascade"), F.col("doc_id").cast("string"))
+    share = min(1.0, 8 * rows / max(1, docs.count()))  # of the hashes' range: ever so many times what is wanted
+    few = docs.select("text", least.alias("least")).where(F.col("least") < int((share - 0.5) * 2**64 - 1) if share < 1 else F.lit(True))
+    short = few.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    return [r["text"] for r in short.orderBy("least").limit(rows).select("text").collect()]
+
+
+def cascade_order(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS, after: list[Rule] | None = None, counts: Iterable[str] = ()) -> list[str]:
+    """The rules' order as found on the sample: on the texts that no rule of ``after`` rejects, with ``counts`` at hand."""
+    texts = [Text(t) for t in _sampled(docs, sample_rows)]
+    texts = [t for t in texts if passes(t, after or [])]
+    for t in texts:
+        for name in counts:
+            getattr(t, name)
+    return greedy_order(texts, RULES if rules is None else rules)
 
 
 def passes(text: Text, rules: list[Rule]) -> bool:
@@ -179,16 +190,16 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 def quality_report(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Each document's counts with the cascade's verdict."""
     others = [r for r in (RULES if rules is None else rules) if r[0] not in BASE]
-    cascade = _ordered(cascade_order(docs, others), others)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    base = [rule for name, rule in RULES if name in BASE]
+    base = [r for r in RULES if r[0] in BASE]
+    cascade = _ordered(cascade_order(docs, others, after=base, counts=names), others)  # as they meet texts below
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             rows = []
             for t in batch.column("text"):
                 text = Text(t.as_py())
-                failed = any(rule(text) for rule in base)
+                failed = not passes(text, base)
                 rows.append((*(getattr(text, n) for n in names), failed, not failed and passes(text, cascade)))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, [pa.int64()] * 5 + [pa.bool_()] * 2)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names, "base_failed", "kept"])
