@@ -66,7 +66,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     """lang, anchors: each language's anchor words, in order, with their rarity (the logarithm of its documents over theirs)."""
     lang = F.coalesce("lang", F.lit("")).alias("lang")
     n = docs.groupBy(lang).agg(F.count("*").alias("docs"))
-    n = n.where(F.col("docs") * LEAST_LANGUAGE >= docs.count())
+    n = n.withColumn("all", F.sum("docs").over(Window.partitionBy())).where(F.col("docs") * LEAST_LANGUAGE >= F.col("all")).drop("all")  # a row a language
     words = docs.select(lang, F.explode(F.array_distinct(F.split(_evened(F.col("text")), " "))).alias("word")).where(F.length("word") >= ANCHOR_LETTERS)
     held = words.groupBy("lang", "word").agg(F.count("*").alias("n")).join(F.broadcast(n), "lang")
     # a language has no more words of at least this share than its documents' mean number of words over the share
@@ -172,14 +172,16 @@ def mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> Dat
 
 
 def sample_mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The documents kept, with all their columns."""
-    learned = written(anchors(docs), "anchors")
-    named = with_topic(docs, learned, "__topic").withColumns({"__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__draw": _draw()})
-    names = [f"__{d}" for d in DIMENSIONS]
-    rows = named.select(*(F.col(n).alias(d) for n, d in zip(names, DIMENSIONS)), word_count(F.col("text")).alias("n_tokens"))
-    rates = cell_rates(rows, targets)
-    rates = rates.select(*(F.col(d).alias(n) for d, n in zip(DIMENSIONS, names)), F.col("rate").alias("__rate"))
-    return named.join(rates, names).where("__draw < __rate").select(*docs.columns)
+    """The documents kept, with all their columns.
+
+    What a row's cell and draw are is worked out once and written with the row; the cells are counted from those columns.
+    """
+    cell = F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("__topic").alias("topic"), word_count(F.col("text")).alias("n_tokens"), _draw().alias("draw"))
+    named = with_topic(docs, anchors(docs), "__topic").select(F.struct(*docs.columns).alias("row"), cell.alias("cell"))
+    named = written(named, "described-rows")
+    rates = cell_rates(named.select("cell.*"), targets)
+    kept = named.select("row", "cell.*").join(rates, list(DIMENSIONS)).where("draw < rate")
+    return kept.select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
