@@ -32,6 +32,7 @@ LEAST = 10  # occurrences of a candidate
 WITHIN = 50  # per cent of a candidate's occurrences inside a longer one
 TOP = 2000
 CHUNK = 8 << 20  # bytes of text
+SALTS = 8  # of a language's phrases are ranked by themselves first
 SORTED = 1 << 20  # words whose n-grams are sorted at a time
 RANGE = 1 << 20  # occurrences
 MOST_WORDS = (1 << 32) - 2
@@ -273,8 +274,10 @@ def phrases(docs: DataFrame, least: int = LEAST, within: int = WITHIN, chunk: in
 
 def best_phrases(docs: DataFrame, top: int = TOP, **kwargs) -> DataFrame:
     """The first ``top`` of ``phrases`` of each language by score, occurrences and phrase, with their rank."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = phrases(docs, **kwargs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    found = phrases(docs, **kwargs).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    few = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
