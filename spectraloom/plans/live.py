@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spectraloom.plans.inference import _STATE
 from spectraloom.plans.registry import query
-from spectraloom.sources.tables import VISITS_SQL, table
+from spectraloom.sources.tables import VISITS_SQL
 from spectraloom.streaming import live as L
 
 
@@ -34,7 +33,5 @@ def stream_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {VISITS_SQL}, o AS (SELECT channel, start_us, event_id, level / 100 AS x, row_number() OVER (PARTITION BY channel ORDER BY start_us, event_id) AS rn FROM v), {_STATE} SELECT event_id, channel, step FROM st")
 def stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The alarm state machine as a stateful stream; late rows are held for as long as the whole log is."""
-    span = F.timestamp_diff("DAY", F.min("ts"), F.max("ts"))
-    days = table(spark, sf_dir, "events").agg(span).first()[0] or 0
-    return L.drained(L.alarms(L.event_stream(spark, sf_dir), late=f"{days + 1} days"), "alarms").select("event_id", "channel", "step")
+    """The alarm state machine as a stateful stream whose rows may come up to a day late."""
+    return L.drained_alarms(L.event_stream(spark, sf_dir)).select("event_id", "channel", "step")

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from spectraloom.operators.sequences import hysteresis_steps
 from spectraloom.sources.shared import scratch
 from spectraloom.sources.tables import micros, table
+from spectraloom.streaming.carried import drained_carried
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 64) -> DataFrame:
-    """The observation log as a stream of its files: event_id, channel, tier, level, ts."""
+    """The observation log as a stream of its files: event_id, channel, tier, level, ts, props."""
     schema = table(spark, sf_dir, "events").schema
     path = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
@@ -25,7 +21,7 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 64)
         raw = stream.parquet(path)
     else:  # a stream reads folders
         raw = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.select("event_id", F.col("user_id").alias("channel"), F.col("event_type").alias("tier"), F.col("value").alias("level"), F.timestamp_micros(micros("ts")).alias("ts"))
+    return raw.select("event_id", F.col("user_id").alias("channel"), F.col("event_type").alias("tier"), F.col("value").alias("level"), F.timestamp_micros(micros("ts")).alias("ts"), "props")
 
 
 def tumbling_occupancy(events: DataFrame, length: str = "15 minutes", late: str = "40 days") -> DataFrame:
@@ -45,39 +41,37 @@ def presence(events: DataFrame, idle: str = "6 hours", late: str = "40 days") ->
     return w.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).select("channel", F.unix_micros("a").alias("first"), F.unix_micros("b").alias("last"), "n")
 
 
-#: Alarm state before the rows held, number of rows seen, and of the rows held: time, id, level, number, step told.
-_HELD = "is_open boolean, above int, below int, cleared long, seen long, times array<long>, ids array<long>, levels array<double>, rows array<long>, steps array<string>"
+ALARM_COLUMNS = ["t_us", "event_id", "level"]
+ALARM_STEPS = "event_id long, step string"
 
 
-def alarms(events: DataFrame, on: float = 0.7, off: float = 0.4, raise_after: int = 2, clear_after: int = 3, reopen: int = 86_400_000_000, late: str = "40 days") -> DataFrame:
-    """event_id, channel, row, revision, step: the hysteresis of alarms, its state kept between batches.
+class AlarmFold:
+    """The hysteresis of alarms over a channel's visits (``ALARM_COLUMNS``, the level in hundredths): ``ALARM_STEPS``, four numbers of state."""
 
-    Rows may come in any order: those within ``late`` of the newest time are held in the key's state and folded again in
-    order of time with every later batch, and a row whose step changes is told again. Of a channel's ``row`` (its number of
-    arrival) the highest ``revision`` holds; ``drained`` keeps that one. Rows later than ``late`` are dropped.
-    """
+    def __init__(self, on: float = 0.7, off: float = 0.4, raise_after: int = 2, clear_after: int = 3, reopen: int = 86_400_000_000):
+        self.rules = (on, off, raise_after, clear_after, reopen)
+
+    def start(self) -> list:
+        return [False, 0, 0, -1]
+
+    def step(self, state: list, row: tuple) -> list[tuple]:
+        t, event, level = row
+        score = float("nan") if level is None else level / 100  # a null is neither high nor low
+        (step,), state[:] = hysteresis_steps([score], [t], tuple(state), *self.rules)
+        return [(event, step)]
 
-    def fold(key: tuple[Any, ...], frames: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        *before, seen, times, ids, levels, numbers, told = state.get if state.exists else (False, 0, 0, -1, 0, [], [], [], [], [])
-        passed = state.getCurrentWatermarkMs() * 1000
-        held = list(zip(times, ids, levels, numbers, told))
-        for frame in frames:
-            for t, i, x in zip(frame["t_us"].tolist(), frame["event_id"].tolist(), frame["level"].tolist()):
-                if t >= passed:
-                    held.append((t, i, x, seen, None))
-                    seen += 1
-        held.sort(key=lambda r: (r[0], r[1], r[3]))
-        fold_steps = lambda rows, start: hysteresis_steps([r[2] / 100 for r in rows], [r[0] for r in rows], start, on, off, raise_after, clear_after, reopen)
-        steps, _ = fold_steps(held, tuple(before))
-        changed = [(r[1], r[3], s) for r, s in zip(held, steps) if s != r[4]]
-        n = sum(r[0] < passed for r in held)
-        _, after = fold_steps(held[:n], tuple(before))
-        kept = [(*r[:4], s) for r, s in zip(held[n:], steps[n:])]
-        state.update((*after, seen, *([list(c) for c in zip(*kept)] or [[], [], [], [], []])))
-        yield pd.DataFrame({"event_id": [c[0] for c in changed], "channel": key[0], "row": [c[1] for c in changed], "revision": seen, "step": [c[2] for c in changed]})
-
-    rows = events.withWatermark("ts", late).select("event_id", "channel", "level", "ts", F.unix_micros("ts").alias("t_us"))
-    return rows.groupBy("channel").applyInPandasWithState(fold, "event_id long, channel long, row long, revision long, step string", _HELD, "append", "NoTimeout")
+    def end(self, state: list) -> tuple:
+        return ()
+
+
+def drained_alarms(events: DataFrame, late: str = "1 day", fold: AlarmFold | None = None) -> DataFrame:
+    """event_id, channel, step of all rows of a finite stream, folded in order of time.
+
+    Rows are held until the watermark, ``late`` behind the newest time, has passed them; rows later than that are dropped. A
+    channel's state is its alarm and the rows of the last ``late``, and a row is folded once.
+    """
+    rows = events.withColumn("t_us", F.unix_micros("ts"))
+    return drained_carried(rows, "alarms", ["channel"], ALARM_COLUMNS, fold or AlarmFold(), ALARM_STEPS, "ts", late)
 
 
 def sealed_tiles(events: DataFrame, hours: int = 1, late: str = "2 hours") -> DataFrame:
@@ -108,10 +102,7 @@ def drained(stream: DataFrame, name: str, mode: str = "append", keys: tuple[str,
     at = scratch(spark, f"stream-{name}")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-        out = spark.read.schema(stream.schema).parquet(f"{at}/out")
-        if "revision" not in out.columns:
-            return out
-        return out.groupBy("channel", "row").agg(F.max_by(F.struct("event_id", "step", "revision"), "revision").alias("r")).select("r.event_id", "channel", "row", "r.revision", "r.step")
+        return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")

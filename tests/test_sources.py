@@ -79,7 +79,7 @@ def test_stream_of_several_files(spark, tmp_path):
     for i, part in enumerate((whole.limit(n // 2), whole.offset(n // 2))):
         part.coalesce(1).write.mode("append").parquet(str(d))
     stream = live.event_stream(spark, str(tmp_path), files_per_trigger=1)
-    got = {r.event_id: r.step for r in live.drained(live.alarms(stream), "t").collect()}
+    got = {r.event_id: r.step for r in live.drained_alarms(stream).collect()}
     assert len(got) == n
     assert live.drained(live.presence(live.event_stream(spark, str(tmp_path), 1)), "p", "complete").count() > 0
 
