@@ -35,6 +35,7 @@ PAD = b"\xff"
 LEVEL = 6
 SIDE, LOW = 32, 8
 FILTERS = 5
+FEW_VALUES = 128  # samples of fewer values are like indexed colours, which the format's authors advise not to filter
 
 
 def pad(payload: bytes, block: int = BLOCK) -> bytes:
@@ -66,6 +67,8 @@ def _guesses(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> Iterator[np.ndarray
 def filter_rows(samples: np.ndarray, kind: int | None = None) -> np.ndarray:
     """Rows led by their filter type: ``kind``, or for each row the one whose signed differences are least in sum."""
     height, width = samples.shape
+    if kind == 0:
+        return np.concatenate([np.zeros((height, 1), np.uint8), samples], axis=1)
     around = np.zeros((height + 1, width + 1), np.int16)
     around[1:, 1:] = samples
     out, least = np.empty((height, width + 1), np.uint8), np.full(height, np.iinfo(np.int64).max)
@@ -81,7 +84,9 @@ def filter_rows(samples: np.ndarray, kind: int | None = None) -> np.ndarray:
 
 
 def filter_for(samples: np.ndarray) -> int | None:
-    """0, no filter, if every third row deflates to no more bytes without one than with the filters that suit its rows; else None."""
+    """0, no filter, for samples of few values, as in text, or where every third row deflates to no more bytes so; else None."""
+    if np.count_nonzero(np.bincount(samples.ravel(), minlength=256)) < FEW_VALUES:
+        return 0
     some = samples[::3]
     size = lambda kind: len(zlib.compress(filter_rows(some, kind).tobytes(), 1))
     return 0 if size(0) <= size(None) else None
