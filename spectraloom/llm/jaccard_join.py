@@ -380,14 +380,17 @@ def _compare(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([edges[edges["a"] != edges["b"]], counts[counts["links"] > 0]])
 
 
-def _components(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a hash of the text), n_shingles, class_id, root (the component's class), component_id, n_links."""
-    spark, steps = docs.sparkSession, Steps(docs.sparkSession)
+def _components(docs: DataFrame, kept: Steps | None = None) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, class_id, root (the component's class), component_id, n_links.
+
+    The tables that the result reads are among ``kept``, for the caller to drop.
+    """
+    spark, steps, kept = docs.sparkSession, Steps(docs.sparkSession), kept or Steps(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     cell_bits = cell_bits_for(docs.count())
     part_bits = part_bits_for(cell_bits)
-    first = written(texts.mapInArrow(_classes(cell_bits), f"doc_id {kind}, mark long, n_shingles long, class_id long, part int, cells binary"), "classes")
+    first = kept.written(texts.mapInArrow(_classes(cell_bits), f"doc_id {kind}, mark long, n_shingles long, class_id long, part int, cells binary"), "classes")
     each = first.where("part is null").select("doc_id", "mark", "n_shingles", "class_id")
     classes = steps.written(each.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "class-rows")
     shingles = classes.agg(F.sum("n")).first()[0] or 0
@@ -438,7 +441,7 @@ def _components(docs: DataFrame) -> DataFrame:
     least = of_class.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known = of_class.join(least, "root").join(numbers, "class_id", "left")
     known = known.select(F.col("class_id").alias("known_id"), "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = written(known, "components")
+    known = kept.written(known, "components")
     steps.drop()
     linked = each.join(known, (F.col("class_id") == F.col("known_id")) & (F.col("n_shingles") > 0), "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -457,8 +460,10 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     Documents without a set all stay.
     """
     steps = Steps(docs.sparkSession)
-    rows = _components(docs).where("n_shingles > 0").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    kept = Steps(docs.sparkSession)
+    rows = _components(docs, kept).where("n_shingles > 0").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
     rows = steps.written(rows, "rows")
+    kept.drop()
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     best = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "mark", "n"), order).alias("best"))
     mark = F.struct(F.col("doc_id"), F.col("mark"))

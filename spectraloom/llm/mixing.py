@@ -104,11 +104,11 @@ def _draw() -> Column:
     return salted_hash(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))) / float(1 << 52)
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens and the draw of every row."""
     # only these columns, so that no other column's name can clash with one of ours
     docs = docs.select("doc_id", "text", "source", "lang")
-    return with_topic(docs, anchors(docs)).select(
+    return with_topic(docs, anchors(docs) if learned is None else learned).select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("lang", F.lit("")).alias("lang"),
@@ -174,14 +174,19 @@ def mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> Dat
 def sample_mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The documents kept, with all their columns.
 
-    What a row's cell and draw are is worked out once and written with the row; the cells are counted from those columns.
+    Only narrow columns are written. A draw below all rates of its source and language, whatever the topic, keeps a document,
+    one that isn't below any drops it; the topic is worked out again for the others alone.
     """
-    cell = F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("__topic").alias("topic"), word_count(F.col("text")).alias("n_tokens"), _draw().alias("draw"))
-    named = with_topic(docs, anchors(docs), "__topic").select(F.struct(*docs.columns).alias("row"), cell.alias("cell"))
-    named = written(named, "described-rows")
-    rates = cell_rates(named.select("cell.*"), targets)
-    kept = named.select("row", "cell.*").join(rates, list(DIMENSIONS)).where("draw < rate")
-    return kept.select("row.*")
+    learned = written(anchors(docs), "anchors")
+    rates = written(cell_rates(described(docs, learned), targets), "rates")
+    bounds = rates.groupBy(F.col("source").alias("__source"), F.col("lang").alias("__lang")).agg(F.min("rate").alias("__low"), F.max("rate").alias("__high"))
+    level = lambda c: F.coalesce(c, F.lit(""))
+    bounded = docs.withColumn("__draw", _draw()).join(bounds, (level("source") == F.col("__source")) & (level("lang") == F.col("__lang")))
+    sure = bounded.where("__draw < __low").select(*docs.columns)
+    open_ = with_topic(bounded.where("__draw >= __low and __draw < __high").select(*docs.columns, "__draw"), learned, "__topic")
+    cell = rates.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__cell"), F.col("rate").alias("__rate"))
+    same = (level("source") == F.col("__source")) & (level("lang") == F.col("__lang")) & (F.col("__topic") == F.col("__cell"))
+    return sure.unionByName(open_.join(cell, same).where("__draw < __rate").select(*docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
