@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil, floor, log
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -17,27 +17,34 @@ def _values(x) -> np.ndarray:
     return x[np.isfinite(x)]
 
 
-def fit_levels(x: np.ndarray, levels: int, rounds: int = 4) -> tuple[float, float, float]:
-    """Lowest level, spacing and residual spread of equally spaced levels, the best fit of two starts: outer quantiles and extremes."""
-    best = (float(x.mean()) if len(x) else 0.0, 0.0, 0.0)
-    least = np.inf
-    for a, b in (np.quantile(x, [0.5 / levels, 1 - 0.5 / levels]), (x.min(), x.max())) if len(x) else ():
-        low, step = float(a), float(b - a) / (levels - 1)
-        for _ in range(rounds):
-            if step <= 0:
-                break
-            label = np.clip(np.rint((x - low) / step), 0, levels - 1)
-            spread = label - label.mean()
-            if not spread.any():
-                break
-            step = float((spread * x).sum() / (spread * spread).sum())
-            low = float(x.mean() - step * label.mean())
-        if step > 0:
-            left = x - low - step * np.clip(np.rint((x - low) / step), 0, levels - 1)
-            if (left * left).sum() < least:
-                least = float((left * left).sum())
-                best = (low, step, float(np.sqrt((left * left).mean())))
-    return best
+def fit_levels(x: np.ndarray, levels: int, rounds: int = 60) -> tuple[float, float, float]:
+    """Lowest level, spacing and spread of equally spaced levels with noise of one size: a mixture of normals fitted by expectation and maximisation.
+
+    Each symbol belongs to every level by its likelihood; the levels' line is the weighted regression of symbols on level numbers.
+    """
+    if not len(x) or np.ptp(x) == 0:
+        return (float(x.mean()) if len(x) else 0.0), 0.0, 0.0
+    k = np.arange(levels)
+    low, step = float(x.min()), float(np.ptp(x)) / (levels - 1)
+    spread = step / 4
+    for _ in range(rounds):
+        far = (x[:, None] - low - step * k) ** 2
+        share = np.exp((far.min(axis=1, keepdims=True) - far) / (2 * spread * spread))
+        share /= share.sum(axis=1, keepdims=True)
+        weight = share.sum(axis=0)
+        middle = (weight * k).sum() / len(x)
+        bend = (weight * (k - middle) ** 2).sum()
+        if bend < 1e-12 * len(x):
+            break
+        moved = float((share * (k - middle)).sum(axis=1) @ x) / bend
+        if moved <= 0:
+            break
+        low, before, step = float(x.mean()) - moved * middle, step, moved
+        spread = max(float(np.sqrt((share * (x[:, None] - low - step * k) ** 2).sum() / len(x))), 1e-9 * step)
+        if abs(step - before) <= 1e-12 * step:
+            break
+    left = x - low - step * np.clip(np.rint((x - low) / step), 0, levels - 1)
+    return low, step, float(np.sqrt((left * left).mean()))
 
 
 def slice_levels(levels: int, labels: list[int] | None = None, invert: bool = False):
@@ -73,13 +80,39 @@ def crossings(x: np.ndarray, threshold: float) -> np.ndarray:
     return k + (threshold - x[k]) / (x[k + 1] - x[k])
 
 
+def lattice_rate(at: np.ndarray, fastest: float, fine: int = 8) -> float | None:
+    """How many lattice points a unit of time the times ``at`` lie on, up to ``fastest``.
+
+    Times on a lattice are all in phase at its rate and its multiples, and nowhere below it: the lowest peak of their spectrum
+    that is nearly as high as the highest is the rate. None for fewer than nine times.
+    """
+    if len(at) < 9 or np.ptp(at) == 0:
+        return None
+    bins = np.bincount(np.rint((at - at[0]) * fine * fastest).astype(np.int64))
+    n = 1 << (4 * len(bins) - 1).bit_length()
+    power = np.abs(np.fft.rfft(bins, n))
+    rates = np.arange(len(power)) * fine * fastest / n
+    lowest = max(4 / np.ptp(at), 0.6 / float(np.quantile(np.diff(at), 0.25)))  # a unit isn't longer than the short runs
+    inner = np.flatnonzero((rates >= lowest) & (rates <= 1.02 * fastest))
+    inner = inner[(inner > 0) & (inner < len(power) - 1)]
+    if not len(inner):
+        return None
+    k = inner[np.argmax(power[inner] >= 0.8 * power[inner].max())]
+    while k + 1 < len(power) - 1 and power[k + 1] > power[k]:
+        k += 1
+    a, b, c = power[k - 1 : k + 2]
+    bend = a - 2 * b + c
+    return float((k + (0.5 * (a - c) / bend if bend else 0.0)) * fine * fastest / n)
+
+
 def unit_rate(rate: float, threshold: float, fastest: float):
-    """A pandas UDF: symbols a second from the shortest runs between crossings; null with fewer than 8 usable runs."""
+    """A pandas UDF: symbols a second of a two-level waveform from its crossings; null with fewer than 8 runs of usable length."""
 
     def one(raw):
-        runs = np.diff(crossings(_values(raw), threshold))
-        runs = runs[runs > 0.4 * rate / fastest]
-        return rate / float(np.median(runs[runs <= 1.5 * np.quantile(runs, 0.1)])) if len(runs) >= 8 else None
+        at = crossings(_values(raw), threshold)
+        if len(at) < 2:
+            return None
+        return lattice_rate(at[np.concatenate([[True], np.diff(at) > 0.4 * rate / fastest])] / rate, fastest)
 
     @F.pandas_udf("double")
     def found(rows: pd.Series) -> pd.Series:
@@ -141,54 +174,77 @@ def track_carrier(rate: float, hz: float, block: int):
     return lambda samples, start: tracked(F.col(samples), F.coalesce(F.col(start), F.lit(0)))
 
 
-def best_grid(f: np.ndarray, near: float, least: float, widest: float, harmonics: int) -> tuple[np.ndarray, float]:
-    """Which lines lie on the arithmetic grid that explains most of them, and its spacing after a line is fitted."""
-    best, anchor, step = 0, 0.0, float("nan")
-    for i in range(len(f) - 1):  # one anchor's proposals at a time
-        d = ((f[i + 1 :] - f[i])[:, None] / np.arange(1, harmonics + 1)).ravel()
-        d = d[(d >= least) & (d <= widest)]
-        if not len(d):
-            continue
-        k = (f[None, :] - f[i]) / d[:, None]
-        n = (np.abs(k - np.rint(k)) * d[:, None] <= near).sum(axis=1)
-        if n.max() > best:
-            best, anchor, step = int(n.max()), float(f[i]), float(d[n.argmax()])
-    if not best:
-        return np.zeros(len(f), bool), float("nan")
-    on = lambda a, d: np.abs((f - a) / d - np.rint((f - a) / d)) * d <= near
-    held = on(anchor, step)
-    if held.sum() >= 3:
-        k = np.rint((f[held] - anchor) / step)
-        slope = float(np.polyfit(k, f[held], 1)[0]) if np.ptp(k) else step
-        step = slope if slope > 0 else step
-        held = on(float(f[held][0]), step)
-    return held, step
-
-
-def combs(lo: float, hi: float, near: float = 1500.0, least: float = 1e5, widest: float = 2e6, harmonics: int = 40, members: int = 6, chance: float = 0.05, trials: int = 200, seed: int = 7):
+def tails(n: int, p: np.ndarray) -> np.ndarray:
+    """For each chance ``p`` a row of the logarithms of the chances of k successes or more in ``n`` trials, k from 0 to n."""
+    k = np.arange(n + 1)
+    ways = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    each = ways[n] - ways[k] - ways[n - k] + k * np.log(p)[:, None] + (n - k) * np.log1p(-p)[:, None]
+    return np.logaddexp.accumulate(each[:, ::-1], axis=1)[:, ::-1]
+
+
+def best_grid(f: np.ndarray, span: float, near: float, least: float, widest: float) -> tuple[np.ndarray, float, float]:
+    """Which sorted lines lie on the grid that is least likely by chance, its spacing, and the logarithm of that chance.
+
+    Spacings are tried so finely that no line drifts by more than half of ``near`` over all lines. Folded by a spacing, lines are
+    points on a circle; the members are the most that fit into an arc of twice ``near`` (one sorted pass finds them), and by
+    chance the others fall into a member's arc with the share that the arc has of the circle. Every line could be the
+    member and every spacing that can be told apart could be the grid's: so many chances there are.
+    """
+    n, reach = len(f), float(np.ptp(f)) or 1.0
+    first, last = 1 / widest, 1 / least
+    rates = [first]
+    while rates[-1] < last:  # of u: half of near, in periods, over the reach
+        rates.append(rates[-1] * (1 + near / (2 * reach)))
+    u = np.array(rates[:-1])
+    best = (np.inf, 0, np.zeros(n, bool))
+    cells = max(1.0, span / near * np.log(last / first)) * n
+    for at in range(0, len(u), 4096):
+        part = u[at : at + 4096, None]
+        turn = (f[None, :] * part) % 1.0
+        order = np.argsort(turn, axis=1)
+        ring = np.take_along_axis(turn, order, axis=1)
+        arc = np.minimum(2 * near * part, 1.0)
+        wide = np.concatenate([ring, ring + 1], axis=1)
+        count = np.zeros((len(part), n), np.int64)
+        for j in range(1, n + 1):  # how many follow within the arc: nested, so counted step by step
+            inside = wide[:, j : j + n] - ring <= arc if j < n else np.zeros((len(part), n), bool)
+            count += inside
+            if not inside.any():
+                break
+        most = count.max(axis=1) + 1
+        chance = tails(n - 1, np.clip(arc[:, 0], 1e-300, 1 - 1e-12))[np.arange(len(part)), most - 1]
+        k = int(np.argmin(chance))
+        if chance[k] < best[0]:
+            start = int(count[k].argmax())
+            held = np.zeros(n, bool)
+            held[order[k][(start + np.arange(most[k])) % n]] = True
+            best = (float(chance[k]), at + k, held)
+    _, k, held = best
+    step = 1 / float(u[k])
+    on = f[held]
+    index = np.rint((on - on[0]) / step)
+    if len(on) >= 3 and np.ptp(index):
+        step, offset = np.polyfit(index, on, 1)
+        held = np.abs(f - offset - step * np.rint((f - offset) / step)) <= near
+    arc = min(2 * near / step, 1 - 1e-12)
+    return held, float(step), min(0.0, float(tails(n - 1, np.array([arc]))[0, max(int(held.sum()) - 1, 0)]) + float(np.log(cells)))
+
+
+def combs(lo: float, hi: float, near: float = 1500.0, least: float = 1e5, widest: float = 2e6, members: int = 6, chance: float = 0.05):
     """A pandas UDF: line frequencies of a frame to struct(members, spacing, chance, flagged).
 
-    The chance that as many uniform lines in [lo, hi] hold such a grid is drawn once for each pair of counts, until it is
-    settled. Fewer than three lines hold no grid; below ``members`` the chance isn't drawn.
+    ``chance`` bounds, over all grids that could be told apart, how likely uniform lines in [lo, hi] would hold such a grid.
+    Fewer than three lines hold no grid; below ``members`` no chance is given.
     """
-    enough, quiet = floor(chance * trials) + 1, ceil(log(0.05) / log(1 - chance))
-    drawn: dict[tuple[int, int], float] = {}
-
-    def by_chance(n: int, need: int) -> float:
-        if (n, need) not in drawn:
-            rnd, hits, done = np.random.default_rng([seed, n, need]), 0, 0
-            while done < trials and hits < enough and not (hits == 0 and done >= quiet):
-                held, _ = best_grid(np.sort(rnd.uniform(lo, hi, n)), near, least, widest, harmonics)
-                hits, done = hits + int(held.sum() >= need), done + 1
-            drawn[n, need] = max(hits / done, chance) if hits >= enough else hits / done
-        return drawn[n, need]
 
     def one(raw) -> tuple:
         f = np.sort(_values(raw))
-        held, step = best_grid(f, near, least, widest, harmonics) if len(f) >= 3 else (np.zeros(0, bool), float("nan"))
+        if len(f) < 3:
+            return 0, None, None, False
+        held, step, log_chance = best_grid(f, hi - lo, near, least, widest)
         n = int(held.sum())
-        p = by_chance(len(f), n) if n >= members else None
-        return n, None if np.isnan(step) else step, p, p is not None and p < chance
+        p = float(np.exp(log_chance)) if n >= members else None
+        return n, step, p, p is not None and p < chance
 
     @F.pandas_udf("members int, spacing double, chance double, flagged boolean")
     def found(rows: pd.Series) -> pd.DataFrame:

@@ -1,5 +1,7 @@
 """Blind estimates against planted signals, and snippets and quantiles on small rows of their own."""
 
+from math import comb
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,31 @@ def test_comb(spark):
     assert not loose.flagged and (few.members, few.spacing, few.flagged) == (0, None, False) and none.members == 0
 
 
+def test_combs_by_chance():
+    """Uniform lines are flagged no more often than the chance says; planted grids are found among loose lines."""
+    rnd = np.random.default_rng(6)
+    flagged = sum(np.exp(B.best_grid(np.sort(rnd.uniform(0, 2e7, n)), 2e7, 1500.0, 1e5, 2e6)[2]) < 0.05 for n in (5, 12, 25, 40) for _ in range(15))
+    assert flagged <= 6
+    for spacing in (120e3, 511_111.0, 1.3e6):
+        grid = 2e6 + spacing * np.arange(10) + rnd.uniform(-700, 700, 10)
+        held, step, chance = B.best_grid(np.sort(np.concatenate([grid, rnd.uniform(0, 2e7, 12)])), 2e7, 1500.0, 1e5, 2e6)
+        assert abs(step / spacing - 1) < 1e-3 and held.sum() >= 10 and chance < np.log(0.05)
+
+
+def test_tails():
+    got = np.exp(B.tails(6, np.array([0.3, 1e-9])))
+    want = [sum(comb(6, j) * 0.3**j * 0.7 ** (6 - j) for j in range(k, 7)) for k in range(7)]
+    assert got[0] == pytest.approx(want) and got[1, 1] == pytest.approx(6e-9, rel=1e-6)
+
+
+def test_lattice_rates():
+    rnd = np.random.default_rng(8)
+    for unit in (1.0, 0.37, 2.9):
+        at = np.cumsum(rnd.integers(1, 6, 300)) * unit + rnd.normal(0, 0.03 * unit, 300)
+        assert B.lattice_rate(np.sort(at), 5.0) == pytest.approx(1 / unit, rel=2e-3)
+    assert B.lattice_rate(np.arange(8.0), 5.0) is None
+
+
 def test_snippets_and_their_scale(spark):
     blocks = spark.createDataFrame([(k, [float(4 * k + i) for i in range(4)]) for k in (0, 1, 3)], "b long, x array<double>")
     boxes = spark.createDataFrame([(1, 2, 7), (2, 5, 15), (3, 40, 44), (4, 3, 3)], "box int, lo long, hi long")
