@@ -71,8 +71,8 @@ def range_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], lo:
     it comes once. ``cell`` should be about a usual interval's length.
     """
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    a = left.withColumn("__cell", cells(lo[0], hi[0]))
-    b = right.withColumn("__cell_r", cells(lo[1], hi[1]))
+    a = left.where(F.col(lo[0]) <= F.col(hi[0])).withColumn("__cell", cells(lo[0], hi[0]))  # an interval that ends before it begins meets none
+    b = right.where(F.col(lo[1]) <= F.col(hi[1])).withColumn("__cell_r", cells(lo[1], hi[1]))
     meet = overlaps(F.col(lo[0]), F.col(hi[0]), F.col(lo[1]), F.col(hi[1]))
     if contains:
         meet = meet & (F.col(lo[1]) <= F.col(lo[0])) & (F.col(hi[1]) >= F.col(hi[0]))
@@ -91,21 +91,22 @@ def totals(visits: DataFrame, keys: list[str], lo: str, hi: str, tier: str, tier
     the ``independent`` tiers; the mean revisit is at most the span. A key that isn't visited in the span has no visit, no
     revisit and a gap as long as the span.
     """
-    every = visits.select(*keys).distinct()
-    inside = visits.where((F.col(hi) > span_lo) & (F.col(lo) < span_hi) & (F.col(hi) > F.col(lo)))
-    inside = inside.withColumn("__free", F.coalesce(F.col(tier).isin(*(independent or [])), F.lit(False)))
+    seen = (F.col(hi) > span_lo) & (F.col(lo) < span_hi) & (F.col(hi) > F.col(lo))
     clip = clipped_length(F.col(lo), F.col(hi), F.lit(span_lo), F.lit(span_hi))
-    by_tier = inside.groupBy(*keys).agg(*(F.sum(F.when(F.col(tier) == t, clip).otherwise(0)).alias(f"{t}_us") for t in tiers))
-    islands = merge(inside, keys, lo, hi, block, flags=["__free"])
+    every = visits.groupBy(*keys).agg(*(F.sum(F.when(seen & (F.col(tier) == t), clip).otherwise(0)).alias(f"{t}_us") for t in tiers))
+    free = F.coalesce(F.col(tier).isin(*(independent or [])), F.lit(False))
+    islands = merge(visits.where(seen).withColumn("__free", free), keys, lo, hi, block, flags=["__free"])
+    before = F.coalesce(F.lag(hi).over(Window.partitionBy(*keys).orderBy(lo)), F.lit(span_lo))
     revisit = (F.max(lo) - F.min(lo)) / (F.count("*") - 1)
-    counted = islands.groupBy(*keys).agg(
+    counted = islands.withColumn("__gap", F.col(lo) - before).groupBy(*keys).agg(
         F.count("*").alias("n_visits"),
         F.count_if("__free").alias("n_independent"),
         F.when(F.count("*") > 1, F.least(revisit, F.lit(float(span_hi - span_lo)))).alias("mean_revisit_us"),
+        F.greatest(F.max("__gap"), span_hi - F.max(hi)).alias("longest_gap_us"),
     )
-    longest = gaps(islands, keys, lo, hi, span_lo, span_hi, asked=every).groupBy(*keys).agg(F.max(F.col("gap_hi") - F.col("gap_lo")).alias("longest_gap_us"))
-    zero = ["n_visits", "n_independent", *(f"{t}_us" for t in tiers)]
-    return every.join(counted, keys, "left").join(by_tier, keys, "left").join(longest, keys, "left").fillna(0, zero)
+    out = every.join(counted, keys, "left").fillna(0, ["n_visits", "n_independent", *(f"{t}_us" for t in tiers)])
+    gap = F.when(F.col("n_visits") == 0, F.lit(span_hi - span_lo)).when(F.col("longest_gap_us") > 0, F.col("longest_gap_us"))
+    return out.select(*keys, "n_visits", "n_independent", "mean_revisit_us", *(f"{t}_us" for t in tiers), gap.alias("longest_gap_us"))
 
 
 def intercept_share(visits: DataFrame, keys: list[str], lo: str, hi: str, lead: int, span_lo: int, span_hi: int, block: int) -> DataFrame:

@@ -47,7 +47,9 @@ def follow_merges(links: DataFrame, child: str, parent: str) -> DataFrame:
         further = steps.written(further.distinct(), "chains")
         at = further.select("c", "p").distinct()
         if further.where("moved").isEmpty():
-            return links.join(at.select(F.col("c").alias(child), F.col("p").alias("root")), child)
+            found = written(links.join(at.select(F.col("c").alias(child), F.col("p").alias("root")), child), "merges")
+            steps.drop()
+            return found
     steps.drop()
     raise ValueError("merges run in a circle")
 
@@ -78,12 +80,17 @@ def greedy_one_to_one(pairs: DataFrame, a: str, b: str, cost: str) -> DataFrame:
     spark, kinds = pairs.sparkSession, pairs.select(a, b, cost).schema
     taken = scratch(spark, "taken")
     spark.createDataFrame([], kinds).write.parquet(taken)
-    left = written(pairs.select(a, b, cost).where(F.col(a).isNotNull() & F.col(b).isNotNull()), "left")
+    steps = Steps(spark)
+    left = steps.written(pairs.select(a, b, cost).where(F.col(a).isNotNull() & F.col(b).isNotNull()), "left")
     while not left.isEmpty():
+        next_ = Steps(spark)
         cheapest = lambda side: left.groupBy(side).agg(F.min(F.struct(cost, a, b)).alias("m")).select("m")  # noqa: B023, E731
-        won = written(cheapest(a).join(cheapest(b), "m", "left_semi").select("m.*"), "won")
+        won = next_.written(cheapest(a).join(cheapest(b), "m", "left_semi").select("m.*"), "won")
         won.select(a, b, cost).write.mode("append").parquet(taken)
-        left = written(left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti"), "left")
+        left = next_.written(left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti"), "left")
+        steps.drop()
+        steps = next_
+    steps.drop()
     return spark.read.schema(kinds).parquet(taken)
 
 

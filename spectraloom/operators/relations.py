@@ -63,15 +63,30 @@ MOST_ALLOCATIONS = 100_000
 def allocated(df: DataFrame, at: str, table: DataFrame, lo: str, hi: str, rank: str) -> DataFrame:
     """``df`` with the row of highest rank (then highest ``lo``) of an allocation table that holds ``at``; nulls where none does.
 
-    The table travels as one broadcast row, which no row of ``df`` is shuffled for; it may have ``MOST_ALLOCATIONS`` rows.
+    The allocations are cut at all their ends into stretches that have one best row each, and the stretches are laid on even
+    cells, four times as many as stretches; a row looks only at its cell's. The cells travel by broadcast; ``MOST_ALLOCATIONS`` rows bound them.
+    Allocations that end before they begin hold nothing.
     """
     rest = [c for c in table.columns if c not in (lo, hi)]
     if table.limit(MOST_ALLOCATIONS + 1).count() > MOST_ALLOCATIONS:
         raise ValueError(f"an allocation table has at most {MOST_ALLOCATIONS} rows")
-    row = F.struct(F.col(rank).alias("rank"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.struct(*rest).alias("rest"))
-    whole = table.agg(F.collect_list(row).alias("__table"))
-    held = F.filter("__table", lambda r: (F.col(at) >= r["lo"]) & (F.col(at) < r["hi"]))
-    return df.join(F.broadcast(whole), F.lit(True)).withColumn("__a", F.array_max(held)["rest"]).select(*df.columns, "__a.*")
+    kept = table.where(F.col(lo) < F.col(hi))
+    ends = kept.select(F.explode(F.array(lo, hi)).alias("p")).distinct()
+    first, last, n = ends.agg(F.min("p"), F.max("p"), F.count("*")).first()
+    if not n:
+        return df.select(*df.columns, *(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in rest))
+    by = Window.orderBy("p")  # of twice the allocations at most
+    points = ends.select("p", F.row_number().over(by).alias("i"), F.lead("p").over(by).alias("q"))
+    spans = kept.join(points.select(F.col("p").alias(lo), F.col("i").alias("a")), lo).join(points.select(F.col("p").alias(hi), F.col("i").alias("b")), hi)
+    best = F.max(F.struct(F.col(rank).alias("rank"), F.col(lo).alias("lo"), F.struct(*rest).alias("rest"))).alias("m")
+    held = spans.withColumn("i", F.explode(F.sequence(F.col("a"), F.col("b") - 1))).groupBy("i").agg(best)
+    width = (last - first) / (4 * n)
+    cell = lambda c: F.floor((F.col(c) - first) / width)
+    laid = held.join(points, "i").select(F.col("p").alias("lo"), F.col("q").alias("hi"), F.col("m.rest").alias("rest"), F.explode(F.sequence(cell("p"), cell("q"))).alias("__cell"))
+    cells = laid.groupBy("__cell").agg(F.collect_list(F.struct("lo", "hi", "rest")).alias("__held"))
+    mine = F.get(F.filter("__held", lambda r: (F.col(at) >= r["lo"]) & (F.col(at) < r["hi"])), F.lit(0))
+    looked = df.withColumn("__at", cell(at)).join(F.broadcast(cells), F.col("__at") == F.col("__cell"), "left")
+    return looked.withColumn("__a", mine["rest"]).select(*df.columns, "__a.*")
 
 
 def recurrence(df: DataFrame, key: str, lo: str, hi: str, duty: Column, newest: int) -> DataFrame:

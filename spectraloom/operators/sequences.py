@@ -66,6 +66,7 @@ def hysteresis_steps(scores: list[float], times: list[int], state: AlarmState =
     return out, (is_open, above, below, cleared)
 
 
+BLOCK_ROWS = 500_000
 #: A clearing time that a block doesn't know, as it lies in a block before it.
 _EARLIER = -2
 
@@ -73,7 +74,7 @@ _EARLIER = -2
 def hysteresis(df: DataFrame, key: str, t: str, tie: str, score: str, on: float = 0.7, off: float = 0.4, raise_after: int = 2, clear_after: int = 3, reopen: int = 3_600_000_000) -> DataFrame:
     """key, t, tie, score, step: alarms that rise after some high scores in a row and clear after some low ones.
 
-    The table is cut into ranges of (key, t, tie), so a busy key takes as many blocks as its rows fill. A block tells where
+    The table is cut into ranges of (key, t, tie) of ``BLOCK_ROWS`` rows at most, so a busy key takes as many as its rows fill. A block tells where
     each state it may start in leads; the states of a key's blocks are chained, one short row a block; then every block is
     folded from its own start. Null keys are one key, null times come last and never reopen, a null score is neither high nor
     low, full ties go by score, and each row has its step.
@@ -118,7 +119,8 @@ def hysteresis(df: DataFrame, key: str, t: str, tie: str, score: str, on: float
 
     narrow = df.select(key, t, tie, score)
     order = [F.asc_nulls_last(c) for c in (key, t, tie)]
-    blocks = narrow.repartitionByRange(*order).withColumns({"__b": F.spark_partition_id(), "__null": F.col(key).isNull()})
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-narrow.count() // BLOCK_ROWS))
+    blocks = narrow.repartitionByRange(n, *order).withColumns({"__b": F.spark_partition_id(), "__null": F.col(key).isNull()})
     blocks = written(blocks, "blocks")  # the numbers of the ranges must not change between the passes
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema)
     where = f"{key} {narrow.schema[key].dataType.simpleString()}, __b int, __null boolean"
@@ -129,9 +131,17 @@ def hysteresis(df: DataFrame, key: str, t: str, tie: str, score: str, on: float
 
 
 def decayed(df: DataFrame, keys: list[str], t: str, value: str, tau: float) -> DataFrame:
-    """Each key's values with weights that fall exponentially with their age at the key's newest row."""
-    aged = df.withColumn("__w", F.exp((F.col(t) - F.max(t).over(Window.partitionBy(*keys))) / tau))
-    return aged.groupBy(*keys).agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias("persistence"))
+    """Each key's values with weights that fall exponentially with their age at the key's newest row.
+
+    Sums are taken by stretches of time, each against its own end, so a busy key is met by partial results; a key's stretches
+    are then weighted against each other.
+    """
+    length = 16 * tau
+    age = F.exp((F.col(t) - (F.col("__b") + 1) * length) / tau)
+    parts = df.withColumn("__b", F.floor(F.col(t) / length)).groupBy(*keys, "__b").agg(F.sum(F.col(value) * age).alias("__v"), F.sum(age).alias("__w"))
+    newest = F.max("__b").over(Window.partitionBy(*keys))
+    scaled = parts.withColumn("__s", F.exp((F.col("__b") - newest) * (length / tau)))
+    return scaled.groupBy(*keys).agg((F.sum(F.col("__v") * F.col("__s")) / F.sum(F.col("__w") * F.col("__s"))).alias("persistence"))
 
 
 def steps_in_level(df: DataFrame, keys: list[str], t: str, tie: str, value: str, width: int, least: float) -> DataFrame:

@@ -213,7 +213,7 @@ def asof_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = part.where("p_retailprice is not null").groupBy("x").agg(F.avg("p_retailprice").alias("y"))
     sizes = part.select("x").distinct().withColumn("row", F.lit(0).cast("long"))
     at = J.interpolated(sizes.withColumn("k", F.lit(0)), known.withColumn("k", F.lit(0)), ["k"], "x", "y", "row").select("x", "y")
-    return part.join(F.broadcast(at), "x").select("p_partkey", F.round("y", 6).alias("y"))
+    return part.join(at, "x").select("p_partkey", F.round("y", 6).alias("y"))
 
 
 @query("""SELECT l.l_orderkey, l.l_linenumber, n.n_name, 'direct' AS via FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey

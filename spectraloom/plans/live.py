@@ -28,7 +28,7 @@ g AS (SELECT *, sum(CASE WHEN p IS NULL OR start_us - p >= 21600000000 THEN 1 EL
 SELECT channel, min(start_us)::BIGINT AS first, max(start_us)::BIGINT AS last, count(*)::BIGINT AS n FROM g GROUP BY channel, g""")
 def stream_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence closed by six idle hours."""
-    return L.drained(L.presence(L.event_stream(spark, sf_dir)), "presence", "complete")
+    return L.drained_presence(L.event_stream(spark, sf_dir)).drop("closed")
 
 
 @query(f"WITH RECURSIVE {VISITS_SQL}, o AS (SELECT channel, start_us, event_id, level / 100 AS x, row_number() OVER (PARTITION BY channel ORDER BY start_us, event_id) AS rn FROM v), {_STATE} SELECT event_id, channel, step FROM st")

@@ -10,13 +10,12 @@ from spectraloom.operators import blind, inference
 from spectraloom.plans.registry import query
 from spectraloom.sources.tables import VISITS_SQL, visits
 
-_ORDER = Window.partitionBy("channel").orderBy("start_us", "event_id")
 _SEQ = f"{VISITS_SQL}, o AS (SELECT *, row_number() OVER w - 1 AS k, lag(level >= 35) OVER w AS before FROM v WINDOW w AS (PARTITION BY channel ORDER BY start_us, event_id))"
 
 
 def _series(spark: SparkSession, sf_dir: str, value) -> DataFrame:
     """channel, x: an array with ``value`` of each visit, in order. A channel's visits are one signal."""
-    rows = visits(spark, sf_dir).select("channel", (F.row_number().over(_ORDER) - 1).alias("k"), value.alias("x"))
+    rows = visits(spark, sf_dir).select("channel", (F.row_number().over(Window.partitionBy("channel").orderBy("start_us", "event_id")) - 1).alias("k"), value.alias("x"))
     return rows.groupBy("channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("x"))
 
 

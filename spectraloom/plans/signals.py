@@ -37,6 +37,16 @@ def vec_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.posexplode("psd").alias("bin", "power")).withColumn("power", F.round("power", 6))
 
 
+MOST_CLASSES = 4096
+
+
+def _few(classes: DataFrame, row: DataFrame) -> DataFrame:
+    """The one row made of all classes, once it is sure that they are few."""
+    if classes.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes don't travel as one row")
+    return row
+
+
 def _centroids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings").where("label is not null")
     long = e.select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
@@ -55,7 +65,7 @@ def nearest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = c.agg(F.collect_list(F.transform("c", lambda s: s["m"])).alias("means"))
     square = lambda m: F.aggregate(F.zip_with("embedding", m, lambda x, y: F.pow(x.cast("double") - y, 2)), F.lit(0.0), lambda a, x: a + x)
     nearest = F.array_min(F.transform("means", lambda m: F.sqrt(square(m))))
-    return e.join(F.broadcast(means), F.lit(True)).select("vec_id", F.round(nearest, 5).alias("distance"))
+    return e.join(F.broadcast(_few(c, means)), F.lit(True)).select("vec_id", F.round(nearest, 5).alias("distance"))
 
 
 @query(f"""WITH {_CENT} SELECT vec_id, round(sqrt(sum((x - m) * (x - m) / greatest(v, 1e-9)) / count(*)), 5) AS score, sqrt(sum((x - m) * (x - m) / greatest(v, 1e-9)) / count(*)) > 1.2 AS unknown FROM l JOIN c ON l.label = c.k AND l.i = c.i GROUP BY vec_id""")
@@ -64,7 +74,7 @@ def open_set_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, c = _centroids(spark, sf_dir)
     terms = F.zip_with("embedding", "c", lambda x, s: F.pow(x.cast("double") - s["m"], 2) / F.greatest(s["v"], F.lit(1e-9)))
     d = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.size("embedding"))
-    return e.join(F.broadcast(c), "label").select("vec_id", F.round(d, 5).alias("score"), (d > 1.2).alias("unknown"))
+    return e.join(c, "label").select("vec_id", F.round(d, 5).alias("score"), (d > 1.2).alias("unknown"))
 
 
 @query("""WITH p AS (SELECT vec_id, embedding AS x, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings),
@@ -221,7 +231,7 @@ def density_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     terms = lambda m: F.zip_with("embedding", m["c"], lambda x, s: F.pow(x.cast("double") - s["m"], 2) / spread(s))
     scored = F.transform("models", lambda m: F.struct(F.round(-0.5 * (total(terms(m)) + total(F.transform(m["c"], lambda s: F.ln(spread(s))))), 9).alias("density"), (-m["label"]).alias("rank"), total(terms(m)).alias("d2")))
-    best = e.join(F.broadcast(models), F.lit(True)).select("vec_id", F.size("embedding").alias("k"), F.array_max(scored).alias("b"))
+    best = e.join(F.broadcast(_few(c, models)), F.lit(True)).select("vec_id", F.size("embedding").alias("k"), F.array_max(scored).alias("b"))
     tail = gamma.column(gamma.chi_square_tail, F.col("b.d2"), F.col("k").cast("double"))
     return best.select("vec_id", (-F.col("b.rank")).alias("best"), F.round(tail, 6).alias("open_set"))
 

@@ -35,10 +35,37 @@ def sliding_level(events: DataFrame, length: str = "2 hours", slide: str = "1 ho
     return w.agg(F.count("*").alias("n"), F.max("level").alias("max_db")).select("tier", F.unix_micros("w.start").alias("t_us"), "n", "max_db")
 
 
-def presence(events: DataFrame, idle: str = "6 hours", late: str = "40 days") -> DataFrame:
-    """Sessions closed by an idle time; a row exactly the idle time later opens a new one."""
-    w = events.withWatermark("ts", late).groupBy("channel", F.session_window("ts", idle).alias("w"))
-    return w.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).select("channel", F.unix_micros("a").alias("first"), F.unix_micros("b").alias("last"), "n")
+SESSIONS = "first long, last long, n long, closed boolean"
+
+
+class SessionFold:
+    """Presence closed by an idle time (``SESSIONS``); a row exactly the idle time later opens a new one. Three numbers of state."""
+
+    def __init__(self, idle_us: int):
+        self.idle = idle_us
+
+    def start(self) -> dict:
+        return {"first": None, "last": None, "n": 0}
+
+    def step(self, state: dict, row: tuple) -> list[tuple]:
+        (t,) = row
+        out = []
+        if state["n"] and t - state["last"] >= self.idle:
+            out = [(state["first"], state["last"], state["n"], True)]
+            state["n"] = 0
+        state["first"] = t if not state["n"] else state["first"]
+        state["last"] = t
+        state["n"] += 1
+        return out
+
+    def end(self, state: dict) -> list[tuple]:
+        return [(state["first"], state["last"], state["n"], False)] if state["n"] else []
+
+
+def drained_presence(events: DataFrame, idle_us: int = 21_600_000_000, late: str = "1 day") -> DataFrame:
+    """channel and ``SESSIONS`` of a finite stream: each session once, when it is closed, and those still open at its end."""
+    rows = events.withColumn("t_us", F.unix_micros("ts"))
+    return drained_carried(rows, "presence", ["channel"], ["t_us"], SessionFold(idle_us), SESSIONS, "ts", late)
 
 
 ALARM_COLUMNS = ["t_us", "event_id", "level"]

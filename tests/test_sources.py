@@ -81,7 +81,8 @@ def test_stream_of_several_files(spark, tmp_path):
     stream = live.event_stream(spark, str(tmp_path), files_per_trigger=1)
     got = {r.event_id: r.step for r in live.drained_alarms(stream).collect()}
     assert len(got) == n
-    assert live.drained(live.presence(live.event_stream(spark, str(tmp_path), 1)), "p", "complete").count() > 0
+    sessions = live.drained_presence(live.event_stream(spark, str(tmp_path), 1)).collect()
+    assert sum(r.n for r in sessions) == n and sum(not r.closed for r in sessions) == whole.select("user_id").distinct().count()
 
 
 def test_tiles_seal_and_triggers_reach_back(spark, tmp_path):
