@@ -150,3 +150,11 @@ def test_stream_equals_batch_however_files_fall(spark, tmp_path):
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     got = drained_carried(stream, "tracks", ["receiver"], DETECTION, BurstTracker(), EVENTS, "ts", "600 seconds")
     assert sorted(map(str, got.collect())) == want
+
+
+def test_queries_of_tracks_agree(spark):
+    from spectraloom.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    batch = sorted(map(str, QUERIES["burst_tracks"](spark, sf).collect()))
+    assert batch == sorted(map(str, QUERIES["stream_tracks"](spark, sf).collect())) and any("'merge'" in r or "'close'" in r for r in batch)
