@@ -12,8 +12,9 @@
 4. The others, made of frequent shingles mostly, are the *pool*. Two similar sets of the pool share at least 0.67 of
    their frequent shingles and differ in at most a quarter of what they share, so two shingles that follow each other
    among the frequent ones of one set do so in the other: each difference parts one such combination, and there are more
-   of them than differences. Pool sets index these 2-combinations, which link them into families; families are compared
-   in blocks of bounded size by matrix products of their incidence, so no pair is written out.
+   of them than differences. Pool sets index these 2-combinations, which link them into families; a family is cut into
+   bands by size, and a band's blocks of bounded size are compared with its own and the next band's by matrix products of
+   their incidence, so no pair is written out, and sets of unlike sizes, as a common passage joins them, never meet.
 5. Candidates are verified on whole sets in integers, and links become components.
 
 What reaches the driver is bounded: the bits of the sketch (32 MB at most) and of one membership filter (8 MB at most). No key collects a group in a
@@ -27,6 +28,7 @@ result. Hashes of 64 bits stand for shingles and sets; a clash among those compa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -50,6 +52,7 @@ FLUSH = 1 << 21  # shingles that a task counts before it hands them on
 FILTER_BITS = (22, 26)
 BITS_PER_MEMBER = 16
 LEAST_FREQUENT = 48
+BAND = math.log(1.26)  # of sizes, by their logarithm: similar sets lie in one band or in two next to each other
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 21  # 16 MB of hashes
 SEEN_CLASSES = 200_000
@@ -416,13 +419,20 @@ def _components(docs: DataFrame, kept: Steps | None = None) -> DataFrame:
     links = steps.written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "links")
 
     family = connected_components(met.where("combo")).join(classes.select(F.col("class_id").alias("node"), "copies", "n"), "node")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sized = family.join(family.groupBy("root").agg(blocks.alias("blocks")), "root").select("root", "node", "copies", "blocks")
+    family = steps.written(family.withColumn("band", F.floor(F.ln("n") / BAND).cast("long")), "family")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    bands = family.groupBy("root", "band").agg(blocks.alias("blocks")).groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))  # some 100 bands at most
+    place = lambda band, k: band * (1 << 32) + k
+    many = lambda z: F.coalesce(F.try_element_at("bands", z), F.lit(0).cast("long"))
+    blocks_of = lambda z: F.when(many(z) > 0, F.transform(F.sequence(F.lit(0).cast("long"), many(z) - 1), lambda k: place(z, k))).otherwise(F.array().cast("array<long>"))
+    met_blocks = F.concat(*(blocks_of(F.col("band") + d) for d in (-1, 0, 1)))
+    own = place(F.col("band"), F.pmod(F.xxhash64("class_id"), many(F.col("band"))))
+    sized = family.join(bands, "root").select("root", "node", "copies", "band", "bands")
     members = (
         sets.where("pool")
         .join(sized, F.col("class_id") == F.col("node"))
-        .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("block", own)
+        .withColumn("other", F.explode(met_blocks))
         .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "copies", "items")
     )
     compared = steps.written(members.groupBy("root", "i", "j").applyInPandas(_compare, "a long, b long, links long, edge boolean"), "compared")

@@ -75,6 +75,26 @@ def test_jaccard_equals_brute_force(spark, documents, odd_texts, monkeypatch, fr
     assert got == brute_links(texts)
 
 
+def test_jaccard_of_many_sets_with_one_passage(spark, documents):
+    """20,000 sets of all sizes share a passage, so they are one family; the few that are near copies link, no others."""
+    rng = random.Random(20)
+    passage = " ".join(f"p{i}" for i in range(40))
+    own = lambda: [f"u{rng.randrange(10**7)}" for _ in range(int(20 * 1.0004 ** rng.randrange(3000)))]
+    texts, want = [], {}
+    for k in range(20_000):
+        words = own()
+        texts.append(" ".join(words) + " " + passage)
+        want[k] = k
+    for k in range(0, 20_000, 400):
+        words = texts[k].split(" ")
+        words[0] = "changed"
+        want[len(texts)] = k
+        texts.append(" ".join(words))
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.jaccard_components(documents(texts, more=False)).collect()}
+    assert {i: c for i, (c, _) in got.items()} == want
+    assert sum(n for _, n in got.values()) == 100
+
+
 def test_jaccard_odd_ids(spark, documents):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (2, "A B c d e  f"), (None, "null's own"), (None, "")]
     out = sorted(jaccard_join.jaccard_components(documents(rows)).collect(), key=str)
