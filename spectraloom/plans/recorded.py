@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectraloom.operators import framing, moving, recordings, tracking
+from spectraloom.operators import assigning, demod, framing, moving, recordings, tracking
 from spectraloom.plans.registry import query
 from spectraloom.sources.tables import VISITS_SQL, visits
 from spectraloom.streaming.carried import drained_carried
@@ -119,3 +119,34 @@ def device_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     fix = F.col("tier") != "error"
     fixes = visits(spark, sf_dir).select("channel", F.col("start_us").alias("t_us"), F.when(fix, 50 + F.floor(F.col("cell") / 25) * 0.0009).alias("lat"), F.when(fix, F.lit(8.0)).alias("lon"), F.when(fix & (F.col("level") > 200), F.lit(9.0)).when(fix, F.lit(0.0)).alias("speed"))
     return moving.assigned_sites(fixes, ["channel"], moving.SiteRules(mobile_window_s=2 * 86_400.0, hold_s=86_400.0, radius_m=250.0))
+
+
+_PULSES = demod.PulseRules(bits=16)
+
+
+@query(f"WITH {VISITS_SQL} SELECT channel, (row_number() OVER (PARTITION BY channel ORDER BY start_us, event_id) - 1) * 110 + 7 AS at_sample, lpad(bin(cell * 499), 16, '0') AS bits FROM v")
+def pulse_trains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each visit sends its cell as a frame of pulse positions in noise; what is decoded from a channel's magnitudes, block by block."""
+    k = F.row_number().over(Window.partitionBy("channel").orderBy("start_us", "event_id")) - 1
+    bits = F.lpad(F.conv((F.col("cell") * 499).cast("string"), 10, 2), 16, "0")
+    preamble = F.array(*[F.lit(1.0 if i in _PULSES.pulses else 0.0) for i in range(_PULSES.preamble)])
+    halves = F.flatten(F.transform(F.split(bits, ""), lambda b: F.when(b == "1", F.array(F.lit(1.0), F.lit(0.0))).when(b == "0", F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array().cast("array<double>"))))
+    sent = F.flatten(F.transform(F.concat(preamble, halves), lambda v: F.array_repeat(v, _PULSES.half)))
+    silence = lambda n: F.array_repeat(F.lit(0.0), n)
+    noise = lambda i: F.pmod(F.xxhash64("event_id", i), F.lit(1000)) / 5000.0
+    samples = F.transform(F.concat(silence(7), sent, silence(7)), lambda v, i: v + noise(i))
+    blocks = visits(spark, sf_dir).select("channel", (k * 110).cast("long").alias("at"), samples.alias("samples"), F.lit(False).alias("reset"))
+    tail = blocks.groupBy("channel").agg((F.max("at") + 110).alias("at")).select("channel", "at", silence(_PULSES.half).alias("samples"), F.lit(False).alias("reset"))
+    found = demod.pulse_frames(blocks.unionByName(tail), ["channel"], "at", "samples", "reset", _PULSES)
+    return found.select("channel", F.col("at").alias("at_sample"), "bits")
+
+
+@query()
+def online_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tier's visits as signatures of level, cell, hour and length, assigned to clusters as they come."""
+    field = lambda c, spread: F.struct(c.cast("double").alias("value"), F.lit(spread).alias("spread"))
+    hour = F.floor(F.col("start_us") / 3_600_000_000) % 24
+    known = F.when(F.col("cell") % 7 != 0, F.col("cell"))  # a field may be unknown
+    fields = F.array(field(F.col("level"), 5.0), field(known, 1.0), field(hour, 0.5), field((F.col("end_us") - F.col("start_us")) / 1e6, 5.0))
+    rows = visits(spark, sf_dir).select("tier", F.col("start_us").alias("t_us"), F.col("event_id").alias("signature"), fields.alias("fields"))
+    return assigning.assigned_clusters(rows, ["tier"], [40.0, 10.0, 6.0, 40.0])
