@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectraloom.operators import assigning, demod, framing, moving, recordings, tracking
+from spectraloom.operators import assigning, audio, demod, framing, moving, recordings, tracking
 from spectraloom.plans.registry import query
 from spectraloom.sources.tables import VISITS_SQL, visits
 from spectraloom.streaming.carried import drained_carried
@@ -150,3 +150,16 @@ def online_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.array(field(F.col("level"), 5.0), field(known, 1.0), field(hour, 0.5), field((F.col("end_us") - F.col("start_us")) / 1e6, 5.0))
     rows = visits(spark, sf_dir).select("tier", F.col("start_us").alias("t_us"), F.col("event_id").alias("signature"), fields.alias("fields"))
     return assigning.assigned_clusters(rows, ["tier"], [40.0, 10.0, 6.0, 40.0])
+
+
+@query(f"""WITH RECURSIVE {VISITS_SQL}, o AS (SELECT channel, level, row_number() OVER (PARTITION BY channel ORDER BY start_us, event_id) - 1 AS i FROM v),
+y(channel, i, y) AS (SELECT channel, i, level FROM o WHERE i = 0 UNION ALL SELECT o.channel, o.i, y + (1 - exp(-0.25)) * (o.level - y) FROM y JOIN o ON o.channel = y.channel AND o.i = y.i + 1)
+SELECT channel, i, round(y, 6) AS y FROM y""")
+def deemphasised_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A channel's levels through a low pass of four samples, block by block of 32."""
+    i = (F.row_number().over(Window.partitionBy("channel").orderBy("start_us", "event_id")) - 1).cast("long")
+    rows = visits(spark, sf_dir).select("channel", i.alias("i"), "level")
+    blocks = rows.groupBy("channel", F.floor(F.col("i") / 32).alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "level"))).alias("x"))
+    blocks = blocks.select("channel", F.col("x")[0]["i"].alias("at"), F.transform("x", lambda v: v["level"]).alias("samples"), F.lit(False).alias("reset"))
+    out = audio.staged(blocks, ["channel"], "at", "samples", "reset", audio.Deemphasis(1.0, 4.0))
+    return out.select("channel", F.col("at"), F.posexplode("samples").alias("k", "y")).select("channel", (F.col("at") + F.col("k")).alias("i"), F.round("y", 6).alias("y"))
