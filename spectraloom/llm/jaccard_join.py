@@ -15,7 +15,8 @@
    of them than differences. Pool sets index these 2-combinations, which link them into families; a family is cut into
    bands by size, and a band's blocks of bounded size are compared with its own and the next band's by matrix products of
    their incidence, so no pair is written out, and sets of unlike sizes, as a common passage joins them, never meet.
-5. Candidates are verified on whole sets in integers, and links become components.
+5. Whatever has met forms groups. One that fits into a block is compared as a whole, each set being sent once; the pool's sets
+   of a larger one by bands and blocks, its other candidates pair by pair. All on whole sets in integers; links become components.
 
 What reaches the driver is bounded: the bits of the sketch (32 MB at most) and of one membership filter (8 MB at most). No key collects a group in a
 task: index runs are read from sorted partitions, families are cut into blocks, classes are grouped by partial counts.
@@ -383,6 +384,57 @@ def _compare(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([edges[edges["a"] != edges["b"]], counts[counts["links"] > 0]])
 
 
+def _linked_groups(sets: list[np.ndarray], ids: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels (of each set, the place of the first one of its component), and each set's number of linked documents."""
+    if len(sets) == 2:
+        p, q = sets
+        at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+        shared = int((q[at] == p).sum())
+        linked = 100 * shared >= SIMILARITY * (len(p) + len(q) - shared)
+        return (np.zeros(2, np.int64), copies[::-1]) if linked else (np.arange(2), np.zeros(2, np.int64))
+    links = block_links(sets, None)
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label, np.where(links, label[None, :], len(ids)).min(axis=1, initial=len(ids)))
+        least = least[least]
+        if (least == label).all():
+            return label, links @ copies
+        label = least
+
+
+def _compare_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small groups, which arrive sorted: what ``_compare`` gives for one block. A task holds one group of a block's size."""
+    at, ids, copies, sets = None, [], [], []
+    out: list[list[np.ndarray]] = []
+
+    def compared() -> None:
+        own, times = np.array(ids, np.int64), np.array(copies, np.int64)
+        label, counts = _linked_groups(sets, own, times)
+        moved, some = np.flatnonzero(label != np.arange(len(own))), np.flatnonzero(counts)
+        out.append([np.concatenate([own[moved], own[some]]), np.concatenate([own[label[moved]], np.full(len(some), -1)]), np.concatenate([np.zeros(len(moved), np.int64), counts[some]]), np.arange(len(moved) + len(some)) < len(moved)])
+
+    def given() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "links", "edge"])
+
+    for batch in pieces(batches, "items"):
+        for root, cls, n, items in zip(*(batch.column(c).to_pylist() for c in ("root", "class_id", "copies", "items")), strict=True):
+            if root != at:
+                if ids:
+                    compared()
+                at, ids, copies, sets = root, [], [], []
+            ids.append(cls)
+            copies.append(n)
+            sets.append(np.frombuffer(items, np.uint64))
+        if len(out) > 1000:
+            yield given()
+    if ids:
+        compared()
+    if out:
+        yield given()
+
+
 def _components(docs: DataFrame, kept: Steps | None = None) -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, class_id, root (the component's class), component_id, n_links.
 
@@ -414,11 +466,20 @@ def _components(docs: DataFrame, kept: Steps | None = None) -> DataFrame:
     sets = texts.mapInArrow(_wanted_sets(bits_of, filter_of, filter_bits), "class_id long, pool boolean, items binary")
     sets = steps.written(sets.dropDuplicates(["class_id"]), "sets")
 
+    # all that met, in groups: a group of one block's size is compared as a whole, each of its sets being sent once
+    groups = steps.written(connected_components(met.select("a", "b")).join(classes.select(F.col("class_id").alias("node"), "copies", "n"), "node"), "groups")
+    sizes = groups.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where((F.col("m") <= BLOCK) & (F.col("s") <= BLOCK_SHINGLES)).select("root")
+    small = steps.written(groups.join(sizes, "root").select("root", "node", "copies"), "small-groups")
+    whole = sets.join(small, F.col("class_id") == F.col("node")).select("root", "class_id", "copies", "items")
+    whole = whole.repartition("root").sortWithinPartitions("root").mapInArrow(_compare_groups, "a long, b long, links long, edge boolean")
+    apart = lambda e: e.join(small.select(F.col("node").alias("a")), "a", "left_anti")
+    pairs = apart(pairs)
+
     x = sets.select(F.col("class_id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("class_id").alias("b"), F.col("items").alias("y"))
     links = steps.written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "links")
 
-    family = connected_components(met.where("combo")).join(classes.select(F.col("class_id").alias("node"), "copies", "n"), "node")
+    family = connected_components(apart(met.where("combo"))).join(classes.select(F.col("class_id").alias("node"), "copies", "n"), "node")
     family = steps.written(family.withColumn("band", F.floor(F.ln("n") / BAND).cast("long")), "family")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("long")
     bands = family.groupBy("root", "band").agg(blocks.alias("blocks")).groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))  # some 100 bands at most
@@ -435,7 +496,8 @@ def _components(docs: DataFrame, kept: Steps | None = None) -> DataFrame:
         .withColumn("other", F.explode(met_blocks))
         .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "copies", "items")
     )
-    compared = steps.written(members.groupBy("root", "i", "j").applyInPandas(_compare, "a long, b long, links long, edge boolean"), "compared")
+    compared = members.groupBy("root", "i", "j").applyInPandas(_compare, "a long, b long, links long, edge boolean")
+    compared = steps.written(compared.unionByName(whole), "compared")
 
     root = connected_components(links.unionByName(compared.where("edge").select("a", "b")))
     count = F.col("copies")

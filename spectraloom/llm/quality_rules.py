@@ -38,7 +38,7 @@ from spectraloom.llm.common import pieces, table
 ASCII = bytes(range(128))
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 400
 SAMPLE_BYTES = 50_000
 
 
@@ -150,7 +150,7 @@ def greedy_order(texts: list[Text], rules: list[Rule]) -> list[str]:
 def _sampled(docs: DataFrame, rows: int) -> list[str | None]:
     """Texts of ``rows`` documents with the least hashes of their ids, over the whole table; long texts are left out."""
     least = F.xxhash64(F.lit("cascade"), F.col("doc_id").cast("string"))
-    share = min(1.0, 8 * rows / max(1, docs.count()))  # of the hashes' range: ever so many times what is wanted
+    share = min(1.0, 2 * rows / max(1, docs.count()))  # of the hashes' range: twice what is wanted, as some texts are long
     few = docs.select("text", least.alias("least")).where(F.col("least") < int((share - 0.5) * 2**64 - 1) if share < 1 else F.lit(True))
     short = few.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
     return [r["text"] for r in short.orderBy("least").limit(rows).select("text").collect()]
