@@ -54,7 +54,7 @@ def main() -> None:
     from spectraloom.llm.jaccard_join import op5_jaccard_join
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="recall-")).getOrCreate()
+    spark = SparkSession.builder.master("local[4]").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="recall-")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     want, kinds, links = exact([tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op5_jaccard_join(spark, sf).collect()}
