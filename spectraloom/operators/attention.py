@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -112,18 +113,19 @@ class PublisherFold:
     """A ranking of the newest scores, looked at no more often than ``every`` and given only when it has changed.
 
     Rows: t_us, subject, score (null: the subject is gone). Changed means other subjects, another order, or a score that
-    moved by ``moved`` or more. The state is the subjects' newest scores and the ranking given last, ``most`` long.
+    moved by ``moved`` or more. The state is the subjects' newest scores, by their names as texts, and the ranking given last,
+    ``most`` long; a row replaces one score, and only a look goes through them all.
     """
 
     def __init__(self, every: int, most: int = 10, moved: float = 0.0):
         self.every, self.most, self.moved = every, most, moved
 
     def start(self) -> dict:
-        return {"scores": [], "run": None, "given": None, "version": 0}
+        return {"scores": {}, "run": None, "given": None, "version": 0}
 
     def _look(self, state: dict, t: int) -> list[tuple]:
         state["run"] = t
-        top = sorted(state["scores"], key=lambda s: (-s[1], s[0]))[: self.most]
+        top = heapq.nsmallest(self.most, state["scores"].values(), key=lambda s: (-s[1], s[0]))
         given = state["given"]
         if given is not None and [s for s, _ in top] == [s for s, _ in given] and all(abs(a - b) < self.moved or a == b for (_, a), (_, b) in zip(top, given, strict=True)):
             return []
@@ -134,7 +136,10 @@ class PublisherFold:
     def step(self, state: dict, row: tuple) -> list[tuple]:
         t, subject, score = row
         out = self._look(state, state["run"] + self.every) if state["run"] is not None and t - state["run"] >= self.every else []
-        state["scores"] = [s for s in state["scores"] if s[0] != subject] + ([[subject, score]] if score is not None else [])
+        if score is None:
+            state["scores"].pop(str(subject), None)
+        else:
+            state["scores"][str(subject)] = [subject, score]
         return out + (self._look(state, t) if state["run"] is None or t - state["run"] >= self.every else [])
 
     def end(self, state: dict) -> tuple:

@@ -119,3 +119,14 @@ def test_noise_of_quantisation_and_clock_errors(spark):
     got = [r.p for r in df.select(L.ppm_from_line(F.col("m"), F.col("s"), F.col("n")).alias("p")).collect()]
     assert (got[0].ppm, got[0].sigma) == (pytest.approx(10), pytest.approx(5)) and got[1:] == [None, None]
     assert df.select(L.corrected(F.lit(100.001), F.lit(10.0))).first()[0] == pytest.approx(100.0)
+
+
+def test_a_row_replaces_one_score_and_no_other():
+    fold = A.PublisherFold(1000, 2)
+    state = fold.start()
+    fold.step(state, (0, 7, 1.0))
+    held = state["scores"]
+    for k in range(100):
+        fold.step(state, (1 + k, k, float(k)))
+    assert state["scores"] is held and len(held) == 100  # the table of scores isn't made anew by each row
+    assert fold.step(state, (1000, 99, None)) == [(2, 1000, 1, 99, 99.0), (2, 1000, 2, 98, 98.0)] and len(held) == 99
