@@ -84,8 +84,11 @@ def level_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("channel").orderBy("start_us", "event_id")
     key = F.struct("tier", F.floor(F.col("cell") / 10).alias("band"))
     v = visits(spark, sf_dir).withColumn("key", key).withColumns({"key0": F.lag("key").over(by), "l0": F.lag("level").over(by)})
-    because = F.when(F.col("key0").isNotNull(), L.incomparable_because(F.col("key"), F.col("key0"), {"tier": "different tier", "band": "different band"}))
-    ppm = L.ppm_from_line(F.col("level"), F.lit(1.0), F.col("l0"))["ppm"]
+    known = lambda a, b: F.struct(*(F.coalesce(F.col(f"{a}.{f}"), F.col(f"{b}.{f}")).alias(f) for f in ("tier", "band")))  # noqa: E731  # what isn't known differs from nothing
+    because = F.when(F.col("key0").isNotNull(), L.incomparable_because(known("key", "key0"), known("key0", "key"), {"tier": "different tier", "band": "different band"}))
+    level, l0 = F.col("level"), F.col("l0")
+    beyond = F.when(l0 == 0, level * F.lit(float("inf"))).otherwise((level / l0 - 1) * 1e6)  # a last level of 0 is infinitely far away
+    ppm = F.coalesce(L.ppm_from_line(level, F.lit(1.0), l0)["ppm"], beyond)
     noise = L.quantisation_noise(1000.0 + F.col("cell"), F.lit(256), 1.5)["dbfs_per_bin"]
     return v.select("event_id", because.alias("reason"), F.round(ppm, 3).alias("ppm"), F.round(noise, 6).alias("noise_dbfs"))
 

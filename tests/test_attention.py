@@ -130,3 +130,22 @@ def test_a_row_replaces_one_score_and_no_other():
         fold.step(state, (1 + k, k, float(k)))
     assert state["scores"] is held and len(held) == 100  # the table of scores isn't made anew by each row
     assert fold.step(state, (1000, 99, None)) == [(2, 1000, 1, 99, 99.0), (2, 1000, 2, 98, 98.0)] and len(held) == 99
+
+
+def test_levels_are_compared_as_sql_does(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from spectraloom.plans import ORACLE_SQL, QUERIES
+
+    rows = [("view", 1.5, 3), ("view", 0.0, 3), ("view", 2.0, 3), ("view", 0.0, None), ("view", 0.0, 4), (None, -1.0, 44), ("click", None, 45), ("click", 7.0, 46), ("view", 7.0, 46)]
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at + datetime.timedelta(minutes=i), 1, t, x, "{}" if k is None else f'{{"k": {k}}}') for i, (t, x, k) in enumerate(rows)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = QUERIES["level_comparisons"](spark, str(tmp_path))
+    want = duck.sql(ORACLE_SQL["level_comparisons"]).select(*got.columns).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert any(repr(r).count("inf") for r in want)
