@@ -6,31 +6,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.operators.graph import connected_components
-from spectraloom.sources.shared import written
+from spectraloom.sources.shared import Steps, written
 
 
-def neighbours(points: DataFrame, row: str, x: str, y: str, reach: float) -> DataFrame:
-    """a, b: pairs of rows at most ``reach`` apart, both ways and each with itself, by a grid of cells of that size."""
-    cell = lambda c, d=0: F.floor(F.col(c) / reach) + d
-    a = points.select(F.col(row).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x).alias("i"), cell(y).alias("j"))
-    steps = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1))))
-    b = points.select(F.col(row).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(x).alias("i0"), cell(y).alias("j0"), steps.alias("s"))
-    b = b.select("b", "bx", "by", (F.col("i0") + F.col("s.p")).alias("i"), (F.col("j0") + F.col("s.q")).alias("j"))
-    near = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= reach * reach
-    return a.join(b, ["i", "j"]).where(near).select("a", "b")
+#: Cells a reach: two rows of one cell are in reach of each other, and rows in reach lie at most two cells apart each way.
+_CELLS = 1.5
+
+
+def _around(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """Each row of cells i, j once for each step, ``near_i`` and ``near_j`` being the cell there."""
+    step = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in steps)))
+    return df.withColumn("__s", step).withColumns({"near_i": F.col("i") + F.col("__s.p"), "near_j": F.col("j") + F.col("__s.q")}).drop("__s")
+
+
+def _linked(cores: DataFrame, reach: float, steps: Steps) -> DataFrame:
+    """cell, cluster: cells of cores (named by their least core) and the least of the cells that their links lead to.
+
+    Cells next to each other are linked if two of their cores are in reach. The outermost cores of eight directions mostly tell; only
+    where they don't, and the cells aren't in one cluster anyway, cores meet in pairs: those in reach of the other cell's bounds.
+    """
+    ways = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1)]
+    outer = F.array(*(F.max_by(F.struct("x", "y"), F.struct(p * F.col("x") + q * F.col("y"), "x", "y")) for p, q in ways))
+    cells = cores.groupBy("i", "j").agg(F.min("row").alias("cell"), outer.alias("outer"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    cells = steps.written(cells, "cells")
+    half = [(p, q) for p in range(3) for q in range(-2, 3) if (p, q) > (0, 0)]
+    there = cells.select(F.col("i").alias("near_i"), F.col("j").alias("near_j"), F.col("cell").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("outer", "x0", "x1", "y0", "y1")))
+    two = _around(cells.withColumnRenamed("cell", "a"), half).join(there, ["near_i", "near_j"])
+    beside = lambda c: F.greatest(F.col(f"{c}0") - F.col(f"b_{c}1"), F.col(f"b_{c}0") - F.col(f"{c}1"), F.lit(0.0))
+    two = two.where(F.pow(beside("x"), 2) + F.pow(beside("y"), 2) <= reach * reach * (1 + 1e-9))
+    meet = F.exists("outer", lambda u: F.exists("b_outer", lambda v: F.pow(u["x"] - v["x"], 2) + F.pow(u["y"] - v["y"], 2) <= reach * reach))
+    two = steps.written(two.select("a", "b", meet.alias("sure"), *(F.struct(*(F.col(f"{o}{c}").alias(c) for c in ("x0", "x1", "y0", "y1"))).alias(f"{n}_box") for n, o in (("a", ""), ("b", "b_")))), "cell_pairs")
+    sure = two.where("sure").select("a", "b")
+    roots = steps.written(connected_components(sure), "roots")
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    open_ = two.where("not sure").join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    places = cores.select("i", "j", "x", "y").distinct().join(cells.select("i", "j", "cell"), ["i", "j"]).select("cell", "x", "y")
+
+    def side(one: str, other: str) -> DataFrame:
+        off = lambda c: F.greatest(F.col(f"{other}_box.{c}0") - F.col(c), F.col(c) - F.col(f"{other}_box.{c}1"), F.lit(0.0))
+        met = open_.join(places.withColumnRenamed("cell", one), one).where(F.pow(off("x"), 2) + F.pow(off("y"), 2) <= reach * reach * (1 + 1e-9))
+        return met.select("a", "b", F.col("x").alias(f"{one}x"), F.col("y").alias(f"{one}y"))
+
+    close = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= reach * reach
+    found = side("a", "b").join(side("b", "a"), ["a", "b"]).where(close).select("a", "b").distinct()
+    ends = steps.written(connected_components(sure.unionByName(found)), "clusters")
+    return cells.select("i", "j", "cell").join(ends, F.col("cell") == F.col("node"), "left").select("i", "j", F.coalesce("root", "cell").alias("cluster"))
 
 
 def density_clusters(points: DataFrame, row: str, x: str, y: str, reach: float, least: int) -> DataFrame:
     """row, cluster: rows with ``least`` rows within reach, themselves included, are cores; cores in reach share a cluster,
-    named by its least core; other rows join the least cluster in reach, or none (null)."""
-    pairs = written(neighbours(points, row, x, y, reach), "pairs")
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a")
-    of_core = pairs.join(core, "a").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    roots = connected_components(of_core.select("a", "b"))
-    named = core.join(roots, F.col("a") == F.col("node"), "left").select(F.col("a").alias("core"), F.coalesce("root", "a").alias("cluster"))
-    joined = pairs.join(named, F.col("b") == F.col("core")).groupBy("a").agg(F.min("cluster").alias("near"))
-    out = joined.join(named.withColumnRenamed("cluster", "own"), F.col("a") == F.col("core"), "left").select("a", F.coalesce("own", "near").alias("cluster"))
-    return points.select(F.col(row)).join(out, F.col(row) == F.col("a"), "left").select(row, "cluster")
+    named by its least core; other rows join the least cluster in reach, or none (null).
+
+    Pairs of rows aren't made. Rows at one place count as one with a weight, and a cell of a grid whose rows are all in reach of each
+    other holds only cores once it has ``least`` of them; so only rows of cells with fewer look at the cells around, and a row meets
+    at most ``least`` rows of each of those. Clusters are components of cells.
+    """
+    steps = Steps(points.sparkSession)
+    at = lambda c: F.floor(F.col(c) * _CELLS / reach)
+    known = points.select(F.col(row).alias("row"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(F.col("row").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    places = known.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("row").alias("row")).withColumns({"i": at("x"), "j": at("y")})
+    places = steps.written(places, "places")
+    held = places.groupBy("i", "j").agg(F.sum("n").alias("held"))
+    counted = steps.written(places.join(held, ["i", "j"]), "counted")
+    around = [(p, q) for p in range(-2, 3) for q in range(-2, 3)]
+    near = F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2) <= reach * reach
+    few = _around(counted.where(F.col("held") < least), around)
+    others = counted.select(F.col("i").alias("near_i"), F.col("j").alias("near_j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("n").alias("m"))
+    seen = few.join(others, ["near_i", "near_j"]).where(near).groupBy("x", "y").agg(F.sum("m").alias("seen"))
+    cored = counted.join(seen, ["x", "y"], "left").withColumn("core", (F.col("held") >= least) | (F.coalesce("seen", F.lit(0)) >= least))
+    cored = steps.written(cored.select("x", "y", "i", "j", "row", "core"), "cores")
+    cluster = _linked(cored.where("core"), reach, steps)
+    own = cored.where("core").join(cluster, ["i", "j"]).select("x", "y", "cluster", "i", "j")
+    of_core = own.select(F.col("i").alias("near_i"), F.col("j").alias("near_j"), F.col("x").alias("bx"), F.col("y").alias("by"), "cluster")
+    rim = _around(cored.where("not core"), around).join(of_core, ["near_i", "near_j"]).where(near).groupBy("x", "y").agg(F.min("cluster").alias("cluster"))
+    named = written(own.select("x", "y", "cluster").unionByName(rim), "named")
+    steps.drop()
+    found = points.select(F.col(row), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    return found.join(named, (F.col("__x") == named["x"]) & (F.col("__y") == named["y"]), "left").select(row, "cluster")
 
 
 #: The largest posterior of the unknown and of any other class, and how many times the runner-up dominant evidence is. Fixed values.

@@ -278,6 +278,32 @@ def test_density_clusters_equal_brute_force(spark):
     assert got == want
 
 
+def test_density_clusters_of_copies_lines_and_odd_places(spark):
+    from spectraloom.operators import clusters as C
+
+    rng = random.Random(5)
+    points = [(rng.choice([0.0, 0.9, 1.8, 2.7]), rng.randrange(60) / 7) for _ in range(150)] + [(5 + k / 4, 3.0) for k in range(20)] + [(10.7 + k / 4, 3.5) for k in range(9)] + [(rng.random() * 12, 9 + rng.random() * 4) for _ in range(90)]
+    points += [(30.0, 30.0)] * 5 + [(30.0, 31.0), (31.0, 31.0), (-0.0, -5.0), (0.0, -5.0)] + [(float("nan"), 0.0), (float("inf"), 0.0), (None, 0.0)]
+    points = [(i, *p) for i, p in enumerate(rng.sample(points, len(points)))]
+    for least in (1, 3, 5):
+        df = spark.createDataFrame(points, "i long, x double, y double")
+        got = {r.i: r.cluster for r in C.density_clusters(df, "i", "x", "y", 1.0, least).collect()}
+        near = {a: [b for b, u, v in points if None not in (x, u) and (x - u) * (x - u) + (y - v) * (y - v) <= 1] for a, x, y in points}
+        cores = {a for a in near if len(near[a]) >= least}
+        root = {a: a for a in cores}
+        while any(root[b] < root[a] for a in cores for b in near[a] if b in cores):
+            root = {a: min(root[b] for b in near[a] if b in cores) for a in cores}
+        assert got == {a: root[a] if a in cores else min((root[b] for b in near[a] if b in cores), default=None) for a in near}, least
+
+
+def test_density_clusters_of_crowds_make_no_pairs(spark):
+    from spectraloom.operators import clusters as C
+
+    crowd = spark.range(120_000).selectExpr("id as i", "cast(id % 2 * 1.5 + (id * 7919 % 60000) / 120000 as double) as x", "cast((id * 104729 % 60000) / 120000 as double) as y")  # 3.6e9 pairs in each
+    got = C.density_clusters(crowd, "i", "x", "y", 1.0, 4).groupBy("cluster").count().collect()
+    assert sorted((r["cluster"], r["count"]) for r in got) == [(0, 60_000), (1, 60_000)]
+
+
 def test_frame_inference(spark):
     frames = spark.createDataFrame([(1, bytearray(b"abcXab")), (2, bytearray(b"abcYcd")), (3, bytearray(b"a"))], "i int, raw binary")
     words = {bytes.fromhex(r.word): (r.frames, r.places) for r in B.word_hunt(frames, "i", "raw", 2).collect()}
