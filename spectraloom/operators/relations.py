@@ -22,6 +22,23 @@ def harmonic_line(df: DataFrame, keys: list[str], index: str, f: str) -> DataFra
     return df.groupBy(*keys).agg(slope.alias("spacing"), offset.alias("offset"), F.when(n > 2, F.sqrt(F.greatest(sse, F.lit(0.0)) / (n - 2))).alias("sigma"), n.alias("n"))
 
 
+def distinct_pairs(left: DataFrame, right: DataFrame, a: str, b: str, on: list[str]) -> DataFrame:
+    """Distinct a, b of rows with equal values of ``on``. Ids aren't null.
+
+    A pair can come twice only where both its ids have several values, so repeats are dropped before the join, and after it only
+    among such ids' pairs; what else the join gives isn't held.
+    """
+
+    def once(df: DataFrame, c: str) -> DataFrame:
+        rows = df.select(c, *on).dropna().distinct()
+        return rows.withColumn(f"__{c}", F.count("*").over(Window.partitionBy(c)) > 1)
+
+    one, two = once(left, a), once(right, b)
+    several = F.col(f"__{a}") & F.col(f"__{b}")
+    pairs = one.join(two, on).where(~several).select(a, b)
+    return pairs.unionByName(one.where(f"__{a}").join(two.where(f"__{b}"), on).select(a, b).distinct())
+
+
 def retune_groups(centres: np.ndarray, oscillators: np.ndarray, width: float, least: int) -> np.ndarray:
     """For each centre the slope index it is claimed by, or -1.
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from spectraloom.operators import clusters as C
 from spectraloom.operators import frames as B
 from spectraloom.operators import intervals as I
+from spectraloom.operators import relations as R
 from spectraloom.plans.observation import DAY, ISLANDS, SPAN
 from spectraloom.plans.registry import query
 from spectraloom.sources.tables import VISITS_SQL, micros, table, visits
@@ -198,7 +199,7 @@ def relation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct related ids without those of another rule."""
     a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("k"), F.floor(F.col("s_acctbal") / 100).alias("q"))
     b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b"), F.col("c_nationkey").alias("k"), F.floor(F.col("c_acctbal") / 100).alias("q"))
-    return a.join(b, ["k", "q"]).where("b % 2 <> 0").select("a", "b").distinct()
+    return R.distinct_pairs(a, b.where("b % 2 <> 0"), "a", "b", ["k", "q"])
 
 
 @query(f"""WITH {VISITS_SQL}, a AS (SELECT event_id, cell * 10 + level AS f FROM v WHERE tier = 'purchase' AND cell IS NOT NULL), k AS (SELECT event_id, f, unnest(range(-3, 4)) AS k FROM a)

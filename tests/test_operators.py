@@ -304,6 +304,19 @@ def test_density_clusters_of_crowds_make_no_pairs(spark):
     assert sorted((r["cluster"], r["count"]) for r in got) == [(0, 60_000), (1, 60_000)]
 
 
+def test_distinct_pairs_hold_no_pair_that_cannot_repeat(spark):
+    from spectraloom.operators import relations as R
+
+    rng = random.Random(8)
+    left = [(rng.randrange(12), rng.choice([0, 1, 2, None]), rng.randrange(3)) for _ in range(25)] + [(100 + k, 0, 0) for k in range(5)]
+    right = [(rng.randrange(12), rng.choice([0, 1, 2, None]), rng.randrange(3)) for _ in range(25)] + [(200 + k, 0, 0) for k in range(5)]
+    got = R.distinct_pairs(spark.createDataFrame(left, "a long, k long, q long"), spark.createDataFrame(right, "b long, k long, q long"), "a", "b", ["k", "q"])
+    want = {(a, b) for a, k, q in left for b, l, r in right if k is not None and (k, q) == (l, r)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    many = spark.range(3000).selectExpr("id as a", "0 as k"), spark.range(20_000).selectExpr("id as b", "0 as k")
+    assert R.distinct_pairs(*many, "a", "b", ["k"]).groupBy().agg({"*": "count"}).first()[0] == 60_000_000
+
+
 def test_frame_inference(spark):
     frames = spark.createDataFrame([(1, bytearray(b"abcXab")), (2, bytearray(b"abcYcd")), (3, bytearray(b"a"))], "i int, raw binary")
     words = {bytes.fromhex(r.word): (r.frames, r.places) for r in B.word_hunt(frames, "i", "raw", 2).collect()}
