@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spectraloom.sources.shared import spread
+
 Row = tuple[Any, ...]
 
 
@@ -76,4 +78,4 @@ def carried(df: DataFrame, keys: list[str], columns: list[str], fold: Fold, resu
 
     schema = schema_of(df, keys, result)
     by = [F.asc_nulls_first(c) for c in [*keys, *(order or columns)]]
-    return df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*by).mapInArrow(scan(fold, len(keys), to_arrow_schema(schema)), schema)
+    return spread(df.select(*keys, *columns), *keys).sortWithinPartitions(*by).mapInArrow(scan(fold, len(keys), to_arrow_schema(schema)), schema)

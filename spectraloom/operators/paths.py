@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spectraloom.sources.shared import spread
+
 
 @dataclass(frozen=True)
 class PathRule:
@@ -132,6 +134,7 @@ def traced_paths(detections: DataFrame, device: str, row: str, start: str, end:
     Detections with a null, without length or without width trace nothing. ``row`` is unique and a bigint.
     """
     d = detections.select(device, F.col(row).alias("id"), *[F.col(c).cast("double").alias(a) for c, a in ((start, "start"), (end, "end"), (centre, "f"), (width, "w"))]).where("id is not null and end > start and w > 0 and f is not null")
+    d = spread(d, device)
     by = Window.partitionBy(device).orderBy("start", "f", "id")
     reach = F.max(F.col("end") + F.greatest(rule.gap * (F.col("end") - F.col("start")), F.lit(rule.least_gap))).over(by.rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("__new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("__stretch", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectraloom.sources.shared import written
+from spectraloom.sources.shared import spread, written
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -240,4 +240,4 @@ def periods(df: DataFrame, key: str, t: str) -> DataFrame:
     def fold(k: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(k[0], *fold_period(frame[t].to_numpy()))], columns=[key, "period", "jitter", "confidence"])
 
-    return df.select(key, t).groupBy(key).applyInPandas(fold, f"{key} {kind}, period double, jitter double, confidence double")
+    return spread(df.select(key, t), key).groupBy(key).applyInPandas(fold, f"{key} {kind}, period double, jitter double, confidence double")

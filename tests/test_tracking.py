@@ -158,3 +158,26 @@ def test_queries_of_tracks_agree(spark):
     sf = "/root/testdata/sf0.001"
     batch = sorted(map(str, QUERIES["burst_tracks"](spark, sf).collect()))
     assert batch == sorted(map(str, QUERIES["stream_tracks"](spark, sf).collect())) and any("'merge'" in r or "'close'" in r for r in batch)
+
+
+def test_the_nearest_of_many_clusters_is_found_as_defined():
+    from spectraloom.operators.assigning import ClusterFold
+
+    rng = random.Random(12)
+    fold, state = ClusterFold([4.0, 1.0, 0.6, 4.0]), []
+    for i in range(1500):
+        fields = [None if rng.random() < 0.1 else {"value": float(rng.choice([rng.randrange(60), rng.gauss(20, 9)])), "spread": rng.choice([None, 0.5, 2.0])} for _ in range(4)]
+        asked = [None if f is None else (f["value"], f["spread"] or 0.0) for f in fields]
+        want = min(((d, k) for k, c in enumerate(state) if (d := fold._distance(asked, c)) is not None and d <= 1), default=None)
+        ((_, cluster, distance, founded, _),) = fold.step(state, (i, i, fields))
+        assert (cluster, distance, founded) == ((len(state), None, True) if want is None else (want[1] + 1, want[0], False))
+    assert len(state) > 200 and fold._means(state).shape[0] == len(state)
+
+
+def test_folds_keep_their_tasks(spark):
+    from spectraloom.operators.attention import published
+
+    few = spark.range(2000).selectExpr("id % 400 as site", "id as t_us", "id as subject", "cast(1 as double) as score")
+    out = published(few, ["site"], 10)
+    out.count()
+    assert out.rdd.getNumPartitions() >= 32  # few bytes, but each row is work for Python
