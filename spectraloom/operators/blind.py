@@ -212,13 +212,16 @@ def best_grid(f: np.ndarray, span: float, near: float, least: float, widest: flo
             if not inside.any():
                 break
         most = count.max(axis=1) + 1
-        chance = tails(n - 1, np.clip(arc[:, 0], 1e-300, 1 - 1e-12))[np.arange(len(part)), most - 1]
-        k = int(np.argmin(chance))
-        if chance[k] < best[0]:
+        tried = np.arange(len(part))
+        if most.max() > 1:  # of equally many members the finest arc is the least likely, and arcs grow
+            tried = np.sort(np.unique(most, return_index=True)[1])
+        chances = tails(n - 1, np.clip(arc[tried, 0], 1e-300, 1 - 1e-12))[np.arange(len(tried)), most[tried] - 1]
+        k, chance = int(tried[np.argmin(chances)]), float(chances.min())
+        if chance < best[0]:
             start = int(count[k].argmax())
             held = np.zeros(n, bool)
             held[order[k][(start + np.arange(most[k])) % n]] = True
-            best = (float(chance[k]), at + k, held)
+            best = (chance, at + k, held)
     _, k, held = best
     step = 1 / float(u[k])
     on = f[held]
