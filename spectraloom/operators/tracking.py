@@ -95,7 +95,7 @@ class BurstTracker:
         return out
 
     def _opened(self, state: dict, burst: list) -> dict:
-        track = {"id": state["next"], "n": 1, "on": burst[END] - burst[START], "first": burst[START], "last": burst[END], "gaps": 0, "away": state["away"], "away0": state["away"], "bursts": [burst], "open": False, "links": [], "kin": []}
+        track = {"id": state["next"], "n": 1, "on": burst[END] - burst[START], "first": burst[START], "last": burst[END], "gaps": 0, "away": state["away"], "away0": state["away"], "bursts": [burst], "shape": None, "open": False, "links": [], "kin": []}
         state["next"] += 1
         state["tracks"].append(track)
         return track
@@ -105,6 +105,7 @@ class BurstTracker:
         track["n"] += 1
         track["on"] += burst[END] - burst[START]
         track["bursts"] = [*track["bursts"], burst][-self.rules.kept :]
+        track["shape"] = None
 
     def _link(self, track: dict, detection: int, at: int, out: list) -> None:
         row = (track["id"], "link", at, detection, None, track["n"], None, None, None)
@@ -121,9 +122,11 @@ class BurstTracker:
             track["links"] = []
 
     @staticmethod
-    def _shape(track: dict) -> tuple[float, float]:
-        """Mean centre and width of the bursts kept."""
-        return fmean(b[CENTRE] for b in track["bursts"]), fmean(b[WIDTH] for b in track["bursts"])
+    def _shape(track: dict) -> list[float]:
+        """Mean centre and width of the bursts kept, worked out once for each change of them."""
+        if track["shape"] is None:
+            track["shape"] = [fmean([b[CENTRE] for b in track["bursts"]]), fmean([b[WIDTH] for b in track["bursts"]])]
+        return track["shape"]
 
     def _gate(self, width: float) -> float:
         return max(self.rules.gate_bins * self.rules.bin, self.rules.gate_share * width)
@@ -131,10 +134,13 @@ class BurstTracker:
     def _nearest(self, tracks: list[dict], burst: list) -> dict | None:
         best = None
         for track in tracks:
-            centre, width = self._shape(track)
-            apart, ratio, gate = abs(centre - burst[CENTRE]), max(width, burst[WIDTH]) / min(width, burst[WIDTH]), self._gate(max(width, burst[WIDTH]))
-            inside = apart <= min(width, burst[WIDTH]) / 2  # each centre lies within the other
-            if ratio <= self.rules.width_ratio and (apart <= gate or inside):
+            centre, width = track["shape"] or self._shape(track)
+            narrow, wide = (width, burst[WIDTH]) if width <= burst[WIDTH] else (burst[WIDTH], width)
+            apart, ratio = abs(centre - burst[CENTRE]), wide / narrow
+            if ratio > self.rules.width_ratio:
+                continue
+            gate = self._gate(wide)
+            if apart <= gate or apart <= narrow / 2:  # within the gate, or each centre lies within the other
                 cost = (apart / gate + math.log2(ratio), track["id"])
                 if best is None or cost < best[0]:
                     best = (cost, track)
@@ -165,15 +171,17 @@ class BurstTracker:
         """A burst has its whole length now: where did it hop from, and do the bursts still belong together?"""
         burst, rules = track["bursts"][-1], self.rules
         dwell, best = burst[END] - burst[START], None
+        reach, start = max(rules.hop_us, rules.hop_share * dwell), burst[START]
         for other in state["tracks"]:
-            centre, width = self._shape(other)
-            if other is track or abs(centre - burst[CENTRE]) < (width + burst[WIDTH]) / 2:
+            centre, width = other["shape"] or self._shape(other)
+            if other is track or abs(centre - burst[CENTRE]) < (width + burst[WIDTH]) / 2 or max(width, burst[WIDTH]) > rules.hop_ratio * min(width, burst[WIDTH]):
                 continue
             for b in other["bursts"]:
+                away = abs(start - b[END])
+                if away > reach:
+                    continue
                 stay = b[END] - b[START]
-                alike = max(width, burst[WIDTH]) <= rules.hop_ratio * min(width, burst[WIDTH]) and max(stay, dwell) <= rules.hop_ratio * min(stay, dwell)
-                away = abs(burst[START] - b[END])
-                if alike and away <= max(rules.hop_us, rules.hop_share * dwell) and (best is None or (away, other["id"]) < best[0]):
+                if max(stay, dwell) <= rules.hop_ratio * min(stay, dwell) and (best is None or (away, other["id"]) < best[0]):
                     best = ((away, other["id"]), other)
         if best:
             for one in (best[1], track):
@@ -199,8 +207,9 @@ class BurstTracker:
         less, more = sorted((low, high), key=len)
         gone = [bursts[k] for k in less]
         new = self._opened(state, gone[0])
-        new |= {"n": len(gone), "on": sum(b[END] - b[START] for b in gone), "first": gone[0][START], "last": gone[-1][END], "gaps": gone[-1][START] - gone[0][START], "bursts": gone, "open": True, "kin": [track["id"], *track["kin"]]}
+        new |= {"n": len(gone), "on": sum(b[END] - b[START] for b in gone), "first": gone[0][START], "last": gone[-1][END], "gaps": gone[-1][START] - gone[0][START], "bursts": gone, "shape": None, "open": True, "kin": [track["id"], *track["kin"]]}
         track["bursts"] = [bursts[k] for k in more]
+        track["shape"] = None
         track["n"] -= len(gone)
         track["on"] -= new["on"]
         track["last"] = max(b[END] for b in track["bursts"])
@@ -213,15 +222,17 @@ class BurstTracker:
     def _merge(self, state: dict, track: dict, out: list) -> None:
         centre, width = self._shape(track)
         for other in sorted(state["tracks"], key=lambda t: t["id"]):
-            c, w = self._shape(other)
-            near = abs(c - centre) <= self.rules.merge_gates * self._gate(max(w, width)) and max(w, width) <= self.rules.merge_ratio * min(w, width)
+            c, w = other["shape"] or self._shape(other)
+            if other is track or abs(c - centre) > self.rules.merge_gates * self._gate(max(w, width)) or max(w, width) > self.rules.merge_ratio * min(w, width):
+                continue
             kin = other["id"] in track["kin"] or track["id"] in other["kin"]
-            if other is track or not near or kin or any(a[START] <= b[END] and b[START] <= a[END] for a in track["bursts"] for b in other["bursts"]):
+            if kin or any(a[START] <= b[END] and b[START] <= a[END] for a in track["bursts"] for b in other["bursts"]):
                 continue
             old, young = sorted((track, other), key=lambda t: (not t["open"], t["id"]))
             state["tracks"].remove(young)
             first, last = sorted((old, young), key=lambda t: t["bursts"][-1][START])
             old["bursts"] = sorted([*old["bursts"], *young["bursts"]])[-self.rules.kept :]
+            old["shape"] = None
             old["gaps"] = max(old["first"] + old["gaps"], young["first"] + young["gaps"]) - min(old["first"], young["first"])
             old |= {"n": old["n"] + young["n"], "on": old["on"] + young["on"], "away": last["away"], "away0": min(old["away0"], young["away0"])}
             old |= {"first": min(old["first"], young["first"]), "last": max(old["last"], young["last"]), "kin": [*old["kin"], *young["kin"]]}
