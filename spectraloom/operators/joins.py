@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectraloom.functions.scalar import clip
-from spectraloom.sources.shared import Steps, scratch, written
+from spectraloom.sources.shared import Steps, scratch, spread, written
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, t: str, value: str, tie: str) -> DataFrame:
@@ -62,12 +62,28 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], first: str, last: st
 
 
 def time_bucket_pairs(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], t_left: str, t_right: str, window: int) -> DataFrame:
-    """Pairs by equal keys whose times are at most ``window`` apart: the right side goes to its bucket and both neighbours."""
+    """Pairs by equal keys whose times are at most ``window`` apart: the right side goes to its bucket and both neighbours.
+
+    A few rows give many pairs, so the join keeps its tasks, whatever its rows' bytes.
+    """
+    a = spread(left.withColumn("__a", F.floor(F.col(t_left) / window)), "__a", *(x for x, _ in on))
     b = right.withColumn("__b", F.explode(F.sequence(F.floor(F.col(t_right) / window) - 1, F.floor(F.col(t_right) / window) + 1)))
-    same = F.floor(F.col(t_left) / window) == F.col("__b")
+    same = F.col("__a") == F.col("__b")
     for x, y in on:
         same = same & (F.col(x) == F.col(y))
-    return left.join(b, same & (F.abs(F.col(t_left) - F.col(t_right)) <= window)).drop("__b")
+    return a.join(spread(b, "__b", *(y for _, y in on)), same & (F.abs(F.col(t_left) - F.col(t_right)) <= window)).drop("__a", "__b")
+
+
+def longitude_cells(lat: Column, lon: Column, km: float, rise: float, width: int) -> Column:
+    """The cells of longitude, ``width`` degrees each from -180, in which places at most ``km`` away and ``rise`` degrees up or down may lie.
+
+    Such a place has (sin(km / 2R))^2 >= cos(lat) cos(its lat) (sin(dlon / 2))^2. Near a pole, and beyond it, it may be anywhere.
+    """
+    edge = F.abs(lat) + rise
+    sine = F.sin(F.lit(km / 2 / 6371.0)) / F.sqrt(F.cos(F.radians(lat)) * F.cos(F.radians(edge)))
+    reach = F.when((edge < 80) & (sine < 1), F.degrees(2 * F.asin(sine)) + 1e-6).otherwise(F.lit(180.0))
+    cell = lambda x: F.floor((x + 180) / width)
+    return F.array_distinct(F.transform(F.sequence(cell(lon - reach), cell(lon + reach)), lambda c: F.pmod(c, F.lit(360 // width).cast("long"))))
 
 
 def greedy_one_to_one(pairs: DataFrame, a: str, b: str, cost: str) -> DataFrame:
