@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spectraloom.sources.shared import spread
+
 
 def overlaps(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
     """Closed intervals meet, touching included."""
@@ -31,13 +33,15 @@ def _islands(df: DataFrame, keys: list[str], lo: str, hi: str, strict: bool, fla
 def merge(df: DataFrame, keys: list[str], lo: str, hi: str, block: int | None = None, strict: bool = False, flags: list[str] | None = None) -> DataFrame:
     """keys, lo, hi, n (intervals merged) and the flags, true where any part's is.
 
-    Touching intervals join, unless ``strict``. ``block`` is the length of the axis by which work is first spread.
+    Touching intervals join, unless ``strict``. ``block`` is the length of the axis by which work is first spread. Intervals are
+    few bytes in a shuffle and many in a sort, so tasks aren't joined by their bytes.
     """
     flags = flags or []
     df = df.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(*keys, lo, hi, F.lit(1).cast("long").alias("n"), *flags)
     if block:
-        df = _islands(df.withColumn("__block", F.floor(F.col(lo) / block)), [*keys, "__block"], lo, hi, strict, flags, "n").drop("__block")
-    return _islands(df, keys, lo, hi, strict, flags, "n")
+        df = spread(df.withColumn("__block", F.floor(F.col(lo) / block)), *keys, "__block")
+        df = _islands(df, [*keys, "__block"], lo, hi, strict, flags, "n").drop("__block")
+    return _islands(spread(df, *keys) if keys else df, keys, lo, hi, strict, flags, "n")
 
 
 def gaps(merged: DataFrame, keys: list[str], lo: str, hi: str, span_lo, span_hi, least: int = 1, asked: DataFrame | None = None) -> DataFrame:
