@@ -13,8 +13,9 @@ The target share of a level is its share of tokens to the power ``ALPHA``, scale
 Targets that contradict each other can't be met: ``residual`` tells how far a fit is from them, and a fit that is further
 off than ``TOLERANCE`` is warned of.
 
-The cells, not the documents, go through the sweeps, by windows over their few columns; the fitted rates are joined to the
-documents by whichever join the planner finds their size fit for. Anchors are bounded: a language needs a thousandth of
+The cells, not the documents, go through the sweeps, by windows over their few columns, and are written after each, so that
+the driver plans one sweep at a time; the fitted rates are joined to the documents by whichever join the planner finds their
+size fit for. Anchors are bounded: a language needs a thousandth of
 all documents to have any, so they are ``ANCHORS`` times a thousand at most and travel by broadcast.
 
 Defined results: a null source or language is the level ''; a null or empty text has no tokens and the topic ''; a text
@@ -134,7 +135,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     for d in DIMENSIONS:
         cells = cells.join(targets[d].select(F.col("level").alias(d), F.col("share").alias(f"to_{d}")), d, "left")
     swept = cells.withColumn("w", F.col("n").cast("double"))
-    for _ in range(sweeps):
+    for done in range(sweeps):
+        if done:
+            swept = written(swept, "sweep")
         for d in DIMENSIONS:
             whole = F.sum("w").over(Window.partitionBy(d))
             swept = swept.withColumn("w", F.when(whole > 0, F.col("w") * F.coalesce(f"to_{d}", F.lit(0.0)) / whole).otherwise(0.0))

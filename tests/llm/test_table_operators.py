@@ -277,6 +277,25 @@ def test_mixing_meets_targets(spark, documents):
     assert len(again) == len(texts)
 
 
+def test_sweeps_are_planned_one_at_a_time(spark):
+    rng = random.Random(8)
+    cells = {(f"s{i % 5}", f"l{i % 3}", f"t{i % 7}"): rng.randrange(1, 1000) for i in range(60)}
+    df = spark.createDataFrame([(*k, n) for k, n in cells.items()], "source string, lang string, topic string, n long")
+    targets = mixing.power_targets(df)
+    share = {d: {r.level: r.share for r in targets[d].collect()} for d in mixing.DIMENSIONS}
+    want = {k: float(n) for k, n in cells.items()}
+    for _ in range(mixing.SWEEPS):
+        for at, d in enumerate(mixing.DIMENSIONS):
+            whole = collections.Counter()
+            for k, w in want.items():
+                whole[k[at]] += w
+            want = {k: w * share[d][k[at]] / whole[k[at]] for k, w in want.items()}
+    out = mixing.rake(df, targets)
+    assert out._jdf.queryExecution().analyzed().toString().count("Window [") == len(mixing.DIMENSIONS)
+    got = {(r.source, r.lang, r.topic): r.w for r in out.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], w, rel_tol=1e-9) for k, w in want.items())
+
+
 def test_targets_that_cannot_be_met_are_warned_of(spark, documents):
     docs = documents(["one two"] * 6)
     rows = mixing.described(docs)
