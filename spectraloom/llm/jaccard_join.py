@@ -17,7 +17,8 @@
    their incidence, so no pair is written out, and sets of unlike sizes, as a common passage joins them, never meet.
 5. Candidates are verified on whole sets in integers, and links become components.
 
-What reaches the driver is bounded: the bits of the sketch (32 MB at most) and of one membership filter (8 MB at most). No key collects a group in a
+What reaches the driver is bounded: the bits of the sketch (32 MB at most), of one membership filter (8 MB at most) and, where one of
+each component is kept, the words of a filter of the rows that go (2**20 rows of 16 bytes at most). No key collects a group in a
 task: index runs are read from sorted partitions, families are cut into blocks, classes are grouped by partial counts.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component; a text of one to four
@@ -56,6 +57,8 @@ BAND = math.log(1.26)  # of sizes, by their logarithm: similar sets lie in one b
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 21  # 16 MB of hashes
 SEEN_CLASSES = 200_000
+WORDS = 1 << 20  # of the filter of rows that go, 64 bits each
+ROWS_PER_WORD = 4
 
 
 def cell_bits_for(documents: int) -> int:
@@ -463,6 +466,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return _components(docs).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def words_for(members: int) -> int:
+    return min(WORDS, 1 << max(0, (members // ROWS_PER_WORD).bit_length()))
+
+
+def sifted(docs: DataFrame, named: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` that ``named`` (__id, __mark) surely doesn't name, and those that it may: all it names, and a few others.
+
+    Each name sets four bits of one of ``words`` (a power of two) words, which travel by broadcast. Too few words cost time only.
+    """
+    word = lambda h: F.col(h).bitwiseAND(words - 1)
+    bits = lambda h: F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned({h}, {k}) & 63 as int))" for k in (40, 46, 52, 58)))
+    held = named.select(F.xxhash64("__id", "__mark").alias("__h")).groupBy(word("__h").alias("__word")).agg(F.bit_or(bits("__h")).alias("__bits"))
+    met = docs.withColumn("__of", F.xxhash64("doc_id", F.xxhash64("text"))).join(F.broadcast(held), word("__of") == F.col("__word"), "left")
+    may = F.coalesce(F.col("__bits").bitwiseAND(bits("__of")) == bits("__of"), F.lit(False))
+    return met.where(~may).select(*docs.columns), met.where(may).select(*docs.columns)
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of every component, with all its columns: the one with the least doc_id (null ids last).
 
@@ -484,7 +504,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     again = written(again.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), "again")
     steps.drop()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__mark"))
-    left = docs.join(away, same, "left_anti")
+    sure, open_ = sifted(docs, away, words_for(away.count()))  # so that only a few texts besides those that go are shuffled
+    left = sure.unionByName(open_.join(away, same, "left_anti"))
     if again.isEmpty():
         return left
     repeated = docs.join(again, same, "left_semi")

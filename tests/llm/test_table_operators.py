@@ -107,6 +107,27 @@ def test_jaccard_odd_ids(spark, documents):
     assert kept.columns == documents(["x"]).columns
 
 
+def test_rows_that_may_go(spark, documents):
+    docs = documents([(None if i % 97 == 0 else i // 2, f"text {i % 5}" if i % 11 else None) for i in range(4000)])
+    rows = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__mark"))
+    named = rows.where("__id is null or __id % 10 = 3").distinct()
+    gone = {(r["__id"], r["__mark"]) for r in named.collect()}
+    marked = lambda df: [(r.doc_id, r.mark) for r in df.select("doc_id", F.xxhash64("text").alias("mark")).collect()]
+    want = marked(docs)
+    for words in (jaccard_join.words_for(named.count()), 1):
+        sure, may = jaccard_join.sifted(docs, named, words)
+        assert sure.columns == may.columns == docs.columns
+        sure, may = marked(sure), marked(may)
+        assert collections.Counter(sure + may) == collections.Counter(want)
+        assert not gone & set(sure)
+        assert words == 1 or len(may) - sum(x in gone for x in want) < 0.05 * len(want)
+    kept = jaccard_join.keep_one_of_each(documents([(i, f"a b c d e f g h {i % 300}") for i in range(900)], more=False))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bits" in plan[plan.index("LeftAnti") :]  # only rows that the filter lets through meet in the anti join
+    assert jaccard_join.words_for(0) == 1 and jaccard_join.words_for(10**9) == jaccard_join.WORDS
+
+
 def test_sharding_law(spark, documents, odd_texts):
     rows = list(enumerate(odd_texts)) + [(i, f"text {i % 5}") for i in range(20, 900)] + [(None, "x"), (7, "again"), (7, "again")]
     docs = documents(rows, more=False)
