@@ -24,6 +24,20 @@ def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded in binary: half away from zero at ``x * 10**places``, as SQL engines on C's ``round`` have it.
+
+    Spark's own ``round`` goes by the shortest decimal digits of x, which differs where ``x * 10**places`` isn't exact. The
+    sign of a zero stays; what isn't finite, or overflows on the way, is returned as it is.
+    """
+    by = F.lit(10.0**places)
+    up = x * by
+    whole = F.rint(F.abs(up))
+    whole = whole + F.when(F.abs(up) - whole == 0.5, 1.0).otherwise(0.0)  # rint takes halves to even numbers
+    out = F.signum(up) * whole / by
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)
+
+
 def hour_of_week(micros: Column, offset_s: int = 0) -> Column:
     """0 to 167; 0 is Monday 00:00."""
     s = F.floor(micros / 1_000_000) + offset_s

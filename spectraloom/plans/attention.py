@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectraloom.functions import labels as L
+from spectraloom.functions.scalar import rounded
 from spectraloom.operators import attention as A
 from spectraloom.plans.registry import query
 from spectraloom.sources.tables import VISITS_SQL, table, visits
@@ -82,15 +83,15 @@ SELECT event_id, CASE WHEN e0 IS NULL THEN NULL WHEN tier <> t0 THEN 'different
 def level_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a visit's level can't be compared with the channel's last one, what it differs by, and the noise of eight bits at a rate of its cell."""
     by = Window.partitionBy("channel").orderBy("start_us", "event_id")
-    key = F.struct("tier", F.floor(F.col("cell") / 10).alias("band"))
+    key = F.struct("tier", F.expr("cell div 10").alias("band"))
     v = visits(spark, sf_dir).withColumn("key", key).withColumns({"key0": F.lag("key").over(by), "l0": F.lag("level").over(by)})
     known = lambda a, b: F.struct(*(F.coalesce(F.col(f"{a}.{f}"), F.col(f"{b}.{f}")).alias(f) for f in ("tier", "band")))  # noqa: E731  # what isn't known differs from nothing
     because = F.when(F.col("key0").isNotNull(), L.incomparable_because(known("key", "key0"), known("key0", "key"), {"tier": "different tier", "band": "different band"}))
     level, l0 = F.col("level"), F.col("l0")
-    beyond = F.when(l0 == 0, level * F.lit(float("inf"))).otherwise((level / l0 - 1) * 1e6)  # a last level of 0 is infinitely far away
+    beyond = F.when(l0 == 0, level * F.pow(l0, F.lit(-1.0))).otherwise((level / l0 - 1) * 1e6)  # a last level of 0 is infinitely far away, to the side of its sign
     ppm = F.coalesce(L.ppm_from_line(level, F.lit(1.0), l0)["ppm"], beyond)
     noise = L.quantisation_noise(1000.0 + F.col("cell"), F.lit(256), 1.5)["dbfs_per_bin"]
-    return v.select("event_id", because.alias("reason"), F.round(ppm, 3).alias("ppm"), F.round(noise, 6).alias("noise_dbfs"))
+    return v.select("event_id", because.alias("reason"), rounded(ppm, 3).alias("ppm"), rounded(noise, 6).alias("noise_dbfs"))
 
 
 @query(f"""WITH {VISITS_SQL}, r AS (SELECT event_id, channel, start_us, row_number() OVER (ORDER BY start_us, event_id) AS i FROM v WHERE tier = 'view' AND cell BETWEEN 10 AND 60)

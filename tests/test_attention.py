@@ -149,3 +149,24 @@ def test_levels_are_compared_as_sql_does(spark, tmp_path):
     want = duck.sql(ORACLE_SQL["level_comparisons"]).select(*got.columns).fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert any(repr(r).count("inf") for r in want)
+
+
+def test_levels_are_rounded_as_sql_does(spark, tmp_path):
+    import datetime
+    import random
+
+    import duckdb
+
+    from spectraloom.plans import ORACLE_SQL, QUERIES
+
+    draw = random.Random(4)
+    pairs = [(0.01, draw.uniform(1e5, 1e7)) for _ in range(3000)]  # far apart: a thousandth is near the last bit that counts
+    pairs += [(10.24, draw.randrange(1, 20000) / 100) for _ in range(200)] + [(1.0, 1 - 1e-12), (-0.0, 2.0), (0.0, -2.0), (1e-300, 1e12), (1e-12, 5.0)]
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(2 * i + j, at + datetime.timedelta(minutes=j), i, "view", x, f'{{"k": {-5 if j else 5}}}') for i, pair in enumerate(pairs) for j, x in enumerate(pair)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = QUERIES["level_comparisons"](spark, str(tmp_path))
+    want = duck.sql(ORACLE_SQL["level_comparisons"]).select(*got.columns).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
