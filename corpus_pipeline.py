@@ -46,10 +46,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 ORACLE_SQL = None
+#: Bytes of a row group between stages: of whole texts, Spark's usual 128 MB in each of a small heap's tasks are too much.
+BLOCK = 8 << 20
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), BLOCK)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,3 +1,6 @@
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from spectraloom.llm import jaccard_join, packing, quality_rules
 from spectraloom.sources.shared import written
@@ -46,3 +49,15 @@ def test_odd_rows_and_clashing_columns(spark, documents, odd_texts):
             assert out.columns == docs.columns
         docs = out
     assert {r.doc_id for r in docs.collect()} <= {None, 70, 71}
+
+
+def test_tables_between_stages_have_small_row_groups(spark, tmp_path, monkeypatch):
+    """A task holds a whole row group of texts that it reads and one that it writes, so a small heap needs small ones."""
+    text = F.expr("concat_ws(' ', transform(sequence(1, 300), k -> sha2(concat(id, ':', k), 256)))")
+    spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("as it is", lambda spark, docs, sf_dir: docs)] * 2)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 2000
+    held = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in out.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in held for i in range(m.num_row_groups)]
+    assert sum(sizes) > 3e7 and max(sizes) < 1.5e7
